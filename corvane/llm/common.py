@@ -12,6 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 HOT_SHARE = 1 / 1000
 
 
+#: Bytes that end a word; others are lower-case letters, digits and bytes of characters beyond ASCII.
+BREAKS = bytes(b for b in range(0x80) if not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A))
+TO_SPACE = bytes.maketrans(BREAKS, b" " * len(BREAKS))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of letters, digits and characters beyond ASCII, with A-Z in lower case. Null has none."""
+    return (text or "").encode("utf-8", "replace").lower().translate(TO_SPACE).split()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

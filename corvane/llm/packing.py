@@ -63,11 +63,11 @@ def best_pattern(value: np.ndarray, units: int) -> tuple[float, np.ndarray]:
     return float(best[units]), counts
 
 
-def cutting_stock(demand: np.ndarray, tolerance: float = 2e-4, most_rounds: int = 6_000) -> list[tuple[np.ndarray, int]]:
+def cutting_stock(demand: np.ndarray, tolerance: float = 1e-3, most_rounds: int = 2_000) -> list[tuple[np.ndarray, int]]:
     """Patterns (items of each size) and how often to use each, so that all of demand, by size 1..units, is met exactly.
 
     Revised simplex on the covering program; it ends when the bound by the best pattern's price proves the sum of patterns
-    within tolerance of the optimum. Fractions are rounded down and what remains, a bounded number of items, is placed best-fit.
+    within tolerance of the optimum, or within one sequence. Fractions are rounded down and what remains, a bounded number of items, is placed best-fit.
     """
     units = len(demand) - 1
     sizes = np.flatnonzero(demand)
@@ -80,7 +80,8 @@ def cutting_stock(demand: np.ndarray, tolerance: float = 2e-4, most_rounds: int
         price = np.zeros(units + 1)
         price[sizes] = np.maximum(inverse.sum(0), 0)
         worth, pattern = best_pattern(price, units)
-        if worth <= 1 + tolerance:
+        bound = x.sum() / worth  # no packing takes fewer
+        if x.sum() - bound <= max(1.0, tolerance * bound):
             break
         step = inverse @ pattern[sizes]
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
