@@ -191,9 +191,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = checkpointed(fingerprints(docs))
     nodes = checkpointed(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
     roots = connected_components(near_links(nodes, nodes.count())).withColumnRenamed("node", "fp")
-    rooted = checkpointed(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    least = rooted.filter("root <> fp").select("root").distinct().join(rooted, "root").groupBy("root").agg(F.min("least").alias("component"))
-    classes = rooted.join(least, "root", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id"))
+    linked_nodes = checkpointed(nodes.join(roots, "fp"))
+    least = checkpointed(linked_nodes.groupBy("root").agg(F.min("least").alias("component")))
+    joined = linked_nodes.join(least, "root").select("fp", "component")
+    classes = checkpointed(nodes.join(joined, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id")))
     found = join_hot_safe(prints, classes, "fp", "n", prints.count())
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
