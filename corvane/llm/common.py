@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A key counts as hot if it holds more than this share of all rows, so there are fewer than 1 / HOT_SHARE hot keys.
@@ -26,14 +28,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that spark.checkpoint.dir names, which outlives executors."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own where it is unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, which outlives executors. For narrow tables."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written to the shared folder as Parquet and read again, and the place to forget() it at."""
+    place = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place), place
+
+
+def forget(spark: SparkSession, places: list[str]) -> None:
+    for place in places:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids fall in fold n, which is no fold's number."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n, F.lit(n))
@@ -56,7 +77,7 @@ def batches_of(source: Iterator[pa.RecordBatch], text: str, most_chars: int) ->
     for batch in source:
         column = batch.column(batch.schema.get_field_index(text))
         size, begin = 0, 0
-        for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()):
+        for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
             if size and size + n > most_chars:
                 yield batch.slice(begin, i - begin)
                 size, begin = 0, i

@@ -65,8 +65,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 class FmIndex:
     def __init__(self, text: np.ndarray, symbols: int):
-        """text: ids below symbols; a last 0 is added."""
-        text = np.concatenate([text, [0]])
+        """text: ids below symbols. Inside, each is one more, so that the 0 at the end is the only one."""
+        text, symbols = np.concatenate([text + 1, [0]]), symbols + 1
         order = suffix_array(text)
         self.bwt = text[order - 1]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
@@ -95,7 +95,7 @@ class FmIndex:
         low, high = np.zeros(len(words), dtype=np.int64), np.full(len(words), len(self.bwt), dtype=np.int64)
         for back in range(1, words.shape[1] + 1):
             live = np.flatnonzero((length >= back) & (low < high))
-            symbol = words[live, length[live] - back]
+            symbol = words[live, length[live] - back] + 1
             low[live], high[live] = (self.before[symbol] + self.rank(symbol, edge[live]) for edge in (low, high))
         return low, np.maximum(low, high)
 

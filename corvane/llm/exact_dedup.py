@@ -81,6 +81,22 @@ def dedup_exact(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs without rows that repeat the id and the normalised text of another; of those the longest original stays.
+
+    Ids and digests alone are counted; only rows that do repeat are compared whole.
+    """
+    named = docs.withColumn("text_digest", F.sha2(normalised(F.col("text")), 256))
+    keys = ["doc_id", "text_digest"]
+    repeated = checkpointed(named.filter("doc_id is not null").select(*keys).groupBy(*keys).count().filter("count > 1").select(*keys))
+    if repeated.isEmpty():
+        return docs
+    rest = [c for c in docs.columns if c != "doc_id"]
+    best = F.min(F.struct((-F.char_length(F.coalesce("text", F.lit("")))).alias("shorter"), *rest)).alias("best")
+    one = named.join(repeated, keys).groupBy(*keys).agg(best).select("doc_id", *[F.col(f"best.`{c}`").alias(c) for c in rest])
+    return named.join(repeated, keys, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(table(spark, sf_dir, "documents"))
 

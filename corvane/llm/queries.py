@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.decontaminate import OP7_SQL, op7_decontamination
 from corvane.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from corvane.llm.language import op4_language
+from corvane.llm.lm_score import op10_lm_score
 from corvane.llm.packing import op2_packing
+from corvane.llm.preference import OP5_SQL, op5_preference
+from corvane.llm.quality import op9_quality
 from corvane.llm.simhash import op6_simhash
+from corvane.llm.token_counts import op1_token_counts
+from corvane.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language": op4_language,
+    "op5_preference": op5_preference,
     "op6_simhash": op6_simhash,
+    "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
+    "op10_lm_score": op10_lm_score,
 }
-SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+#: The others have no SQL form; tests hold them against brute force or held-out labels.
+SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op5_preference": OP5_SQL, "op7_decontamination": OP7_SQL}
