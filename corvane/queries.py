@@ -1,14 +1,7 @@
-"""Queries of the engine's own operators, and the SQL that states the same."""
+"""All queries of the engine's own operators."""
 
-from __future__ import annotations
+from corvane import relational_queries, retrieval_queries
+from corvane.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+flagship = retrieval_queries.flagship
+__all__ = ["QUERIES", "SQL", "flagship", "relational_queries"]
