@@ -74,15 +74,18 @@ class Parser:
         tables, self.root, at = [], [], 0
         for language in self.languages:
             to = automaton(self.coded(texts[language]), self.classes)
+            alone = len(to)  # the state after a character that the labelled text lacks, a phrase of its own
+            to = np.concatenate([to, np.full((1, self.classes), -1)])
             ends = to < 0  # the phrase ends before this character, which begins the next one
-            begins = np.where(to[0] < 0, 0, to[0])
+            begins = np.where(to[0] < 0, alone, to[0])
             state = np.where(ends, begins[None, :], to) + at
+            ends[0] = False  # nothing has been read at the root
             tables.append(((state * self.classes) << 1 | ends).astype(np.int64))
             self.root.append(at * self.classes)
             at += len(to)
         if at * self.classes * 2 >= 1 << 31:
             raise ValueError("the labelled texts are too long for one table")
-        self.table = np.concatenate(tables).astype(np.int32).ravel()
+        self.table = np.concatenate([*tables, np.zeros((0, self.classes), dtype=np.int64)]).astype(np.int32).ravel()
         self.weight = np.array([np.log2(max(2, len(texts[x]))) for x in self.languages])
 
     def coded(self, text: str) -> np.ndarray:
