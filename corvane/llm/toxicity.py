@@ -22,8 +22,11 @@ from corvane.llm.labels import held_out, training_labels
 
 #: Labelled rows that are learnt from at most.
 SAMPLE = 20_000
-#: A word is in the lexicon if as many toxic rows as LEAST have it and their share is this many standard errors above the usual.
-LEAST, ERRORS, MOST_WORDS = 4, 6.0, 500
+#: A word is in the lexicon if toxic rows have it more often than their share explains, by this log-likelihood ratio, which
+#: chance gives to about one word in a million.
+SURPRISE, MOST_WORDS = 24.0, 500
+#: The log odds of an insult that the sample lacks.
+INSULT_WEIGHT = 4.0
 INSULTS = ("idiot", "idiots", "stupid", "moron", "morons", "dumb", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "fool", "imbecile", "cretin", "jerk", "vermin", "filth")
 SECOND_PERSON = frozenset(w.encode() for w in "you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos usted ustedes tú tus ti vosotros".split())
 #: Words to either side in which a second-person word counts as near.
@@ -34,15 +37,16 @@ SHOUTED = re.compile(rb"\b[A-Z]{3,}\b")
 REPEATED = re.compile(rb"[!?]{2,}")
 CAPITALS = bytes(range(0x41, 0x5B))
 PUNCTUATION = bytes(b for b in BREAKS if b > 0x20 and not 0x41 <= b <= 0x5A)
-FEATURES = ("lexicon_density", "lexicon_count", "lexicon_kinds", "insult_density", "disguised_density", "near_density", "second_density", "capitals", "shouted", "punctuation", "repeated", "obfuscation", "length")
+FEATURES = ("lexicon_most", "lexicon_sum", "lexicon_density", "lexicon_count", "lexicon_kinds", "insult_density", "disguised_density", "near_density", "second_density", "capitals", "shouted", "punctuation", "repeated", "obfuscation", "length")
 LABELLED_SPLIT = 3
 
 
-def measure(text: str | None, lexicon: frozenset[bytes], insults: frozenset[bytes]) -> list[float]:
+def measure(text: str | None, lexicon: dict[bytes, float], insults: frozenset[bytes]) -> list[float]:
     raw = (text or "").encode("utf-8", "replace")
     low = (text or "").lower().encode("utf-8", "replace")
     words = low.translate(TO_SPACE).split()
     hits = [i for i, w in enumerate(words) if w in lexicon]
+    kinds = {words[i] for i in hits}
     second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     near = sum(any(w in SECOND_PERSON for w in words[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
     odd = DISGUISED.findall(low)
@@ -50,16 +54,16 @@ def measure(text: str | None, lexicon: frozenset[bytes], insults: frozenset[byte
     capitals, punctuation = len(raw) - len(raw.translate(None, CAPITALS)), len(raw) - len(raw.translate(None, PUNCTUATION))
     n, size = len(words) + 1, len(raw) + 1
     return [
-        100 * len(hits) / n, math.log1p(len(hits)), float(len({words[i] for i in hits})), 100 * sum(words[i] in insults for i in hits) / n,
+        max((lexicon[w] for w in kinds), default=0.0), sum(lexicon[w] for w in kinds), 100 * len(hits) / n, math.log1p(len(hits)), float(len(kinds)), 100 * sum(words[i] in insults for i in hits) / n,
         100 * disguised / n, 100 * near / n, 100 * len(second) / n, capitals / size, 100 * len(SHOUTED.findall(raw)) / n if capitals > 2 else 0.0,
         punctuation / size, 100 * len(REPEATED.findall(raw)) / n, 100 * len(odd) / n, math.log(n),
     ]
 
 
-def features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
+def features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     """doc_id, features; the lexicon has MOST_WORDS words at most, besides the insults."""
     insults = frozenset(w.encode() for w in INSULTS)
-    words = insults | {w.encode() for w in lexicon}
+    words = {w: INSULT_WEIGHT for w in insults} | {w.encode(): weight for w, weight in lexicon.items()}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,15 +73,17 @@ def features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, features array<double>")
 
 
-def learn_lexicon(docs: DataFrame, sample: DataFrame) -> list[str]:
-    """Words that occur in far more toxic rows of the sample than its share of toxic rows explains."""
+def learn_lexicon(docs: DataFrame, sample: DataFrame) -> dict[str, float]:
+    """Words that occur in far more toxic rows of the sample than its share of toxic rows explains, and their log odds."""
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
     words = labelled.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))).alias("word"))
     rows, toxic = sample.agg(F.count("*"), F.sum("label")).first()
     share = (toxic or 0) / max(1, rows)
-    counted = words.filter("word <> ''").groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).filter(F.col("toxic") >= LEAST)
-    errors = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * max(1e-9, share * (1 - share)))
-    return [r.word for r in counted.withColumn("errors", errors).filter(F.col("errors") >= ERRORS).orderBy(F.desc("errors"), "word").limit(MOST_WORDS).collect()]
+    counted = words.filter("word <> ''").groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).filter(F.col("toxic") > F.col("n") * share)
+    part = lambda k, expected: F.when(k > 0, k * F.log(k / F.greatest(expected, F.lit(1e-9)))).otherwise(0.0)
+    surprise = 2 * (part(F.col("toxic"), F.col("n") * share) + part(F.col("n") - F.col("toxic"), F.col("n") * (1 - share)))
+    found = counted.withColumn("surprise", surprise).filter(F.col("surprise") >= SURPRISE).orderBy(F.desc("surprise"), "word").limit(MOST_WORDS).collect()
+    return {r.word: math.log((r.toxic + 0.5) / (toxic + 1)) - math.log((r.n - r.toxic + 0.5) / (rows - toxic + 1)) for r in found}
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -95,7 +101,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Da
     positive, total = (sum(n for (_, y), n in counts.items() if y or not only) for only in (True, False))
     score = F.lit(positive / total if total else 0.0)
     if all((True, y) in counts for y in (0, 1)):
-        trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.2, seed=8, minInstancesPerNode=2).fit(known.filter("part > 0"))
+        trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.2, maxBins=128, seed=8, minInstancesPerNode=8).fit(known.filter("part > 0"))
         rows = trees.transform(rows).withColumn("raw", vector_to_array("probability")[1])
         score = F.col("raw")
         if all((False, y) in counts for y in (0, 1)):
