@@ -53,7 +53,7 @@ def test_held_out_labels_are_not_learnt(spark):
 
 def test_features_notice_disguise_and_nearness():
     lexicon, insults = {b"idiot": 5.0}, frozenset([b"idiot"])
-    at = dict(zip(toxicity.FEATURES, toxicity.measure("You IDIOT!! an 1d10t wrote it", lexicon, insults), strict=True))
+    at = dict(zip(toxicity.FEATURES, toxicity.measure("You IDIOT!! an id10t wrote it", lexicon, insults), strict=True))
     assert at["near_density"] > 0 and at["shouted"] > 0 and at["repeated"] > 0 and at["lexicon_kinds"] == 1 and at["lexicon_most"] == 5 and at["disguised_density"] > 0
     assert toxicity.measure(None, lexicon, insults)[:8] == [0.0] * 8
 
