@@ -78,5 +78,9 @@ def best_of_repeats(hits: DataFrame, id_col: str, rank: str = "rank", position:
 
 def merge_by_scale(keyword: DataFrame, vector: DataFrame, id_col: str, keyword_weight: float = 0.4, vector_weight: float = 0.6) -> DataFrame:
     """The older merge: scores over their largest absolute value, weighted and summed."""
-    scaled = lambda df, w: df.select(id_col, (F.col("score") / F.nullif(F.max(F.abs("score")).over(W.partitionBy()), F.lit(0.0)) * w).alias("part"))
+
+    def scaled(hits: DataFrame, weight: float) -> DataFrame:
+        most = hits.agg(F.nullif(F.max(F.abs("score")), F.lit(0.0)).alias("most"))  # one row
+        return hits.crossJoin(F.broadcast(most)).select(id_col, (F.col("score") / F.col("most") * weight).alias("part"))
+
     return scaled(keyword, keyword_weight).unionByName(scaled(vector, vector_weight)).groupBy(id_col).agg(F.sum("part").alias("score"))
