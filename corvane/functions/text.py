@@ -228,6 +228,14 @@ def display_location(section: Column, span: Column, article: Column, first: Colu
     return F.coalesce(strip(blank_to_null(section)), strip(blank_to_null(span)), strip(blank_to_null(article)), paragraphs, F.lit(""))
 
 
+def reference_name(title: Column, path: Column) -> Column:
+    """title（file name）, or the file name alone where the title is its stem or is missing."""
+    name = F.regexp_extract(F.translate(F.coalesce(path, F.lit("")), "\\", "/"), "([^/]+)/*$", 1)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    plain = strip(F.coalesce(title, F.lit("")))
+    return F.when((name != "") & (plain != "") & (F.lower(plain) != F.lower(stem)), F.concat(plain, F.lit("（"), name, F.lit("）"))).when(name != "", name).when(plain != "", plain).otherwise("未命名资料")
+
+
 def evidence_json(no: Column, title: Column, location: Column, content: Column) -> Column:
     return F.to_json(F.struct(no.alias("evidence_no"), title.alias("title"), location.alias("location"), content.alias("content")))
 

@@ -454,3 +454,75 @@ def d9(spark, sf_dir):
     d, e = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
     rows = d.agg(quality.count_if(F.coalesce("text", F.lit("")) == "").alias("blank_text"), quality.count_if(F.col("source").isNull()).alias("no_source"), (F.count("*") - F.countDistinct("doc_id")).alias("repeated_ids"))
     return rows.crossJoin(e.join(d, e.vec_id == d.doc_id, "left_anti").agg(F.count("*").alias("vectors_without_chunk")))  # one row and one row
+
+
+# ---- contracts, deltas and listings ----
+
+
+@query("h2_input_validation", "WITH h AS (SELECT l_orderkey AS source, l_partkey % 50 AS id, l_linenumber AS rank, CASE WHEN l_quantity = 50 THEN 'nan'::DOUBLE ELSE l_quantity END AS score FROM lineitem) SELECT source, count(*) - count(DISTINCT id) AS repeated_ids, count(*) - count(DISTINCT rank) AS repeated_ranks, count(*) FILTER (WHERE isnan(score) OR isinf(score)) AS bad_scores FROM h GROUP BY source")
+def h2(spark, sf_dir):
+    score = F.when(F.col("l_quantity") == 50, float("nan")).otherwise(F.col("l_quantity"))
+    h = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), (F.col("l_partkey") % 50).alias("id"), F.col("l_linenumber").alias("rank"), score.alias("score"))
+    return h.groupBy("source").agg((F.count("*") - F.countDistinct("id")).alias("repeated_ids"), (F.count("*") - F.countDistinct("rank")).alias("repeated_ranks"), quality.count_if(F.isnan("score") | (F.abs("score") == float("inf"))).alias("bad_scores"))
+
+
+@query("f17_row_contracts", "SELECT count(*) AS n, count(*) FILTER (WHERE text IS NULL OR text = '') AS blank_text, count(*) FILTER (WHERE n_chars < 0) AS negative, count(*) FILTER (WHERE n_chars <> length(text)) AS wrong_length, count(*) FILTER (WHERE lang NOT IN ('en', 'de', 'fr', 'es')) AS unknown_lang FROM documents")
+def f17(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.agg(F.count("*").alias("n"), quality.count_if(F.coalesce("text", F.lit("")) == "").alias("blank_text"), quality.count_if(F.col("n_chars") < 0).alias("negative"), quality.count_if(F.col("n_chars") != F.char_length("text")).alias("wrong_length"), quality.count_if(~F.col("lang").isin("en", "de", "fr", "es")).alias("unknown_lang"))
+
+
+@query("f16_hydrated_hits", "SELECT h.vec_id AS chunk_id, h.rank, d.source AS title, d.lang AS section_path, d.n_chars, h.vec_id = d.doc_id AS agrees FROM (SELECT vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) AS rank FROM embeddings ORDER BY rank LIMIT 40) h JOIN documents d ON d.doc_id = h.vec_id")
+def f16(spark, sf_dir):
+    top = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[1].alias("score")).orderBy(F.desc("score"), "vec_id").limit(40)
+    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "vec_id")).cast("long"))  # 40 rows
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    return d.join(F.broadcast(ranked), d.doc_id == ranked.vec_id).select(F.col("vec_id").alias("chunk_id"), "rank", F.col("source").alias("title"), F.col("lang").alias("section_path"), "n_chars", (F.col("vec_id") == F.col("doc_id")).alias("agrees"))
+
+
+@query("j5_left_hits", "SELECT e.vec_id, d.source FROM (SELECT vec_id FROM embeddings WHERE vec_id % 9 = 0) e LEFT JOIN documents d ON d.doc_id = e.vec_id + 400")
+def j5(spark, sf_dir):
+    e, d = read(spark, sf_dir, "embeddings").filter("vec_id % 9 = 0").select("vec_id"), read(spark, sf_dir, "documents").select("doc_id", "source")
+    return e.join(d, d.doc_id == e.vec_id + 400, "left").select("vec_id", "source")
+
+
+@query("i3_uncommitted_versions", "SELECT doc_id, 'ver_' || substring(sha256(doc_id || ':' || sha256(text)), 1, 24) AS version_id FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def i3(spark, sf_dir):
+    from corvane.functions import ids
+
+    d = read(spark, sf_dir, "documents").filter("text is not null")
+    versions = d.select("doc_id", ids.version_id(F.col("doc_id"), F.sha2("text", 256)).alias("version_id"))
+    committed = versions.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("version_id")
+    return versions.join(committed, "version_id", "left_anti").select("doc_id", "version_id")
+
+
+@query("k15_k19_build_report", "SELECT to_json({documents: (SELECT count(*) FROM documents), chunks: (SELECT count(*) FROM lineitem), vectors: (SELECT count(*) FROM embeddings)})::VARCHAR AS report")
+def k15(spark, sf_dir):
+    parts = [read(spark, sf_dir, t).agg(F.count("*").alias(n)) for n, t in (("documents", "documents"), ("chunks", "lineitem"), ("vectors", "embeddings"))]
+    return reduce(DataFrame.crossJoin, parts).select(F.to_json(F.struct("documents", "chunks", "vectors")).alias("report"))  # one row each
+
+
+@query("k19_tombstone_list", "SELECT 'chunk' AS entity_type, doc_id::VARCHAR AS entity_id FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'vector', vec_id::VARCHAR FROM embeddings WHERE vec_id % 7 = 0")
+def k19(spark, sf_dir):
+    d, e = read(spark, sf_dir, "documents").filter("doc_id % 7 = 0"), read(spark, sf_dir, "embeddings").filter("vec_id % 7 = 0")
+    rows = d.select(F.lit("chunk").alias("entity_type"), F.col("doc_id").cast("string").alias("entity_id")).union(e.select(F.lit("vector"), F.col("vec_id").cast("string")))
+    return rows.orderBy("entity_type", "entity_id")
+
+
+@query("k18_delta_vectors", "SELECT vec_id, ts, row_number() OVER (ORDER BY ts, vec_id) AS place FROM (SELECT vec_id, (vec_id * 7) % 97 AS ts FROM embeddings WHERE vec_id % 3 = 1)")
+def k18(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").filter("vec_id % 3 = 1").select("vec_id", (F.col("vec_id") * 7 % 97).alias("ts"))
+    return layers.assign_ids(e, 1, ["ts", "vec_id"]).select("vec_id", "ts", long("vector_id").alias("place"))
+
+
+@query("x10_reference_names", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || '（f' || doc_id || '.txt）' ELSE source || '.txt' END AS name FROM documents")
+def x10(spark, sf_dir):
+    i = F.col("doc_id").cast("string")
+    path = F.concat(F.lit("a/b/"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("f"), i)).otherwise(F.col("source")), F.lit(".txt"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.reference_name(F.col("source"), path).alias("name"))
+
+
+@query("set_differences", "SELECT doc_id AS id, 'documents' AS side FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'vectors' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
+def differences(spark, sf_dir):
+    d, e = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    return d.exceptAll(e).withColumn("side", F.lit("documents")).union(e.exceptAll(d).withColumn("side", F.lit("vectors")))
