@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm.common import forget, stored, table
-from corvane.llm.decontaminate import contamination, is_contaminated
+from corvane.llm.decontaminate import COLUMNS, contamination, is_contaminated
 from corvane.llm.exact_dedup import dedup_exact, without_repeats
 from corvane.llm.packing import pack
 from corvane.llm.simhash import near_duplicates
@@ -41,7 +41,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words are in benchmark windows go."""
-    return contamination(docs, table(spark, sf_dir, "benchmark")).filter(~is_contaminated()).select(*docs.columns)
+    own = [c for c in docs.columns if c in COLUMNS]  # columns of docs by the names that the search gives
+    hidden = docs.withColumnsRenamed({c: f"{c} of docs" for c in own})
+    found = contamination(hidden, table(spark, sf_dir, "benchmark")).filter(~is_contaminated())
+    return found.select(*[F.col(f"`{c} of docs`" if c in own else f"`{c}`").alias(c) for c in docs.columns])
 
 
 def pack_rest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,13 +86,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Ids and digests alone are counted; only rows that do repeat are compared whole.
     """
-    named = docs.withColumn("text_digest", F.sha2(normalised(F.col("text")), 256))
-    keys = ["doc_id", "text_digest"]
+    digest = "digest of the normalised text"
+    named = docs.withColumn(digest, F.sha2(normalised(F.col("text")), 256))
+    keys = ["doc_id", digest]
     repeated = checkpointed(named.filter("doc_id is not null").select(*keys).groupBy(*keys).count().filter("count > 1").select(*keys))
     if repeated.isEmpty():
         return docs
     rest = [c for c in docs.columns if c != "doc_id"]
-    best = F.min(F.struct((-F.char_length(F.coalesce("text", F.lit("")))).alias("shorter"), *rest)).alias("best")
+    best = F.min(F.struct((-F.char_length(F.coalesce("text", F.lit("")))).alias("shorter than others"), *rest)).alias("best")
     one = named.join(repeated, keys).groupBy(*keys).agg(best).select("doc_id", *[F.col(f"best.`{c}`").alias(c) for c in rest])
     return named.join(repeated, keys, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 

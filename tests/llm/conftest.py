@@ -27,5 +27,5 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def clashing(odd):
     """Extra columns whose names the operators use inside."""
-    names = ["digest", "fp", "key", "class", "rank", "count", "n", "root", "keep_id", "length", "words", "label", "features", "score", "bucket", "block", "sequence_id", "h", "kept"]
+    names = ["digest", "fp", "key", "class", "rank", "count", "n", "root", "keep_id", "length", "words", "label", "features", "score", "bucket", "block", "sequence_id", "h", "kept", "items", "spans", "n_words", "n_hit", "text_digest", "shorter", "best"]
     return odd.selectExpr("*", *[f"'junk' AS `{n}`" for n in names])
