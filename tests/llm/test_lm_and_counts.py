@@ -38,10 +38,11 @@ def brute(docs, words):
 
 
 @pytest.mark.parametrize("words", [10, 40])
-def test_scores_against_brute_force(spark, words):
+def test_scores_against_brute_force(spark, words, monkeypatch):
     rng = np.random.default_rng(words)
     docs = [(i, " ".join(rng.choice([f"w{k}" for k in range(30)], rng.integers(0, 40))), bool(i % 3)) for i in range(60)] + [(70, None, True), (71, "a b", None)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, good boolean").repartition(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string, good boolean").repartition(7)
+    monkeypatch.setattr(lm_score, "TOGETHER", 2)
     got = {r.doc_id: r for r in lm_score.cross_entropy_difference(df, F.col("good"), words).collect()}
     for doc, n, diff in brute(docs, words):
         assert got[doc].n_words == n and abs(got[doc].ce_diff - diff) < 1e-4
