@@ -6,10 +6,10 @@ a document is a chunk, its source a file, its lines are blocks, and a line's num
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corvane.functions import ids, text as T, vectors as V
-from corvane.operators import chunking, context, layers, postings, quality, retrieval, structure
+from corvane.operators import layers, postings, quality, retrieval, structure
 from corvane.plans.keyword import plan
 from corvane.registry import long, query, read
 from corvane.sources import files
