@@ -9,7 +9,6 @@ overlapping occurrences are merged into removal spans. Documents are never shuff
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 

@@ -3,7 +3,7 @@ import corpus_pipeline as P
 from .conftest import SF
 from .test_decontaminate import brute as brute_hits
 from .test_exact_dedup import brute as brute_copies
-from .test_packing import check, ids_of  # noqa: F401
+from .test_packing import check
 from .test_packing import library  # noqa: F401
 from .test_simhash import brute as brute_near
 
