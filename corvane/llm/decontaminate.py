@@ -21,7 +21,7 @@ from corvane.llm.common import batches_of, table, words_of
 WINDOW = 13
 #: Bytes of text in a shard, words of benchmark text searched at a time, distance of sampled suffix positions.
 SHARD_BYTES = 16 << 20
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 SAMPLED = 16
 COLUMNS = ("n_words", "n_hit", "spans", "items")
 TYPES = "n_words long, n_hit long, spans array<bigint>, items array<string>"
