@@ -1,14 +1,16 @@
 """Cross-entropy difference of two n-gram models.
 
-Word bigram models of a target part of the corpus and of the rest share one vocabulary, the most frequent words of all
-documents, and one smoothing. Every word's loss under either model is known from the two, so a table of loss differences
-by (word before, word) scores whole documents in one pass.
+Word bigram models of a target part of the corpus and of the rest share one vocabulary, all words of all documents, and one
+smoothing. Neither words nor bigrams pass through the driver: each block of documents sends its distinct n-grams, with their
+counts in the block, to parts by hash; a part adds the blocks' counts up and answers each block with the corpus's counts of
+the n-grams that the block sent; so each block can score its own documents.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -18,154 +20,185 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.llm.common import checkpointed, table, words_of
 
-#: Words of the shared vocabulary with the two below; the model has VOCABULARY ** 2 cells at most.
-VOCABULARY = 2_048
+#: Hashes of what stands before a text's first word and of words outside a vocabulary that a caller bounds.
 BEGIN, UNKNOWN = 0, 1
+#: What a key counts, in its lowest bits: a word, a word that another one follows, a word after another one.
+WORD, CONTEXT, PAIR = 0, 1, 2
 #: Weight of the unigram model in words seen after each word.
 PRIOR = 50.0
-#: Contexts that are counted together, tasks whose counts are added in one group, and distinct words that a task keeps before
-#: it hands on its counts.
-CONTEXTS, TOGETHER, KEPT = 32, 64, 300_000
+#: Words of a block of documents at least, its task's last block apart, and parts of the keys at least; what a part holds is
+#: added up together.
+BLOCK, TOGETHER = 1 << 21, 512
+#: Distinct words that a task keeps before it hands on its counts.
+KEPT = 300_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, target, other: how often each word of all documents occurs in either part. docs: text, target."""
+    """word, n: how often each word occurs. docs: text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def handed(parts: tuple[Counter, Counter]) -> pa.RecordBatch:
-            words = sorted(parts[0].keys() | parts[1].keys())
-            rows = [pa.array(words, pa.binary()), *(pa.array([p[w] for w in words], pa.int64()) for p in parts)]
-            return pa.RecordBatch.from_arrays(rows, names=["word", "target", "other"])
+        def handed(found: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "n"])
 
-        parts = Counter(), Counter()
+        found: Counter = Counter()
         for batch in batches:
-            for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                parts[0 if target else 1].update(words_of(text.as_py()))
-                if len(parts[0]) + len(parts[1]) > KEPT:
-                    yield handed(parts)
-                    parts = Counter(), Counter()
-        yield handed(parts)
+            for text in batch.column(0):
+                found.update(words_of(text.as_py()))
+                if len(found) > KEPT:
+                    yield handed(found)
+                    found = Counter()
+        yield handed(found)
 
-    return docs.select("text", "target").mapInArrow(count, "word binary, target long, other long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("other").alias("other"))
+    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Vocabulary:
-    """Words by falling count. Contexts are dealt to parts of CONTEXTS in turn, so that each part has some of the frequent ones."""
+def mixed(x: np.ndarray, kind: int) -> np.ndarray:
+    """Keys of a kind: 62 bits of a hash (the finish of splitmix64) and the kind."""
+    x = x + np.uint64(0x9E3779B97F4A7C15 * (kind + 1) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) & ~np.uint64(3)) | np.uint64(kind)
 
-    def __init__(self, words: list[bytes]):
-        self.id = {w: i + 2 for i, w in enumerate(words)}
-        self.size = len(words) + 2
-        self.parts = -(-self.size // CONTEXTS)
-        context = np.arange(self.size)
-        self.row = (context % self.parts) * CONTEXTS + context // self.parts
-        self.width = CONTEXTS * self.size
 
-    def cells(self, text: str | None) -> np.ndarray:
-        """For each word the place of (word before, word) in a table with rows by context."""
-        get = self.id.get
-        ids = np.array([BEGIN, *(get(w, UNKNOWN) for w in words_of(text))], dtype=np.int64)
-        return self.row[ids[:-1]] * self.size + ids[1:]
+class Grams:
+    """A block's n-grams. words: hashes, BEGIN first; index: of each token, a place in words; lengths: tokens of each document."""
 
+    def __init__(self, words: np.ndarray, index: np.ndarray, lengths: np.ndarray):
+        n = len(words)
+        self.n, self.index, self.before = n, index, np.zeros_like(index)
+        self.before[1:] = index[:-1]
+        self.before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+        pairs, self.place = np.unique(self.before * n + index, return_inverse=True)
+        self.h, self.w = np.divmod(pairs, n)
+        keys = np.concatenate([mixed(words, WORD), mixed(words, CONTEXT), mixed(words[self.h] * np.uint64(0xD6E8FEB86659FD93) + words[self.w], PAIR)])
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
 
-COUNTS = "part int, task long, cell binary, target binary, other binary"
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """How often each of keys occurs in the chosen tokens."""
+        n, i = self.n, chosen
+        found = [np.bincount(self.index[i], minlength=n), np.bincount(self.before[i], minlength=n), np.bincount(self.place[i], minlength=len(self.h))]
+        return np.concatenate(found)[self.order]
 
 
-def packed(part: int, task: int, counts: np.ndarray) -> tuple:
-    at = np.flatnonzero(counts.any(0))
-    return part, task, at.astype("<i4").tobytes(), *(counts[k, at].astype("<i8").tobytes() for k in range(2))
+def packed(counts: np.ndarray) -> bytes:
+    """A byte for each count; counts of 255 and more follow in full."""
+    return np.minimum(counts, 255).astype("u1").tobytes() + counts[counts >= 255].astype("<i8").tobytes()
 
 
-def added(rows: pd.DataFrame, width: int) -> np.ndarray:
-    counts = np.zeros((2, width), dtype=np.int64)
-    for r in rows.itertuples():
-        at = np.frombuffer(r.cell, "<i4")
-        counts[0, at] += np.frombuffer(r.target, "<i8")
-        counts[1, at] += np.frombuffer(r.other, "<i8")
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, "u1", n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<i8", offset=n)
     return counts
 
 
-def bigram_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """COUNTS: for each part a task's counts of the cells that it met, as numbers in bytes."""
+def planes(numbers: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second ones and so on: where high bytes are zero, shuffles press them to nothing."""
+    return numbers.view("u1").reshape(-1, numbers.itemsize).T.tobytes()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, vocabulary.parts * vocabulary.width), dtype=np.int64)
-        for batch in batches:
-            found: tuple[list, list] = ([], [])
-            for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found[0 if target else 1].append(vocabulary.cells(text.as_py()))
-            for k in range(2):
-                if found[k]:
-                    cell, n = np.unique(np.concatenate(found[k]), return_counts=True)
-                    totals[k, cell] += n
-        own = TaskContext.get().partitionId()
-        rows = [packed(p, own, totals[:, p * vocabulary.width : (p + 1) * vocabulary.width]) for p in range(vocabulary.parts)]
-        types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "task", "cell", "target", "other"])
-
-    return docs.select("text", "target").mapInArrow(count, COUNTS).filter("length(cell) > 0")
-
-
-def summed(counts: DataFrame, tasks: int, width: int) -> DataFrame:
-    """counts with at most TOGETHER rows for each part: groups of TOGETHER are added, level by level."""
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([packed(key[0], key[1], added(rows, width))], columns=["part", "task", "cell", "target", "other"])
-
-    while tasks > TOGETHER:
-        counts = counts.groupBy("part", F.floor(F.col("task") / TOGETHER).cast("long").alias("task")).applyInPandas(add, COUNTS)
-        tasks = -(-tasks // TOGETHER)
-    return counts
 
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(size, -1).T).view(kind).ravel()
 
-def losses(counts: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-    """Bits of each word (column) after each context (row), by Dirichlet smoothing towards the unigram model."""
-    return -np.log2((counts + PRIOR * unigram) / (counts.sum(1, keepdims=True) + PRIOR))
 
+#: A block's keys in a part as planes of the steps from key to key, with the block's counts; or a block's documents, with hashes of their words and places in
+#: these as planes.
+SENT = "block long, part int, keys binary, target binary, other binary, ids array<long>, lengths array<long>, words binary, places binary"
+#: The corpus's counts of the keys that the block sent, and the part's words, and how often these occur; or documents as above.
+ANSWERED = "block long, part int, n_keys long, target binary, other binary, totals array<long>, ids array<long>, lengths array<long>, words binary, places binary"
+SENT_ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "target", "other")), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("places", pa.binary())])
 
-def loss_differences(docs: DataFrame, vocabulary: Vocabulary, unigrams: np.ndarray) -> np.ndarray:
-    """Target loss minus other loss of each cell, as computed for each part."""
-    size, width = vocabulary.size, vocabulary.width
 
-    def differences(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        counts = added(rows, width).reshape(2, CONTEXTS, size)
-        target, other = (losses(counts[k], unigrams[k]) for k in range(2))
-        return pd.DataFrame({"part": [key[0]], "bits": [(target - other).astype("<f4").tobytes()]})
+def sent(docs: DataFrame, parts: int, known: frozenset[bytes] | None) -> DataFrame:
+    """SENT: of each block a row for each part, though it may have no keys, and a row of documents. docs: doc_id, text, target."""
+    bounds = np.array([(p << 64) // parts for p in range(1, parts)], dtype=np.uint64)
 
-    counts = summed(bigram_counts(docs, vocabulary), docs.rdd.getNumPartitions(), width)
-    parts = counts.groupBy("part").applyInPandas(differences, "part int, bits binary").collect()  # VOCABULARY / CONTEXTS rows
-    unseen = (np.log2(unigrams[1]) - np.log2(unigrams[0])).astype("<f4")
-    out = np.tile(unseen, vocabulary.parts * CONTEXTS)
-    for r in parts:
-        out[r.part * width : (r.part + 1) * width] = np.frombuffer(r.bits, "<f4")
-    return out
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fresh() -> tuple:
+            place: defaultdict = defaultdict(lambda: len(place))
+            place[None]  # BEGIN
+            return place, [], [], []
 
+        def handed() -> pa.RecordBatch:
+            words = np.array([BEGIN, *(int.from_bytes(blake2b(w, digest_size=8).digest(), "little") if w else UNKNOWN for w in list(place)[1:])], dtype=np.uint64)
+            index, lengths = np.concatenate([*tokens, np.zeros(0, np.int32)]).astype(np.int64), np.array([len(t) for t in tokens], dtype=np.int64)
+            grams, chosen = Grams(words, index, lengths), np.repeat(np.array(targets, dtype=bool), lengths)
+            counts, cuts = [grams.counts(c) for c in (chosen, ~chosen)], [0, *np.searchsorted(grams.keys, bounds), len(grams.keys)]
+            block = TaskContext.get().partitionId() << 32 | serial
+            rows = [(block, p, planes(np.diff(grams.keys[a:b], prepend=np.uint64(0))), *(packed(c[a:b]) for c in counts), None, None, None, None) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            rows.append((block, int(words.sum() % np.uint64(parts)), None, None, None, ids, lengths, words.tobytes(), planes(index.astype("<u4"))))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SENT_ARROW.types, strict=True)], schema=SENT_ARROW)
 
-def cross_entropy_difference(docs: DataFrame, target: Column, words: int = VOCABULARY) -> DataFrame:
+        (place, ids, targets, tokens), serial, n = fresh(), 0, 0
+        for batch in batches:
+            for doc, text, target in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                found = words_of(text.as_py())
+                if known is not None:
+                    found = [w if w in known else b"" for w in found]
+                tokens.append(np.array([place[w] for w in found], dtype=np.int32))
+                ids.append(doc)
+                targets.append(target)
+                n += len(found)
+                if n >= BLOCK:
+                    yield handed()
+                    (place, ids, targets, tokens), serial, n = fresh(), serial + 1, 0
+        if ids:
+            yield handed()
+
+    return docs.select(F.col("doc_id").cast("long"), "text", "target").mapInArrow(send, SENT)
+
+
+def answered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """A part's answers, and the documents as they came."""
+    asked, documents = rows[rows["keys"].notna()], rows[rows["keys"].isna()]
+    keys = [np.cumsum(from_planes(k, "<u8"), dtype=np.uint64) for k in asked["keys"]]
+    n = [len(k) for k in keys]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = [np.bincount(place, np.concatenate([unpacked(d, m) for d, m in zip(asked[c], n, strict=True)]), len(distinct)).astype(np.int64) for c in ("target", "other")]
+    is_word = (distinct & np.uint64(3)) == WORD
+    in_vocabulary = is_word & (counts[0] + counts[1] > 0) & (distinct != mixed(np.array([UNKNOWN], dtype=np.uint64), WORD))
+    totals = [int(in_vocabulary.sum()), *(int(c[is_word].sum()) for c in counts)]
+    out = [(r.block, r.part, m, *(packed(c[place[e - m : e]]) for c in counts), totals, None, None, None, None) for r, m, e in zip(asked.itertuples(), n, np.cumsum(n), strict=True)]
+    out += [(r.block, r.part, 0, None, None, None, r.ids, r.lengths, r.words, r.places) for r in documents.itertuples()]
+    return pd.DataFrame(out, columns=["block", "part", "n_keys", "target", "other", "totals", "ids", "lengths", "words", "places"])
+
+
+def scored(rows: pd.DataFrame) -> pd.DataFrame:
+    """Scores of a block's documents."""
+    d = rows[rows["places"].notna()].iloc[0]
+    answers = rows[rows["places"].isna()].sort_values("part")
+    words, lengths = np.frombuffer(d["words"], np.uint64), np.array(d["lengths"], dtype=np.int64)
+    index = from_planes(d["places"], "<u4").astype(np.int64)
+    grams, n = Grams(words, index, lengths), len(words)
+    size, *total = np.sum([list(t) for t in answers["totals"]], axis=0)
+    after, unigram, pairs = [], [], []
+    for k, name in enumerate(("target", "other")):
+        counts = np.empty(len(grams.keys), dtype=np.int64)
+        counts[grams.order] = np.concatenate([unpacked(a, m) for a, m in zip(answers[name], answers["n_keys"], strict=True)])
+        unigram.append((counts[:n] + 1) / (total[k] + size + 2))
+        after.append(counts[n : 2 * n])
+        pairs.append(counts[2 * n :])
+    seen = [pairs[k] + PRIOR * unigram[k][grams.w] for k in range(2)]  # by Dirichlet smoothing towards the unigram model
+    bits = np.log2(seen[1]) - np.log2(seen[0]) + (np.log2(after[0] + PRIOR) - np.log2(after[1] + PRIOR))[grams.h]
+    sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), bits[grams.place], len(lengths))
+    return pd.DataFrame({"doc_id": pd.array(list(d["ids"]), dtype="Int64"), "n_words": lengths, "ce_diff": sums / np.maximum(lengths, 1)})
+
+
+def cross_entropy_difference(docs: DataFrame, target: Column, words: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, ce_diff (mean bits a word under the target model minus those under the other).
 
     target says which rows of docs train the target model (null: not); all other rows train the other one. Texts without
     words, null ones among them, have no loss and score 0. Rows that repeat count as often and are answered alike. Further
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. All words of docs are the vocabulary; a caller who wants a small one
+    gives words, and all but the words - 2 most frequent are then one word, by a set that goes through the driver.
     """
-    rows = docs.select("doc_id", "text", F.coalesce(target, F.lit(False)).alias("target"))
-    counted = checkpointed(word_counts(rows))
-    total = counted.agg(F.sum("target"), F.sum("other")).first()
-    known = counted.orderBy(F.desc(F.col("target") + F.col("other")), "word").limit(words - 2).collect()
-    vocabulary = Vocabulary([bytes(r.word) for r in known])
-    unigrams = np.ones((2, vocabulary.size))
-    for k, name in enumerate(("target", "other")):
-        unigrams[k, 2:] += [r[name] for r in known]
-        unigrams[k, UNKNOWN] += (total[k] or 0) - sum(r[name] for r in known)
-        unigrams[k] /= unigrams[k].sum()
-    bits = docs.sparkSession.sparkContext.broadcast(loss_differences(rows, vocabulary, unigrams))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = [vocabulary.cells(t.as_py()) for t in batch.column(1)]
-            mean = [float(bits.value[c].mean(dtype=np.float64)) if len(c) else 0.0 for c in cells]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, cells), pa.int64()), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "ce_diff"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, n_words long, ce_diff double")
+    rows, known = docs.select("doc_id", "text", F.coalesce(target, F.lit(False)).alias("target")), None
+    if words is not None:
+        known = frozenset(bytes(r.word) for r in checkpointed(word_counts(rows)).orderBy(F.desc("n"), "word").limit(words - 2).collect())
+    parts = max(TOGETHER, rows.rdd.getNumPartitions())
+    counted = sent(rows, parts, known).groupBy("part").applyInPandas(answered, ANSWERED)
+    return counted.groupBy("block").applyInPandas(scored, "doc_id long, n_words long, ce_diff double")
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

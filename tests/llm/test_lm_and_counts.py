@@ -48,6 +48,19 @@ def test_scores_against_brute_force(spark, words, monkeypatch):
         assert got[doc].n_words == n and abs(got[doc].ce_diff - diff) < 1e-4
 
 
+def test_vocabulary_grows_with_the_corpus(spark, monkeypatch):
+    """More distinct words than any fixed table held, most of them rare; each is a word of its own in both models."""
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{k}" for k in (4_000 * rng.random(60) ** 2).astype(int)), bool(i % 3)) for i in range(150)]
+    docs.append((150, " ".join(f"w{k}" for k in range(4_000)), False))
+    monkeypatch.setattr(lm_score, "BLOCK", 500)
+    df = spark.createDataFrame(docs, "doc_id long, text string, good boolean").repartition(3)
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(df, F.col("good")).collect()}
+    assert len(got) == len(docs)
+    for doc, n, diff in brute(docs, 10**6):
+        assert got[doc].n_words == n and abs(got[doc].ce_diff - diff) < 1e-4
+
+
 def test_target_documents_score_lower(spark):
     scores = lm_score.op10_lm_score(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg("ce_diff").alias("d")).collect()
     means = {r.lang: r.d for r in scores}
