@@ -393,6 +393,11 @@ def x12(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.evidence_json(F.col("doc_id"), F.col("source"), F.col("lang"), F.substring("text", 1, 100)), 256).alias("digest"))
 
 
+@query("x12_evidence_json_whole")  # DuckDB and Spark may escape controls differently; a test reads the JSON again
+def x12_whole(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.evidence_json(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("text")).alias("evidence"))
+
+
 @query("x13_redaction", r"SELECT doc_id, r <> text AS changed, length(r) AS n FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(authorization[ \t]*[:=][ \t]*)[^\r\n,;]+', '\1***', 'g'), '(?i)((?:api[_-]?key|token|password|secret)[ \t]*[:=][ \t]*)[^ \t\r\n,;]+', '\1***', 'g'), '[A-Za-z]:\\[^ \t\r\n]+', '<path>', 'g'), '/(?:home|root|var|tmp|opt|usr|etc)/[^ \t\r\n]*', '<path>', 'g') AS r FROM documents)")
 def x13(spark, sf_dir):
     d = read(spark, sf_dir, "documents").withColumn("r", T.redact("text"))

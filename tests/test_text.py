@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -72,3 +73,13 @@ def test_odd_values(spark):
 @pytest.mark.parametrize(("size", "shown"), [("512", "512.00 B"), ("2048", "2.00 KB"), ("5368709120", "5.00 GB")])
 def test_bytes(spark, size, shown):
     assert values(spark, T.format_bytes, [size]) == [shown]
+
+
+def test_evidence_holds_whole_texts(spark, tmp_path):
+    from corvane.queries import QUERIES
+
+    texts = ["short", "", "x" * 100 + 'after "quotes"\\ \n\r\t\x01\x0b\x1f\x7f\u2028 中文 😀', "line\n" * 5_000]
+    rows = [(i, t, "a", "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["x12_evidence_json_whole"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: json.loads(r.evidence) for r in got} == {i: {"evidence_no": i, "title": "a", "location": "en", "content": t} for i, t, *_ in rows}
