@@ -331,6 +331,13 @@ def i8(spark, sf_dir):
     return layers.repeated_ids(once, "source").select("source", F.col("count").alias("n"))
 
 
+@query("i8_cross_layer_repeats_whole", "SELECT kind, id, count(DISTINCT layer) AS n FROM (SELECT 'source' AS kind, source AS id, doc_id % 5 = 0 AS layer FROM documents UNION ALL SELECT 'lang', lang, doc_id % 5 = 0 FROM documents) GROUP BY kind, id HAVING count(DISTINCT layer) > 1")
+def i8_whole(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("id")) for c in ("source", "lang")])).alias("of")).select("doc_id", "of.*")
+    once = layers.stacked([d.filter("doc_id % 5 <> 0"), d.filter("doc_id % 5 = 0")]).select(F.struct("kind", "id").alias("key"), "layer").distinct()
+    return layers.repeated_ids(once, "key").select("key.kind", "key.id", F.col("count").alias("n"))
+
+
 KNOWN_SQL = "incoming AS (SELECT url AS key, sha256(html) AS digest FROM pages), known AS (SELECT CASE WHEN page_id % 4 = 3 THEN url || '?' ELSE url END AS key, CASE WHEN page_id % 4 = 1 THEN 'old' ELSE sha256(html) END AS digest FROM pages WHERE page_id % 4 > 0)"
 
 

@@ -102,3 +102,12 @@ def test_manifest_and_ingestion(spark, tmp_path):
         store.publish(Manifest(2, manifest.base), 1)
     with pytest.raises(ValueError):
         Manifest(1, Layer("x", "../up", "0" * 64))
+
+
+def test_cross_layer_repeats_of_high_ids(spark, tmp_path):
+    from corvane.queries import QUERIES
+
+    rows = [(60, "late", "en"), (61, "late", "de"), (62, "one layer", "de"), (65, "other", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["i8_cross_layer_repeats_whole"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("source", "late", 2)]
