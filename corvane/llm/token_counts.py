@@ -8,6 +8,7 @@ most of its bytes, the earlier one among equals, so a document's section counts
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from corvane.llm.common import table
 
 SCHEMA = "doc_id long, section long, begin long, end long, n_tokens long, n_crossing long"
 RULES = ("most", "first")
+#: Runs of white space as the vocabulary's pattern knows it, too long for its look-ahead, which keeps a place for each character.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 
 
 class ByteBpe:
@@ -27,13 +30,24 @@ class ByteBpe:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, rank in ranks.items():
             self.size[rank] = len(token)
 
+    def ids(self, text: str) -> np.ndarray:
+        """The pattern cuts before a run of white space and, unless the text ends with it, before its last character, so long
+        runs are taken out there and merged as the one piece that they are."""
+        parts, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            cut = run.end() - (run.end() < len(text))
+            parts += [self.encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()), self.whole.encode_to_numpy(text[run.start() : cut], disallowed_special=())]
+            at = cut
+        return np.concatenate([*parts, self.encoding.encode_to_numpy(text[at:], disallowed_special=())])
+
     def ends(self, text: str) -> np.ndarray:
         """Where each token ends, in bytes."""
-        return np.cumsum(self.size[self.encoding.encode_to_numpy(text, disallowed_special=())])
+        return np.cumsum(self.size[self.ids(text)])
 
 
 _loaded: dict[str, ByteBpe] = {}

@@ -18,8 +18,8 @@ from tokenizers import Tokenizer
 PLAIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-įı-ɏ]+")
 #: Ends a word in the merge table below; PLAIN text has no such character.
 END = "\x01"
-#: Chunks to remember in a worker.
-REMEMBERED = 600_000
+#: Chunks to remember in a worker, and the bytes of the longest: what is longer is a text without spaces, which does not come again.
+REMEMBERED, LONGEST = 600_000, 64
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -69,10 +69,14 @@ class WordBpe:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
+            out = []
             for c in chunks:
-                if c not in known:
-                    known[c] = self.chunk(c)
-            return b"".join([known[c] for c in chunks])
+                if (ids := known.get(c)) is None:
+                    ids = self.chunk(c)
+                    if len(c) <= LONGEST:
+                        known[c] = ids
+                out.append(ids)
+            return b"".join(out)
 
 
 _loaded: dict[str, WordBpe] = {}
