@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm.common import table
-from corvane.llm.labels import held_out, training_labels
+from corvane.llm.common import checkpointed, table
+from corvane.llm.labels import held_out, labelled_texts, training_labels
 
-#: Labelled rows that are learnt from at most, and n-grams of each that are at most looked at for the fit (scores use all).
-SAMPLE = 8_000
+#: Labelled rows that are learnt from at most, and n-grams of all of them together, which are held by the driver.
+SAMPLE, MOST_GRAMS = 8_000, 16_000_000
 HASHES = 1 << 18
 COST, ROUNDS, SMOOTHING = 1.0, 12, 1.0
 #: One in so many sample rows is kept for the logistic curve.
@@ -42,11 +42,11 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.log(good / good.sum()) - np.log(bad / bad.sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Weights (last: bias) of the hinge-loss machine over ratio-scaled indicators of unit length; cost bounds each row's dual."""
+def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (last: bias) and duals of the hinge-loss machine over ratio-scaled indicators of unit length; cost bounds the duals."""
     scale = [ratio[x] / max(1e-9, np.sqrt((ratio[x] ** 2).sum())) for x in rows]
     weights, dual, rng = np.zeros(HASHES + 1), np.zeros(len(rows)), np.random.default_rng(9)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(rows)):
             gradient = y[i] * (weights[rows[i]] @ scale[i] + weights[-1]) - 1
@@ -58,7 +58,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nda
                 moved, dual[i] = max(moved, abs(new - dual[i])), new
         if moved < 1e-3:
             break
-    return weights
+    return weights, dual
 
 
 def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -88,7 +88,7 @@ class NbSvm:
         fit = [r for r, h in zip(rows, hold, strict=True) if not h]
         share = (y[~hold] > 0).mean()
         self.ratio = log_count_ratios(fit, y[~hold])
-        weights = dual_coordinate_descent(fit, y[~hold], self.ratio, np.where(y[~hold] > 0, COST / (2 * share), COST / (2 * (1 - share))))
+        weights, _ = dual_coordinate_descent(fit, y[~hold], self.ratio, np.where(y[~hold] > 0, COST / (2 * share), COST / (2 * (1 - share))))
         self.table, self.bias = self.ratio * weights[:-1], weights[-1]
         seen = hold if hold.any() else ~hold
         self.slope, self.shift = logistic(np.array([self.margin(r) for r, h in zip(rows, seen, strict=True) if h]), y[seen])
@@ -100,24 +100,33 @@ class NbSvm:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -30, 30))))
 
 
+def learnt_rows(docs: DataFrame, labels: DataFrame, most: int, most_grams: int = MOST_GRAMS) -> tuple[list[np.ndarray], np.ndarray]:
+    """n-grams and labels of at most most labelled rows, in the order of a hash of their ids, until they have most_grams n-grams."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [ngrams(t.as_py()).astype(np.int32) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["doc_id", "label", "n", "grams"])
+
+    texts = labelled_texts(docs, training_labels(labels, "quality", most))
+    rows = checkpointed(texts.mapInArrow(hashed, "doc_id long, label int, n long, grams binary")).withColumn("at", F.xxhash64("doc_id"))
+    sizes, held, last = rows.select("at", "n").collect(), 0, None  # at most most pairs of numbers
+    for r in sorted(sizes):
+        if (held := held + r.n) > most_grams:
+            break
+        last = r.at
+    got = sorted(rows.filter(F.col("at") <= F.lit(last)).select("doc_id", "label", "grams").collect()) if last is not None else []
+    return [np.frombuffer(r.grams, dtype=np.int32).astype(np.int64) for r in got], np.array([r.label for r in got])
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Null and empty texts have no n-grams and get the bias's score. If the sample has one class alone, the score is its
-    label; 0 without any labelled row. Rows that repeat get the same score. Further columns are ignored; an empty table
-    gives no rows.
+    label; 0 without any labelled row. Rows that repeat get the same score; of a labelled id that repeats, the greatest text
+    by order is learnt from. Further columns are ignored; an empty table gives no rows.
     """
-    sample = training_labels(labels, "quality", most)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([ngrams(t.as_py()).astype(np.int32).tobytes() for t in batch.column(2)], pa.binary())], names=["doc_id", "label", "grams"])
-
-    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    got = {r.doc_id: r for r in chosen.mapInArrow(hashed, "doc_id long, label int, grams binary").collect()}  # as many rows as most
-    rows = [np.frombuffer(got[d].grams, dtype=np.int32).astype(np.int64) for d in sorted(got)]
-    label = np.array([got[d].label for d in sorted(got)])
-    got.clear()
+    rows, label = learnt_rows(docs, labels, most)
     model = NbSvm(rows, label) if len(set(label.tolist())) > 1 else None
     constant = float(label[0] > 0) if len(label) else 0.0
 
