@@ -8,7 +8,7 @@ many pieces of text are parsed in step, for all languages at once.
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from corvane.llm.common import batches_of, checkpointed, fold, table
 
 FOLDS, HELD_OUT = 3, 1
-#: What is learnt from at most: languages, labelled rows of each, characters of each language.
-MOST_LANGUAGES, MOST_ROWS, MOST_CHARS = 64, 200, 40_000
-#: Characters with a class of their own; all others share one, and what is no letter is a space.
-MOST_CLASSES = 126
-#: Characters that are parsed without a break, and pieces that are parsed in step.
+#: What is learnt from at most: labelled texts of each language, and characters of all languages together, in segments from
+#: anywhere in those texts. A language has one segment at least, so beyond MOST_CHARS / SEGMENT languages each has one.
+MOST_ROWS, MOST_CHARS, SEGMENT = 200, 160_000, 1_000
+#: Bytes that are parsed without a break, and pieces that are parsed in step.
 PIECE, LANES = 1_024, 4_096
 UNDETERMINED = "und"
+#: Runs of what is no letter: signs, digits, marks and spaces.
+NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def automaton(text: np.ndarray, classes: int) -> np.ndarray:
@@ -53,57 +54,59 @@ def automaton(text: np.ndarray, classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    out = np.full((len(step), classes), -1, dtype=np.int64)
+    out = np.full((len(step), classes), -1, dtype=np.int32)
     for state, to in enumerate(step):
         out[state, list(to)] = list(to.values())
     return out
 
 
+def letters_alone(text: str) -> bytes:
+    """The text in lower case as UTF-8, where each run of what is no letter has become one space."""
+    return NO_LETTERS.sub(" ", text.lower()).encode("utf-8", "replace")
+
+
 class Parser:
-    """Counts the phrases of texts against each language."""
+    """Counts the phrases of texts against each language, byte by byte, so that letters of all scripts are told apart.
+
+    The table has a row for each state, of which there are at most two for each learnt byte, and a column for each kind of
+    byte that was learnt, 256 at most: some 2 kB for each byte, 0.3 GB for MOST_CHARS bytes if all kinds occur and half of
+    that for languages of Latin letters.
+    """
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
-        seen = Counter(c for t in texts.values() for c in set(t.lower()) if c.isalpha())
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MOST_CLASSES]]
-        self.classes = 1 << (len(letters) + 1).bit_length()
-        self.of_char = np.full(0x110000, len(letters) + 1, dtype=np.uint8)
-        self.of_char[: 0x80] = 0
-        for i, c in enumerate(letters):
-            self.of_char[ord(c)] = i + 1
+        learnt = {k: letters_alone(t) for k, t in texts.items()}
+        kinds = sorted(set().union(*learnt.values()))
+        self.classes = len(kinds) + 1
+        self.of_byte = np.full(256, len(kinds), dtype=np.uint8 if len(kinds) < 256 else np.int16)
+        self.of_byte[kinds] = np.arange(len(kinds))
         tables, self.root, at = [], [], 0
         for language in self.languages:
-            to = automaton(self.coded(texts[language]), self.classes)
-            alone = len(to)  # the state after a character that the labelled text lacks, a phrase of its own
-            to = np.concatenate([to, np.full((1, self.classes), -1)])
-            ends = to < 0  # the phrase ends before this character, which begins the next one
+            to = automaton(self.of_byte[np.frombuffer(learnt[language], dtype=np.uint8)], self.classes)
+            alone = len(to)  # the state after a byte that the labelled text lacks, a phrase of its own
+            to = np.concatenate([to, np.full((1, self.classes), -1, dtype=np.int32)])
+            ends = to < 0  # the phrase ends before this byte, which begins the next one
             begins = np.where(to[0] < 0, alone, to[0])
-            state = np.where(ends, begins[None, :], to) + at
+            state = np.where(ends, begins[None, :], to).astype(np.int64) + at
             ends[0] = False  # nothing has been read at the root
-            tables.append(((state * self.classes) << 1 | ends).astype(np.int64))
+            tables.append(((state * self.classes) << 1 | ends).astype(np.int32 if (at + len(to)) * self.classes * 2 < 1 << 31 else np.int64))
             self.root.append(at * self.classes)
             at += len(to)
-        if at * self.classes * 2 >= 1 << 31:
-            raise ValueError("the labelled texts are too long for one table")
-        self.table = np.concatenate([*tables, np.zeros((0, self.classes), dtype=np.int64)]).astype(np.int32).ravel()
-        self.weight = np.array([np.log2(max(2, len(texts[x]))) for x in self.languages])
+        self.table = np.concatenate([*tables, np.zeros((0, self.classes), dtype=np.int32)]).ravel()
+        self.weight = np.array([np.log2(max(2, len(learnt[x]))) for x in self.languages])
 
     def coded(self, text: str) -> np.ndarray:
-        """The classes of the characters, in lower case; runs of what is no letter become one space."""
-        code = self.of_char[np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)]
-        kept = np.ones(len(code), dtype=bool)
-        kept[1:] = (code[1:] > 0) | (code[:-1] > 0)
-        return code[kept]
+        return self.of_byte[np.frombuffer(letters_alone(text), dtype=np.uint8)]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of each text against each language, and parsed characters. A text is parsed in pieces of PIECE."""
+        """Phrases of each text against each language, and parsed bytes. A text is parsed in pieces of PIECE."""
         codes = [self.coded(t) for t in texts]
         size = np.array([len(c) for c in codes], dtype=np.int64)
         pieces = -(-size // PIECE)
         of_text = np.repeat(np.arange(len(texts)), pieces)
         begin = np.concatenate([[0], np.cumsum(size)])[of_text] + (np.arange(len(of_text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
         length = np.minimum(PIECE, np.repeat(np.cumsum(size), pieces) - begin)
-        flat = np.concatenate([*codes, np.zeros(PIECE, dtype=np.uint8)])
+        flat = np.concatenate([*codes, np.zeros(PIECE, dtype=self.of_byte.dtype)])
         counts = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
         order = np.argsort(-length, kind="stable")
         for lanes in (order[i : i + LANES] for i in range(0, len(order), LANES)):
@@ -138,22 +141,44 @@ class Parser:
 
 
 def labelled_texts(docs: DataFrame) -> dict[str, str]:
-    """Text of each language, of bounded size, from rows outside the held-out fold. Rows are chosen by a hash of their id."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id", "lang")
-    languages = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.filter(F.col("lang").isin(languages)).withColumn("row", F.row_number().over(first)).filter(F.col("row") <= MOST_ROWS).select("doc_id").distinct()
-    chosen = F.broadcast(checkpointed(chosen))  # MOST_LANGUAGES * MOST_ROWS ids at most
-    share = MOST_CHARS // 20
-    rows = docs.filter(F.col("lang").isNotNull()).join(chosen, "doc_id").select("lang", "doc_id", F.substring("text", 1, share).alias("text")).filter("text is not null").collect()
-    out: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, hash_order(r.doc_id), r.text)):
-        out[r.lang] = (out.get(r.lang, "") + "\n" + r.text)[:MOST_CHARS]
-    return {k: t for k, t in out.items() if any(map(str.isalpha, t))}
+    """Learnt text of each language, from rows outside the held-out fold.
+
+    Of each language's different texts MOST_ROWS are chosen by a hash of the text, and of their segments, wherever they lie,
+    as many by a hash as the language's share of MOST_CHARS has room for. Copies count once.
+    """
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).select("lang", "text")
+    texts = usable.withColumn("at", F.xxhash64("text"))
+    row = F.row_number().over(W.partitionBy("lang").orderBy("at"))
+    chosen = checkpointed(texts.select("lang", "at").distinct().withColumn("row", row).filter(F.col("row") <= MOST_ROWS).select("lang", "at"))
+    languages = chosen.select("lang").distinct().count()
+    once = texts.join(F.broadcast(chosen), ["lang", "at"]).groupBy("lang", "at").agg(F.max("text").alias("text"))  # MOST_ROWS a language
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = [text[i : i + SEGMENT] for i in range(0, len(text), SEGMENT)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array([at] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.string())], names=["lang", "at", "segment", "text"])
+
+    room = max(1, MOST_CHARS // (SEGMENT * max(1, languages)))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("at", "segment"), "at", "segment"))
+    segments = once.select("lang", "at", "text").mapInArrow(cut, "lang string, at long, segment long, text string").withColumn("place", place).filter(F.col("place") <= room)
+    out: dict[str, list[str]] = {}
+    for r in sorted(segments.select("lang", "place", "text").collect()):
+        out.setdefault(r.lang, []).append(r.text)
+    joined = {k: "\n".join(t) for k, t in out.items()}
+    return {k: t for k, t in joined.items() if any(map(str.isalpha, t))}
+
+
+_parsers: dict[int, tuple[dict[str, str], Parser]] = {}
 
 
-def hash_order(doc_id: int) -> int:
-    return (doc_id * 0x9E3779B97F4A7C15) % (1 << 64)
+def parser_of(texts: dict[str, str]) -> Parser:
+    """One for each worker process: automata are built once, not for each task."""
+    key = hash(tuple(sorted(texts.items())))
+    if key not in _parsers or _parsers[key][0] != texts:
+        _parsers.clear()
+        _parsers[key] = texts, Parser(texts)
+    return _parsers[key][1]
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -166,7 +191,7 @@ def identify(docs: DataFrame) -> DataFrame:
     texts = labelled_texts(docs)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(texts)
+        parser = parser_of(texts)
         for batch in batches_of(batches, "text", 8 << 20):
             labels, scores = parser.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
