@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -29,10 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own where it is unset."""
+    """The folder that spark.checkpoint.dir names; where it is unset one in the warehouse, which executors share too."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return sc.getCheckpointDir()
 
 
@@ -60,8 +59,8 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n, F.lit(n))
 
 
-def join_hot_safe(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Inner join of rows with per_key, which has one row for each key and the number of its rows in count.
+def join_hot_safe(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """Join of rows with per_key, which has one row for each key and in count the number of that key's rows in rows.
 
     Keys with over HOT_SHARE of all rows, fewer than 1 / HOT_SHARE by counting, are broadcast; the rest meets by a shuffle
     in which no key has more than that share.
@@ -69,7 +68,20 @@ def join_hot_safe(rows: DataFrame, per_key: DataFrame, key: str, count: str, tot
     hot = per_key.filter(F.col(count) > max(1.0, total * HOT_SHARE))
     cold = per_key.filter(F.col(count) <= max(1.0, total * HOT_SHARE))
     keys = F.broadcast(hot.select(key))
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(cold, key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(cold, key, how))
+
+
+def join_counted(rows: DataFrame, per_key: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """join_hot_safe() where nobody has counted yet. rows: checkpointed, about total of them, no null keys.
+
+    A key with over HOT_SHARE of the rows is among the 1 / HOT_SHARE most frequent ones, which are looked up.
+    """
+    most = rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(round(1 / HOT_SHARE)).collect()
+    hot = [r[0] for r in most if r.n > max(1.0, total * HOT_SHARE)]
+    if not hot:
+        return rows.join(per_key, key, how)
+    is_hot = F.col(key).isin(hot)
+    return rows.filter(is_hot).join(F.broadcast(per_key.filter(is_hot)), key, how).unionByName(rows.filter(~is_hot).join(per_key, key, how))
 
 
 def batches_of(source: Iterator[pa.RecordBatch], text: str, most_chars: int) -> Iterator[pa.RecordBatch]:

@@ -15,9 +15,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corvane.llm.common import checkpointed, join_hot_safe, table
+from corvane.llm.common import checkpointed, forget, join_counted, join_hot_safe, stored, table
 from corvane.llm.components import connected_components
 
 SHINGLE = 3
@@ -29,6 +29,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b101011100011
 #: Fingerprints that are compared in one block.
 BLOCK = 4_096
+#: Crowded keys that are broadcast, of 16 bytes each; if there are more, keys meet their rows by a shuffle.
+MOST_BROADCAST = 100_000
 #: Shingles hashed at a time.
 HASHED = 1 << 16
 
@@ -47,14 +49,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long. Null and blank texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id, row_key, fp: the fingerprint as a signed long. Null and blank texts have fingerprint 0."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t.as_py()) for t in batch.column(2)], pa.int64())], names=["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit("") if key is None else key.cast("string")).alias("row_key"), "text")
+    return rows.mapInArrow(of, "doc_id long, row_key string, fp long")
 
 
 def remainder(words: np.ndarray) -> np.ndarray:
@@ -163,41 +166,49 @@ def linked(rows: DataFrame) -> DataFrame:
     return rows.select("key", "block", "fp").repartition("key", "block").sortWithinPartitions("key", "block", "fp").mapInArrow(link, "a long, b long")
 
 
-def near_links(fps: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) whose components are those of all fingerprints at most MOST_BITS apart. fps: distinct, total of them.
+def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) whose components are those of all fingerprints at most MOST_BITS apart. fps: distinct.
 
     A key with more than block fingerprints is split into blocks that meet two by two, so that no task holds more than two.
+    Keys are made once and kept as a table until the links are there.
     """
-    rows = keyed(fps).withColumn("block", F.lit(0))
-    if total > block:
-        crowded = checkpointed(rows.groupBy("key").count().filter(F.col("count") > block))
-        if n := crowded.count():
-            crowded = crowded.select("key", F.ceil(F.col("count") * 2 / block).cast("int").alias("blocks"))
-            crowded = F.broadcast(crowded) if n <= 100_000 else crowded
-            own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-            two = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other) + 1)
-            split = rows.join(crowded, "key", "left").select("key", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(two)).alias("block"))
-            return linked(split)
-    return linked(rows)
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that can be reached).
+    rows, place = stored(keyed(fps))
+    crowded = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") * 2 / block).cast("int")))
+    if few := crowded.count():
+        if few <= MOST_BROADCAST:
+            split = rows.join(F.broadcast(crowded), "key", "left")
+        else:
+            split = join_hot_safe(rows, crowded, "key", "n", rows.count(), "left")
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        two = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other) + 1)
+        links = checkpointed(linked(split.select("key", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(two)).alias("block"))))
+    else:
+        links = checkpointed(linked(rows.withColumn("block", F.lit(0))))
+    forget(fps.sparkSession, [place])
+    return links
+
+
+def near_duplicates(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that can be reached), row_key, kept.
+
+    key tells rows apart that share a doc_id; it becomes row_key, empty if it is not given. kept is true for the rows of a
+    component with its smallest doc_id and, under that id, its smallest row_key.
 
     Equal fingerprints are one node, so copies are never paired. Null, empty and blank texts have fingerprint zero and are
     linked like any other. A null doc_id takes part but is never a component's id unless no other is there. Rows that repeat
     are answered alike. Further columns are ignored; an empty table gives no rows.
     """
-    prints = checkpointed(fingerprints(docs))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(nodes, nodes.count())).withColumnRenamed("node", "fp")
+    prints = checkpointed(fingerprints(docs, key))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("least")))
+    roots = connected_components(near_links(nodes)).withColumnRenamed("node", "fp")
     linked_nodes = checkpointed(nodes.join(roots, "fp"))
-    least = checkpointed(linked_nodes.groupBy("root").agg(F.min("least").alias("component")))
-    joined = linked_nodes.join(least, "root").select("fp", "component")
-    classes = checkpointed(nodes.join(joined, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id")))
+    least = linked_nodes.groupBy("root").agg(F.min("least").alias("first"))
+    joined = join_counted(linked_nodes, least, "root", linked_nodes.count()).select("fp", "first")
+    classes = checkpointed(nodes.join(joined, "fp", "left").select("fp", "n", F.coalesce("first", "least").alias("first")))
     found = join_hot_safe(prints, classes, "fp", "n", prints.count())
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("row_key").eqNullSafe(F.col("first.row_key"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"), "row_key", kept.alias("kept"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
