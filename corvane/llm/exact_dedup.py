@@ -1,13 +1,15 @@
 """Exact de-duplication against a persistent digest index, with DataFrame operations only.
 
-The index is a Parquet table bucketed and sorted by digest, so new digests meet it by a sort-merge anti-join for which the
-index is not shuffled; digests it lacks are appended. Texts are compared after white space is deleted.
+The index is a Parquet table bucketed and sorted by digest. Each batch's digests are shuffled to the same buckets and meet it
+by a sort-merge anti-join for which the index is not shuffled; digests it lacks are appended as new ones, the others as further
+counts. Texts are compared after white space is deleted.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,22 +20,38 @@ SPACE = " \t\n\x0b\x0c\r"
 #: Digests for each bucket when an index is made.
 BUCKET_ROWS = 2_000_000
 MOST_BUCKETS = 4_096
-COLUMNS = "digest BINARY, keep_id BIGINT, keep_length INT, group_size BIGINT"
+#: first: the batch that brought the digest. Its row names the document that stays; later ones add to the group's size.
+COLUMNS = "digest BINARY, keep_id BIGINT, keep_length INT, group_size BIGINT, first BOOLEAN"
+#: Batches in which the query hands all documents to its index.
+BATCHES = 2
 
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACE, "")
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
+def length(text: Column) -> Column:
+    return F.char_length(F.coalesce(text, F.lit("")))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, code points of the text, SHA-256 of the normalised text."""
-    return docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("length"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
+    return docs.select("doc_id", length(F.col("text")).alias("length"), digest(F.col("text")).alias("digest"))
+
+
+def rank(length: str, doc_id: str) -> Column:
+    """The longest original text comes first, then the smallest id; null ids come last."""
+    return F.struct((-F.col(length)).alias("shorter"), F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """One row per digest: the longest original text stays, then the smallest id; null ids come last."""
-    best = F.min(F.struct((-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
-    return rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.shorter")).alias("keep_length"), "group_size")
+    """One row per digest: the first by rank stays."""
+    best = rows.groupBy("digest").agg(F.min(rank("length", "doc_id")).alias("best"), F.count("*").alias("group_size"))
+    return best.select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.shorter")).alias("keep_length"), "group_size")
 
 
 class DigestIndex:
@@ -51,57 +69,116 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def append(self, groups: DataFrame) -> None:
-        """Adds the groups whose digest is not in the index yet; one file for each bucket and call."""
-        new = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        dealt = new.repartition(self.buckets, "digest").select(*self.rows().columns)
-        dealt.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
+        """Adds groups, which are checkpointed: those with a new digest as first ones, the others as further counts."""
+        known = self.rows().filter("first").select("digest").hint("merge")
+        new, old = groups.join(known, "digest", "left_anti"), groups.join(known, "digest", "left_semi")
+        both = new.withColumn("first", F.lit(True)).unionByName(old.withColumn("first", F.lit(False)))
+        both = both.repartition(self.buckets, "digest").select(*self.rows().columns)
+        both.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
+
+    def of(self, groups: DataFrame, best: bool = False) -> DataFrame:
+        """digest, keep_id, keep_length, group_size over all batches so far of the digests of groups, and n, their rows in groups.
+
+        best: of all batches the first document by rank stays, not that of the batch that brought the digest.
+        """
+        met = self.rows().hint("merge").join(groups.select("digest", F.col("group_size").alias("n")), "digest")
+        kept = F.min(rank("keep_length", "keep_id")) if best else F.min(F.when(F.col("first"), rank("keep_length", "keep_id")))
+        one = met.groupBy("digest").agg(kept.alias("kept"), F.sum("group_size").alias("group_size"), F.first("n").alias("n"))
+        return one.select("digest", F.col("kept.doc_id").alias("keep_id"), (-F.col("kept.shorter")).alias("keep_length"), "group_size", "n")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def dedup_exact(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def answered(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    out = join_hot_safe(rows, found, "digest", "n", total)
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def dedup_batch(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """One row per document of a batch, compared with all that index has seen: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts that the index already holds lose to the document it names, and group_size is that of their first batch. Without
-    an index the rows of docs alone are compared, through an index for this call. Null text equals empty text. Among ties
-    the smallest doc_id stays; a null doc_id only if all are null. Rows that repeat a doc_id are one document listed
-    twice: each gets the same answer. Further columns are ignored; an empty table gives no rows.
+    Texts that the index already holds lose to the document it names, and group_size counts the rows of all batches up to
+    this one. Otherwise as dedup_exact().
     """
-    spark = docs.sparkSession
     rows = checkpointed(digests(docs))
-    total = rows.count()
-    own = index or DigestIndex(spark, f"digests_{uuid.uuid4().hex}", buckets=min(MOST_BUCKETS, max(8, total // BUCKET_ROWS)))
-    own.append(grouped(rows))
-    kept = own.rows()
-    if index is None:
-        kept = checkpointed(kept)
-        own.drop()
-    found = join_hot_safe(rows, kept.drop("keep_length"), "digest", "group_size", total)
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    groups = checkpointed(grouped(rows))
+    index.append(groups)
+    return answered(rows, checkpointed(index.of(groups)), rows.count())
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs without rows that repeat the id and the normalised text of another; of those the longest original stays.
+def decided(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """digest, keep_id, keep_length, group_size, n of all digests of rows (doc_id, length, digest), through an index for this call.
+
+    The rows go to the index in batches by a hash of the id, so that copies meet across them.
+    """
+    spark = rows.sparkSession
+    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}", buckets=min(MOST_BUCKETS, max(8, rows.count() // BUCKET_ROWS)))
+    try:
+        for batch in range(batches):
+            index.append(checkpointed(grouped(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == batch))))
+        everything = index.rows().groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+        return checkpointed(index.of(everything, best=True))
+    finally:
+        index.drop()
+
+
+def dedup_exact(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Ids and digests alone are counted; only rows that do repeat are compared whole.
+    Null text equals empty text. Of equal texts the longest original stays, among ties the smallest doc_id; a null doc_id
+    only if all are null. Rows that repeat a doc_id are one document listed twice: each gets the same answer. Further
+    columns are ignored; an empty table gives no rows.
     """
-    digest = "digest of the normalised text"
-    named = docs.withColumn(digest, F.sha2(normalised(F.col("text")), 256))
-    keys = ["doc_id", digest]
-    repeated = checkpointed(named.filter("doc_id is not null").select(*keys).groupBy(*keys).count().filter("count > 1").select(*keys))
-    if repeated.isEmpty():
-        return docs
-    rest = [c for c in docs.columns if c != "doc_id"]
-    best = F.min(F.struct((-F.char_length(F.coalesce("text", F.lit("")))).alias("shorter than others"), *rest)).alias("best")
-    one = named.join(repeated, keys).groupBy(*keys).agg(best).select("doc_id", *[F.col(f"best.`{c}`").alias(c) for c in rest])
-    return named.join(repeated, keys, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    rows = checkpointed(digests(docs))
+    return answered(rows, decided(rows), rows.count())
+
+
+def one_of_each(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows with one of those that agree in keys. Only rows that do repeat are compared whole."""
+    same = reduce(lambda a, b: a & b, [F.col(f"rows.{k}").eqNullSafe(F.col(f"twice.{k}")) for k in keys])
+    twice = checkpointed(rows.groupBy(*keys).count().filter("count > 1").select(*keys))
+    if twice.isEmpty():
+        return rows.select(*columns)
+    named = rows.alias("rows")
+    best = named.join(twice.alias("twice"), same, "left_semi").groupBy(*keys).agg(F.min(F.struct(*[f"`{c}`" for c in columns])).alias("best"))
+    return named.join(twice.alias("twice"), same, "left_anti").select(*[F.col(f"rows.`{c}`") for c in columns]).unionByName(best.select("best.*"))
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs, with its columns, where of equal texts the longest original stays, among ties the smallest doc_id, in one row."""
+    names = ["digest of the text", "length of the text"]
+    named = docs.withColumns({names[0]: digest(F.col("text")), names[1]: length(F.col("text"))})
+    rows = checkpointed(digests(docs))
+    found = decided(rows).select(F.col("digest").alias(names[0]), F.struct("keep_id", "keep_length").alias("kept of the text"), F.col("n").alias("rows of the text"))
+    met = join_hot_safe(named, found, names[0], "rows of the text", rows.count())
+    stays = met.filter(F.col("doc_id").eqNullSafe(F.col("`kept of the text`.keep_id")) & (F.col(f"`{names[1]}`") == F.col("`kept of the text`.keep_length")))
+    return one_of_each(stays, [names[0]], docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(table(spark, sf_dir, "documents"))
 
 
+def exact_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as three batches that follow one another: for each document its batch's answer at that time."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.col("doc_id") % 3, F.lit(0)).alias("batch"))
+    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}", buckets=8)
+    try:
+        parts = [checkpointed(dedup_batch(docs.filter(F.col("batch") == b), index).withColumn("batch", F.lit(b).cast("long"))) for b in range(3)]
+    finally:
+        index.drop()
+    return reduce(DataFrame.unionByName, parts)
+
+
+EXACT_INCREMENTS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(doc_id % 3, 0) AS batch, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents
+), r AS (
+  SELECT *, count(*) OVER (PARTITION BY h ORDER BY batch) AS group_size, first_value(doc_id) OVER (PARTITION BY h ORDER BY batch, n DESC, doc_id) AS keep_id FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256, batch FROM r
+"""
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents

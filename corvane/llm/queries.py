@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.decontaminate import OP7_SQL, op7_decontamination
-from corvane.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from corvane.llm.exact_dedup import EXACT_INCREMENTS_SQL, OP3_SQL, exact_increments, op3_exact_dedup
 from corvane.llm.language import op4_language
 from corvane.llm.lm_score import op10_lm_score
 from corvane.llm.packing import op2_packing
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_lm_score": op10_lm_score,
+    "exact_increments": exact_increments,
 }
 #: The others have no SQL form; tests hold them against brute force or held-out labels.
-SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op5_preference": OP5_SQL, "op7_decontamination": OP7_SQL}
+SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "exact_increments": EXACT_INCREMENTS_SQL, "op5_preference": OP5_SQL, "op7_decontamination": OP7_SQL}

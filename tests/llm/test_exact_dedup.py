@@ -1,7 +1,8 @@
 import hashlib
 from collections import defaultdict
 
-from corvane.llm.exact_dedup import SPACE, DigestIndex, dedup_exact, op3_exact_dedup
+from corvane.llm import common
+from corvane.llm.exact_dedup import SPACE, DigestIndex, dedup_batch, dedup_exact, digests, grouped, op3_exact_dedup, without_copies
 
 from .conftest import SF
 
@@ -28,16 +29,72 @@ def test_against_brute_force(spark, odd, clashing, empty):
     assert rows(dedup_exact(empty)) == []
 
 
-def test_index_keeps_what_came_first(spark, tmp_path):
+def batches_by_hand(batches):
+    """Rows (doc_id, text) of batches that follow one another."""
+    seen, out = {}, []
+    for batch in batches:
+        new = defaultdict(list)
+        for doc, text in batch:
+            new["".join(c for c in (text or "") if c not in SPACE)].append((doc, text or ""))
+        for text, members in new.items():
+            keep, n = seen.get(text, (min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))[0], 0))
+            seen[text] = keep, n + len(members)
+            out += [(doc, *seen[text], doc == keep, hashlib.sha256(text.encode()).hexdigest()) for doc, _ in members]
+    return sorted(out, key=str)
+
+
+def test_batches_against_brute_force(spark, tmp_path):
+    """Three batches, copies within and across them, a text that the index holds once and a batch holds fifty times."""
     schema = "doc_id long, text string"
-    first, second = spark.createDataFrame([(1, "a b"), (2, "c")], schema), spark.createDataFrame([(3, "a  b"), (4, "d"), (5, "d")], schema)
-    index = DigestIndex(spark, "seen", str(tmp_path / "seen"), buckets=4)
-    assert {r.doc_id for r in dedup_exact(first, index).collect() if r.kept} == {1, 2}
-    assert {r.doc_id: r.keep_id for r in dedup_exact(second, index).collect()} == {3: 1, 4: 4, 5: 4}
+    first = [(1, "a b"), (2, "c"), (3, None), (None, "z"), *((i, f"old {i}") for i in range(100, 160))]
+    second = [(4, "a  b"), (5, "d"), (6, "d "), (7, ""), *((i, "hot\ttext") for i in range(200, 250))]
+    third = [(8, "ab"), (9, "d"), (10, "new"), *((i, "c") for i in range(300, 350)), (351, "hottext"), (1, "other text, same id")]
+    index, got = DigestIndex(spark, "seen", str(tmp_path / "seen"), buckets=4), []
+    for n, batch in enumerate((first, second, third)):
+        if n == 2:  # as a later session would
+            index.drop()
+            index = DigestIndex(spark, "seen_again", str(tmp_path / "seen"), buckets=4)
+        got += rows(dedup_batch(spark.createDataFrame(batch, schema), index))
+    assert sorted(got, key=str) == batches_by_hand([first, second, third])
+    assert index.rows().filter("first").count() == len({r[4] for r in got})
+    index.drop()
+
+
+def test_the_index_is_not_shuffled(spark, monkeypatch):
+    """A small batch against a large index: no exchange between the index and its joins, and nothing of it is broadcast."""
+    index = DigestIndex(spark, "large", buckets=4)
+    dedup_batch(spark.range(5_000).selectExpr("id doc_id", "cast(id as string) text"), index)
+    batch = spark.createDataFrame([(9_000, "7"), (9_001, "x")], "doc_id long, text string")
+    groups = common.checkpointed(grouped(digests(batch)))
+    known = index.rows().filter("first").select("digest").hint("merge")
+    for partitions in (4, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        for plan in (groups.join(known, "digest", "left_anti"), index.of(groups)):
+            lines = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+            deep = lambda line: len(line) - len(line.lstrip(" :+-"))
+            scan = next(i for i, line in enumerate(lines) if "FileScan" in line)
+            above = [line for i, line in enumerate(lines[:scan]) if all(deep(line) < deep(x) for x in lines[i + 1 : scan + 1])]
+            assert any("SortMergeJoin" in line for line in above) and not any("Exchange" in line for line in above)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    small = []
+    monkeypatch.setattr(common.F, "broadcast", lambda df, f=common.F.broadcast: small.append(df) or f(df))
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in dedup_batch(batch, index).collect()} == {(9_000, 7, 2), (9_001, 9_001, 1)}
+    assert small and all(df.count() <= 2 for df in small)
     index.drop()
-    again = DigestIndex(spark, "seen_again", str(tmp_path / "seen"), buckets=4)  # as a later session would
-    assert again.rows().count() == 3
-    assert {r.keep_id for r in dedup_exact(second, again).collect()} == {1, 4}
-    plan = second.selectExpr("sha2(text, 256) digest").selectExpr("unhex(digest) digest").join(again.rows().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
-    assert "SortMergeJoin" in plan
-    again.drop()
+
+
+def test_rows_that_share_an_id_are_kept_apart(spark):
+    docs = [(0, "same text here"), (1, "same text  here"), (1, "a quite different text"), (1, "a quite different text"), (None, "x"), (None, "x"), (5, None), (6, " ")]
+    got = without_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "same text  here"), (1, "a quite different text"), (None, "x"), (6, " ")], key=str)
+
+
+def test_native_plan(spark):
+    plan = op3_exact_dedup(spark, SF)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_texts(spark):
+    texts = ["a" * 2_000_000, " " * 2_000_000, "\n" * 2_000_000, "中" * 700_000, ("a" * 2_000_000) + "\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(dedup_exact(docs)) == brute(docs.collect())
