@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from corvane.llm.common import batches_of, table, words_of
+from corvane.llm.common import batches_of, checkpointed, forget, join_hot_safe, stored, table, words_of
 
 WINDOW = 13
 #: Bytes of text in a shard, words of benchmark text searched at a time, distance of sampled suffix positions.
@@ -27,6 +30,10 @@ COLUMNS = ("n_words", "n_hit", "spans", "items")
 TYPES = "n_words long, n_hit long, spans array<bigint>, items array<string>"
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 class Windows:
     """The distinct windows of some items, as rows of word ids, longest first, and the items of each."""
 
@@ -157,9 +164,9 @@ def search_shard(texts: list[list[bytes]], windows: Windows) -> list[tuple[np.nd
     return out
 
 
-def union_spans(a: list[int], b: np.ndarray) -> list[int]:
-    """Both lists of begin and end, merged where they meet or overlap."""
-    spans, out = sorted(zip([*a[::2], *b[::2].tolist()], [*a[1::2], *b[1::2].tolist()], strict=True)), []
+def union_spans(lists: list[list[int]]) -> list[int]:
+    """Lists of begin and end, one after the other, merged where they meet or overlap."""
+    spans, out = sorted((a, b) for x in lists for a, b in zip(x[::2], x[1::2], strict=True)), []
     for begin, end in spans:
         if out and begin <= out[-1]:
             out[-1] = max(out[-1], end)
@@ -169,40 +176,65 @@ def union_spans(a: list[int], b: np.ndarray) -> list[int]:
 
 
 def with_hits(docs: DataFrame, windows: Windows) -> DataFrame:
-    """docs with COLUMNS: word count, hit words, spans (begin and end of each, one after the other, in words), items found.
-
-    What docs have in COLUMNS from windows before is kept and merged.
-    """
-    names = docs.columns
+    """docs with COLUMNS: word count, hit words, spans (begin and end of each, one after the other, in words), items found."""
+    text = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "text", SHARD_BYTES):
-            texts = [words_of(t.as_py()) for t in batch.column(names.index("text"))]
+            texts = [words_of(t.as_py()) for t in batch.column(text)]
             found = search_shard(texts, windows)
-            old = batch.column(names.index("spans")).to_pylist(), batch.column(names.index("items")).to_pylist()
-            spans = [union_spans(a or [], b) for a, (b, _) in zip(old[0], found, strict=True)]
-            items = [sorted({*(a or []), *b}) for a, (_, b) in zip(old[1], found, strict=True)]
-            new = [pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(s[1::2]) - sum(s[::2]) for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([new[COLUMNS.index(n)] if n in COLUMNS else batch.column(i) for i, n in enumerate(names)], names=names)
+            spans = [s.tolist() for s, _ in found]
+            new = [pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(s[1::2]) - sum(s[::2]) for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([i for _, i in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *COLUMNS])
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(scan, StructType([*docs.schema.fields, *StructType.fromDDL(TYPES).fields]))
+
+
+def n_words() -> Column:
+    """As many words as words_of() finds."""
+    return F.coalesce(F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("long")
+
+
+def block_by_block(docs: DataFrame, benchmark: DataFrame, window: int, blocks: int) -> DataFrame:
+    """docs with COLUMNS, by a job for each block of items, which leaves nothing but the hits of the texts that have some."""
+    spark, rows, places = docs.sparkSession, docs.select("text", digest(F.col("text")).alias("text_key")), []
+    for block in range(blocks):
+        hits, place = stored(with_hits(rows, Windows(items_of(benchmark, blocks, block), window)).filter("n_hit > 0").groupBy("text_key").agg(F.count("*").alias("n"), F.min("spans").alias("spans"), F.min("items").alias("items")))
+        places.append((hits, place))
+    lists = reduce(DataFrame.unionByName, [hits for hits, _ in places]).groupBy("text_key").agg(F.max("n").alias("n"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [union_spans(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted({*chain(*x)}) for x in batch.column(3).to_pylist()], pa.list_(pa.string()))], names=["text_key", "n", "spans", "items"])
+
+    found = checkpointed(lists.mapInArrow(merge, "text_key binary, n long, spans array<bigint>, items array<string>"))
+    forget(spark, [place for _, place in places])
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    met = join_hot_safe(docs.select(F.struct("*").alias("row"), digest(F.col("text")).alias("text_key"), n_words().alias("n_words")), found, "text_key", "n", docs.count(), "left")
+    spans = F.coalesce("spans", F.array().cast("array<bigint>"))
+    n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return met.select(*[c.alias(k) for k, c in own.items()], "n_words", n_hit.alias("n_hit"), spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def items_of(benchmark: DataFrame, blocks: int, block: int) -> list[tuple[str, str | None]]:
+    """id and text of a block's items."""
+    own = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+    return [tuple(r) for r in own.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, with its columns, and n_words, n_hit, spans, items; columns of docs by these names are replaced.
 
     A window is any window consecutive words of an item, or the whole item if it has fewer words but has some. Items are
-    searched in blocks of about block_words words, so a benchmark of any size is searched without sending it whole to a
-    task. Null texts and texts without words have no hits; items without an id are searched as the item "". Items that
+    searched in blocks of about block_words words; the driver and each task hold one block's windows at a time. One block
+    takes one pass over docs, which shuffles nothing. More take a job each, and what they found is joined back by the text's
+    digest. Null texts and texts without words have no hits; items without an id are searched as the item "". Items that
     repeat an id count once. Empty tables give no rows or no hits.
     """
     total = benchmark.select(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (5 * block_words)))
-    out = docs.drop(*COLUMNS).select("*", *[F.lit(None).cast(t.split(" ", 1)[1]).alias(t.split(" ", 1)[0]) for t in TYPES.split(", ")])
-    for block in range(blocks):
-        items = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").collect()
-        out = with_hits(out, Windows([tuple(i) for i in items], window))
-    return out
+    blocks, rest = max(1, -(-total // (5 * block_words))), docs.drop(*COLUMNS)
+    return with_hits(rest, Windows(items_of(benchmark, 1, 0), window)) if blocks == 1 else block_by_block(rest, benchmark, window, blocks)
 
 
 def is_contaminated() -> F.Column:

@@ -1,5 +1,7 @@
+import gc
 import hashlib
 import random
+import weakref
 
 import numpy as np
 
@@ -52,6 +54,36 @@ def test_odd_rows(spark, odd, clashing, empty):
     assert rows(D.contamination(clashing, items)) == brute([(r.doc_id, r.text) for r in odd.collect()], ITEMS)
     assert D.contamination(empty, items).collect() == []
     assert all(r.n_hit == 0 for r in D.contamination(odd, items.limit(0)).collect())
+    blocks = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), items, block_words=6)
+    assert rows(blocks) == brute(docs, ITEMS)
+    assert rows(D.contamination(clashing, items, block_words=6)) == brute([(r.doc_id, r.text) for r in odd.collect()], ITEMS)
+    assert D.contamination(empty, items, block_words=6).collect() == []
+
+
+def test_one_block_of_windows_at_a_time(spark, monkeypatch):
+    """Neither the driver nor a task holds a second block: when one is made, the one before is gone, and no plan has it."""
+    alive, most = weakref.WeakSet(), []
+
+    class Watched(D.Windows):
+        def __init__(self, *how):
+            super().__init__(*how)
+            alive.add(self)
+            gc.collect()
+            most.append(len(alive))
+
+    monkeypatch.setattr(D, "Windows", Watched)
+    items = [(i, f"item number {i} of these") for i in range(12)]
+    docs = spark.createDataFrame([(i, f"here is item number {i % 15} of these, twice: item number {i % 7} of these") for i in range(60)], "doc_id long, text string")
+    got = D.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), window=5, block_words=8)
+    assert len(most) > 3 and max(most) <= 2 and "MapInArrow" not in got._jdf.queryExecution().toString()
+    assert rows(got) == brute([(r.doc_id, r.text) for r in docs.collect()], items, 5)
+
+
+def test_long_texts(spark):
+    texts = ["a" * 2_000_000, " " * 2_000_000, "\n" * 2_000_000, "中" * 700_000, "a b " * 500_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = D.contamination(docs, spark.createDataFrame([(1, "a b a b a b a b a b a b a b a b"), (2, "中")], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in got} == {0: (1, 0), 1: (0, 0), 2: (0, 0), 3: (1, 0), 4: (1_000_000, 1_000_000)}
 
 
 def test_query(spark):
@@ -88,4 +120,4 @@ def test_index_counts_and_places():
 
 def test_removal():
     assert D.strip_spans("a, b c. d", [1, 3]) == "a, . d"
-    assert D.strip_spans(None, [0, 1]) is None and D.union_spans([0, 2, 5, 6], np.array([2, 4])) == [0, 4, 5, 6]
+    assert D.strip_spans(None, [0, 1]) is None and D.union_spans([[0, 2, 5, 6], [2, 4]]) == [0, 4, 5, 6]
