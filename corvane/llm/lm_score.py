@@ -1,7 +1,9 @@
 """Cross-entropy difference of two n-gram models.
 
 Word bigram models of a target part of the corpus and of the rest share one vocabulary, all words of all documents, and one
-smoothing. Neither words nor bigrams pass through the driver: each block of documents sends its distinct n-grams, with their
+smoothing. They are matched: the larger part's counts are scaled down to as many words as the smaller part has, so that no
+row is left out and smoothing weighs the same in both. A document is scored by counts from which its own are taken away.
+Neither words nor bigrams pass through the driver: each block of documents sends its distinct n-grams, with their
 counts in the block, to parts by hash; a part adds the blocks' counts up and answers each block with the corpus's counts of
 the n-grams that the block sent; so each block can score its own documents.
 """
@@ -22,8 +24,10 @@ from corvane.llm.common import checkpointed, table, words_of
 
 #: Hashes of what stands before a text's first word and of words outside a vocabulary that a caller bounds.
 BEGIN, UNKNOWN = 0, 1
-#: What a key counts, in its lowest bits: a word, a word that another one follows, a word after another one.
-WORD, CONTEXT, PAIR = 0, 1, 2
+#: What a key counts, in its lowest bits: a word, or a document for BEGIN; a word after another one.
+WORD, PAIR = 0, 1
+#: Share of a text's characters that may be neither letters nor space, and that may be capitals, in running text.
+MOST_SIGNS, MOST_CAPITALS = 0.1, 0.2
 #: Weight of the unigram model in words seen after each word.
 PRIOR = 50.0
 #: Words of a block of documents at least, its task's last block apart, and parts of the keys at least; what a part holds is
@@ -67,18 +71,25 @@ class Grams:
         n = len(words)
         self.n, self.index, self.before = n, index, np.zeros_like(index)
         self.before[1:] = index[:-1]
-        self.before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+        self.first = (np.cumsum(lengths) - lengths)[lengths > 0]
+        self.before[self.first] = 0
         pairs, self.place = np.unique(self.before * n + index, return_inverse=True)
         self.h, self.w = np.divmod(pairs, n)
-        keys = np.concatenate([mixed(words, WORD), mixed(words, CONTEXT), mixed(words[self.h] * np.uint64(0xD6E8FEB86659FD93) + words[self.w], PAIR)])
+        keys = np.concatenate([mixed(words, WORD), mixed(words[self.h] * np.uint64(0xD6E8FEB86659FD93) + words[self.w], PAIR)])
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
 
     def counts(self, chosen: np.ndarray) -> np.ndarray:
         """How often each of keys occurs in the chosen tokens."""
-        n, i = self.n, chosen
-        found = [np.bincount(self.index[i], minlength=n), np.bincount(self.before[i], minlength=n), np.bincount(self.place[i], minlength=len(self.h))]
-        return np.concatenate(found)[self.order]
+        words = np.bincount(self.index[chosen], minlength=self.n)
+        words[0] = np.count_nonzero(chosen[self.first])
+        return np.concatenate([words, np.bincount(self.place[chosen], minlength=len(self.h))])[self.order]
+
+
+def within(of: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+    """For each place, how often its value, one of size, occurs in the places of the same document."""
+    _, at, n = np.unique(of * size + value, return_inverse=True, return_counts=True)
+    return n[at]
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -105,7 +116,8 @@ def from_planes(data: bytes, kind: str) -> np.ndarray:
 #: A block's keys in a part as planes of the steps from key to key, with the block's counts; or a block's documents, with hashes of their words and places in
 #: these as planes.
 SENT = "block long, part int, keys binary, target binary, other binary, ids array<long>, lengths array<long>, words binary, places binary"
-#: The corpus's counts of the keys that the block sent, and the part's words, and how often these occur; or documents as above.
+#: The corpus's counts of the keys that the block sent, and the part's words, and how often these occur; or documents as above,
+#: and in target which of them are of the target part.
 ANSWERED = "block long, part int, n_keys long, target binary, other binary, totals array<long>, ids array<long>, lengths array<long>, words binary, places binary"
 SENT_ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "target", "other")), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("places", pa.binary())])
 
@@ -127,7 +139,7 @@ def sent(docs: DataFrame, parts: int, known: frozenset[bytes] | None) -> DataFra
             counts, cuts = [grams.counts(c) for c in (chosen, ~chosen)], [0, *np.searchsorted(grams.keys, bounds), len(grams.keys)]
             block = TaskContext.get().partitionId() << 32 | serial
             rows = [(block, p, planes(np.diff(grams.keys[a:b], prepend=np.uint64(0))), *(packed(c[a:b]) for c in counts), None, None, None, None) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            rows.append((block, int(words.sum() % np.uint64(parts)), None, None, None, ids, lengths, words.tobytes(), planes(index.astype("<u4"))))
+            rows.append((block, int(words.sum() % np.uint64(parts)), None, np.array(targets, dtype="u1").tobytes(), None, ids, lengths, words.tobytes(), planes(index.astype("<u4"))))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SENT_ARROW.types, strict=True)], schema=SENT_ARROW)
 
         (place, ids, targets, tokens), serial, n = fresh(), 0, 0
@@ -156,11 +168,11 @@ def answered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     n = [len(k) for k in keys]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     counts = [np.bincount(place, np.concatenate([unpacked(d, m) for d, m in zip(asked[c], n, strict=True)]), len(distinct)).astype(np.int64) for c in ("target", "other")]
-    is_word = (distinct & np.uint64(3)) == WORD
+    is_word = ((distinct & np.uint64(3)) == WORD) & (distinct != mixed(np.array([BEGIN], dtype=np.uint64), WORD))
     in_vocabulary = is_word & (counts[0] + counts[1] > 0) & (distinct != mixed(np.array([UNKNOWN], dtype=np.uint64), WORD))
     totals = [int(in_vocabulary.sum()), *(int(c[is_word].sum()) for c in counts)]
     out = [(r.block, r.part, m, *(packed(c[place[e - m : e]]) for c in counts), totals, None, None, None, None) for r, m, e in zip(asked.itertuples(), n, np.cumsum(n), strict=True)]
-    out += [(r.block, r.part, 0, None, None, None, r.ids, r.lengths, r.words, r.places) for r in documents.itertuples()]
+    out += [(r.block, r.part, 0, r.target, None, None, r.ids, r.lengths, r.words, r.places) for r in documents.itertuples()]
     return pd.DataFrame(out, columns=["block", "part", "n_keys", "target", "other", "totals", "ids", "lengths", "words", "places"])
 
 
@@ -172,26 +184,35 @@ def scored(rows: pd.DataFrame) -> pd.DataFrame:
     index = from_planes(d["places"], "<u4").astype(np.int64)
     grams, n = Grams(words, index, lengths), len(words)
     size, *total = np.sum([list(t) for t in answers["totals"]], axis=0)
-    after, unigram, pairs = [], [], []
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    in_target, length = np.frombuffer(d["target"], "u1").astype(bool)[of], lengths[of]
+    own_w, own_pair = within(of, index, n), within(of, grams.place, len(grams.h))
+    own_h = np.ones_like(own_w)
+    own_h[1:] = own_w[:-1]
+    own_h[grams.first] = 1
+    bits = []
     for k, name in enumerate(("target", "other")):
         counts = np.empty(len(grams.keys), dtype=np.int64)
         counts[grams.order] = np.concatenate([unpacked(a, m) for a, m in zip(answers[name], answers["n_keys"], strict=True)])
-        unigram.append((counts[:n] + 1) / (total[k] + size + 2))
-        after.append(counts[n : 2 * n])
-        pairs.append(counts[2 * n :])
-    seen = [pairs[k] + PRIOR * unigram[k][grams.w] for k in range(2)]  # by Dirichlet smoothing towards the unigram model
-    bits = np.log2(seen[1]) - np.log2(seen[0]) + (np.log2(after[0] + PRIOR) - np.log2(after[1] + PRIOR))[grams.h]
-    sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), bits[grams.place], len(lengths))
+        own, scale = in_target == (k == 0), min(total) / max(1, total[k])
+        less = lambda c, mine: (c - own * mine) * scale  # noqa: B023, E731
+        unigram = (less(counts[index], own_w) + 1) / (less(np.full(len(index), total[k]), length) + size + 2)
+        pair = less(counts[n:][grams.place], own_pair)
+        bits.append(np.log2(pair + PRIOR * unigram) - np.log2(less(counts[grams.before], own_h) + PRIOR))  # Dirichlet smoothing
+    sums = np.bincount(of, bits[1] - bits[0], len(lengths))
     return pd.DataFrame({"doc_id": pd.array(list(d["ids"]), dtype="Int64"), "n_words": lengths, "ce_diff": sums / np.maximum(lengths, 1)})
 
 
 def cross_entropy_difference(docs: DataFrame, target: Column, words: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, ce_diff (mean bits a word under the target model minus those under the other).
 
-    target says which rows of docs train the target model (null: not); all other rows train the other one. Texts without
-    words, null ones among them, have no loss and score 0. Rows that repeat count as often and are answered alike. Further
-    columns are ignored; an empty table gives no rows. All words of docs are the vocabulary; a caller who wants a small one
-    gives words, and all but the words - 2 most frequent are then one word, by a set that goes through the driver.
+    target says which rows of docs train the target model (null: not); all other rows train the other one. If there are no
+    words in one of the parts all scores are 0. A document's own counts are taken from its part's before it is scored; a copy
+    of it is another document, whose counts stay. What follows a word may be the end of its document, which is counted but
+    not scored. Texts without words, null ones among them, have no loss and score 0. Rows that repeat count as often and are
+    answered alike. Further columns are ignored; an empty table gives no rows. All words of docs are the vocabulary; a caller
+    who wants a small one gives words, and all but the words - 2 most frequent are then one word, by a set that goes through
+    the driver.
     """
     rows, known = docs.select("doc_id", "text", F.coalesce(target, F.lit(False)).alias("target")), None
     if words is not None:
@@ -201,6 +222,13 @@ def cross_entropy_difference(docs: DataFrame, target: Column, words: int | None
     return counted.groupBy("block").applyInPandas(scored, "doc_id long, n_words long, ce_diff double")
 
 
+def is_running_text(text: Column) -> Column:
+    """Whether nearly all of a text is letters and space, and few letters are capitals: no tables, junk or shouting."""
+    n = F.char_length(text)
+    signs, capitals = F.regexp_count(text, F.lit(r"[^\p{L}\s]")), F.regexp_count(text, F.lit(r"\p{Lu}"))
+    return (n > 0) & (signs <= n * MOST_SIGNS) & (capitals <= n * MOST_CAPITALS)
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: the English documents."""
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), F.col("lang") == "en")
+    """Target: running text, in any language. What scores above zero reads more like the tables, junk and shouting of the rest."""
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), is_running_text(F.col("text")))

@@ -13,28 +13,34 @@ from .conftest import SF
 
 
 def brute(docs, words):
-    """docs: (id, text, target). The same models by plain loops."""
-    total, parts = Counter(), (Counter(), Counter())
-    for _, text, target in docs:
-        total.update(words_of(text))
-        parts[0 if target else 1].update(words_of(text))
-    known = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[: words - 2]]
-    uni, pair = [], [Counter(), Counter()]
-    for k in range(2):
-        c = {w: parts[k][w] + 1 for w in known} | {"begin": 1, "unknown": 1 + sum(n for w, n in parts[k].items() if w not in known)}
-        uni.append({w: n / sum(c.values()) for w, n in c.items()})
+    """docs: (id, text, target). The same models by plain loops: each document is scored by counts of all the others."""
+    everything = Counter(w for _, text, _ in docs for w in words_of(text))
+    known = {w for w, _ in sorted(everything.items(), key=lambda x: (-x[1], x[0]))[: words - 2]}
     name = lambda w: w if w in known else "unknown"
-    steps = {}
-    for i, (_, text, target) in enumerate(docs):
-        seq = ["begin", *map(name, words_of(text))]
-        steps[i] = list(zip(seq, seq[1:], strict=False))
-        pair[0 if target else 1].update(steps[i])
-    after = [Counter(), Counter()]
-    for k in range(2):
-        for (h, _), n in pair[k].items():
-            after[k][h] += n
-    loss = lambda k, h, w: -np.log2((pair[k][h, w] + lm_score.PRIOR * uni[k][w]) / (after[k][h] + lm_score.PRIOR))
-    return [(d[0], len(steps[i]), float(np.mean([loss(0, *s) - loss(1, *s) for s in steps[i]])) if steps[i] else 0.0) for i, d in enumerate(docs)]
+    size = len(known)
+    texts, uni, pair, after = [], [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+    for _, text, target in docs:
+        own = [*map(name, words_of(text))]
+        steps = list(zip(["begin", *own], own, strict=False))
+        texts.append((own, steps))
+        k = 0 if target else 1
+        uni[k].update(own)
+        pair[k].update(steps)
+        after[k].update([*own, *(["begin"] if own else [])])
+    words_in = [sum(c.values()) for c in uni]
+    out = []
+    for (i, _, target), (own, steps) in zip(docs, texts, strict=True):
+        total = 0.0
+        for k in range(2):
+            mine = k == (0 if target else 1)
+            scale = min(words_in) / max(1, words_in[k])
+            less = lambda c, of, key: (c[key] - (list(of).count(key) if mine else 0)) * scale  # noqa: B023, E731
+            n = (words_in[k] - (len(own) if mine else 0)) * scale
+            for h, w in steps:
+                u = (less(uni[k], own, w) + 1) / (n + size + 2)
+                total += (1, -1)[k] * -np.log2((less(pair[k], steps, (h, w)) + lm_score.PRIOR * u) / (less(after[k], [*own, "begin"], h) + lm_score.PRIOR))
+        out.append((i, len(own), total / len(own) if own else 0.0))
+    return out
 
 
 @pytest.mark.parametrize("words", [10, 40])
@@ -61,10 +67,40 @@ def test_vocabulary_grows_with_the_corpus(spark, monkeypatch):
         assert got[doc].n_words == n and abs(got[doc].ce_diff - diff) < 1e-4
 
 
-def test_target_documents_score_lower(spark):
-    scores = lm_score.op10_lm_score(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg("ce_diff").alias("d")).collect()
-    means = {r.lang: r.d for r in scores}
-    assert means["en"] < 0 < min(d for k, d in means.items() if k != "en")
+def test_labelled_junk_scores_higher(spark):
+    """The rule that chooses the target reads neither labels nor languages; scores rank what is labelled as of low quality."""
+    big = SF.replace("sf0.001", "sf0.01")
+    rows = lm_score.op10_lm_score(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").select("ce_diff", "quality").collect()
+    good, bad = ([r.ce_diff for r in rows if r.quality == y] for y in (1, 0))
+    assert np.mean([b > g for b in bad for g in good]) > 0.65
+
+
+def test_copies_score_apart(spark):
+    """A document whose counts are only its own has no advantage; one that occurs twice has."""
+    rng = np.random.default_rng(6)
+    make = lambda: " ".join(rng.choice([f"w{k}" for k in range(400)], 60))
+    texts = [make() for _ in range(120)] + [make()] * 2
+    docs = spark.createDataFrame([(i, t, i % 2 == 0 or i >= 120) for i, t in enumerate(texts)], "doc_id long, text string, good boolean")
+    got = {r.doc_id: r.ce_diff for r in lm_score.cross_entropy_difference(docs, F.col("good")).collect()}
+    assert max(got[120], got[121]) < min(got[i] for i in range(120)) - 1
+
+
+def test_running_text(spark):
+    texts = ["Plain words in a row, and more.", "Größe und Maß.", "SHOUTED WORDS HERE", "a | b | c | d", "", None, "### $$$"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert [r[0] for r in df.orderBy("i").select(lm_score.is_running_text(F.col("text"))).collect()] == [True, True, False, False, False, None, False]
+
+
+def test_long_texts(spark):
+    texts = ["a" * 2_000_000, " " * 2_000_000, "\n" * 2_000_000, "中" * 700_000, "a b " * 500_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_words for r in lm_score.cross_entropy_difference(docs, F.col("doc_id") < 2).collect()} == {0: 1, 1: 0, 2: 0, 3: 1, 4: 1_000_000}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    short = [t[:3_000] for t in texts] + [" " * 5_000 + "x", "y" + "\n" * 6_000, "\u3000 " * 4_000 + "z"]
+    got = {r.doc_id: r.n for r in token_counts.count_tokens(spark.createDataFrame(list(enumerate(short)), "doc_id long, text string")).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(short)}
+    sizes = {r.doc_id: r.n for r in token_counts.count_tokens(docs).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert all(sizes[i] > 0 for i in range(5))
 
 
 def test_odd_rows(odd, clashing, empty):
