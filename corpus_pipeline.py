@@ -1,9 +1,11 @@
 """A training-data pipeline over documents: toxicity, exact copies, near copies, benchmark passages, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept; its result is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents. doc_id is the documents' key: rows that
-repeat one with an equal text are reduced to one by the exact stage, and rows without one, which no decision can name, stay.
-Null and empty texts are texts like any other; an empty table passes through all stages; further columns are kept.
+again as the next stage's docs. All but the last return the columns of documents. Decisions are made for rows, not for ids:
+toxicity and decontamination carry whole rows through their one pass, the exact stage decides by digest, id and length, the
+near stage by id and text. So a text whose id repeats, or that has none, is judged for itself. Rows that are equal in id and
+text are one document listed twice; the exact and the near stage keep one of them. Null and empty texts are texts like any
+other; an empty table passes through all stages; further columns are kept.
 """
 
 from __future__ import annotations
@@ -14,29 +16,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm.common import forget, stored, table
 from corvane.llm.decontaminate import COLUMNS, contamination, is_contaminated
-from corvane.llm.exact_dedup import dedup_exact, without_repeats
+from corvane.llm.exact_dedup import one_of_each, without_copies
 from corvane.llm.packing import pack
 from corvane.llm.simhash import near_duplicates
 from corvane.llm.toxicity import score_toxicity
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score of 0.5 or more) go."""
-    return without(docs, score_toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), carried=F.struct("*"))
+    return scored.filter("predicted = 0").select("carried.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, white space aside, the longest original stays, then the smallest id."""
-    return without_repeats(without(docs, dedup_exact(docs).filter("not kept")))
+    return without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near documents the smallest id stays."""
-    return without(docs, near_duplicates(docs).filter("doc_id <> component_id"))
+    key = "key of the text"
+    keyed = docs.withColumn(key, F.coalesce(F.sha2("text", 256), F.lit("")))
+    dropped = near_duplicates(keyed, F.col(key)).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct()
+    rest = keyed.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_key")), "left_anti")
+    return one_of_each(rest, ["doc_id", key], docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +69,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Tables between stages are in the shared folder until the last stage has read them."""
     docs, places = table(spark, sf_dir, "documents"), []
-    for _, stage in STAGES[:-1]:
-        docs, place = stored(stage(spark, docs, sf_dir))
-        places.append(place)
-    out = STAGES[-1][1](spark, docs, sf_dir)
-    forget(spark, places)
-    return out
+    try:
+        for _, stage in STAGES[:-1]:
+            docs, place = stored(stage(spark, docs, sf_dir))
+            places.append(place)
+        return STAGES[-1][1](spark, docs, sf_dir)  # which has read them when it returns, as it keeps its own pieces
+    finally:
+        forget(spark, places)
