@@ -1,4 +1,7 @@
+import os
+
 import corpus_pipeline as P
+from corvane.llm.common import shared_folder, words_of
 
 from .conftest import SF
 from .test_decontaminate import brute as brute_hits
@@ -33,6 +36,7 @@ def test_stages_against_brute_force(spark, library):  # noqa: F811
 
 
 def test_run_and_odd_rows(spark, odd, clashing, empty):
+    shared = shared_folder(spark).removeprefix("file:")
     assert [name for name, _ in P.STAGES] == ["toxicity", "exact_dedup", "simhash", "decontamination", "packing"]
     for docs in (odd, clashing, empty):
         rest = docs
@@ -44,5 +48,28 @@ def test_run_and_odd_rows(spark, odd, clashing, empty):
         if docs is not empty:
             left = [r.doc_id for r in rest.collect()]
             assert left.count(5) + left.count(4) <= 1 and None in left and len([i for i in left if i in (1, 2, 3)]) == 1
-    packed = P.run(spark, SF)
-    assert packed.count() > 0
+    assert P.run(spark, SF).count() > 0
+    assert not [f for f in os.listdir(shared) if os.path.exists(f"{shared}/{f}/_SUCCESS")]  # no table between stages is left
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Ids that repeat with other texts, or are missing, cost no document and hide none."""
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(words_of(r.text)) >= 13)
+    words = ["zq" + c * 3 for c in "abcdefghijklmnop"]
+    far = [" ".join(words[i:] + words[:i] + [w]) for i, w in enumerate(words)]
+    rows = [(0, "same text here"), (1, "same text here"), (1, "a quite different text"), (1, item), (None, item), (None, far[3]), (None, far[3]), (2, far[7]), (2, far[9])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == ["doc_id", "text"]
+    assert sorted(map(str, map(tuple, docs.collect()))) == sorted(map(str, [rows[0], rows[2], rows[5], rows[7], rows[8]]))
+
+
+def test_toxic_rows_without_an_id_go(spark):
+    big = SF.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    docs = spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text").filter("length(text) < 4000")
+    toxic = {r.doc_id for r in P.score_toxicity(docs, labels).filter("predicted = 1").collect()}
+    nameless = [(None, r.text) for r in docs.collect() if r.doc_id in toxic]
+    kept = P.drop_toxic(spark, docs.union(spark.createDataFrame(nameless, docs.schema)), big)
+    assert nameless and kept.filter("doc_id is null").count() == 0 and kept.count() == docs.count() - len(nameless)
