@@ -134,26 +134,31 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
     return answered(rows, decided(rows), rows.count())
 
 
-def one_of_each(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """rows with one of those that agree in keys. Only rows that do repeat are compared whole."""
-    same = reduce(lambda a, b: a & b, [F.col(f"rows.{k}").eqNullSafe(F.col(f"twice.{k}")) for k in keys])
-    twice = checkpointed(rows.groupBy(*keys).count().filter("count > 1").select(*keys))
+def one_of_each(rows: DataFrame, twice: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows with one of those that agree in keys. twice: the keys that repeat, checkpointed; only their rows are compared whole."""
     if twice.isEmpty():
         return rows.select(*columns)
-    named = rows.alias("rows")
-    best = named.join(twice.alias("twice"), same, "left_semi").groupBy(*keys).agg(F.min(F.struct(*[f"`{c}`" for c in columns])).alias("best"))
-    return named.join(twice.alias("twice"), same, "left_anti").select(*[F.col(f"rows.`{c}`") for c in columns]).unionByName(best.select("best.*"))
+    same = reduce(lambda a, b: a & b, [F.col(f"rows.`{k}`").eqNullSafe(F.col(f"twice.`{k}`")) for k in keys])
+    named, again = rows.alias("rows"), twice.alias("twice")
+    best = named.join(again, same, "left_semi").groupBy(*[f"`{k}`" for k in keys]).agg(F.min(F.struct(*[f"`{c}`" for c in columns])).alias("best"))
+    return named.join(again, same, "left_anti").select(*[F.col(f"rows.`{c}`") for c in columns]).unionByName(best.select("best.*"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """docs, with its columns, where of equal texts the longest original stays, among ties the smallest doc_id, in one row."""
-    names = ["digest of the text", "length of the text"]
-    named = docs.withColumns({names[0]: digest(F.col("text")), names[1]: length(F.col("text"))})
+    """docs, with its columns, where of equal texts the longest original stays, among ties the smallest doc_id, in one row.
+
+    All is decided for ids, lengths and digests; whole rows are read and shuffled once, to take away those that lost.
+    """
+    of_id, of_length, of_digest = "doc_id", "length of the text", "digest of the text"
     rows = checkpointed(digests(docs))
-    found = decided(rows).select(F.col("digest").alias(names[0]), F.struct("keep_id", "keep_length").alias("kept of the text"), F.col("n").alias("rows of the text"))
-    met = join_hot_safe(named, found, names[0], "rows of the text", rows.count())
-    stays = met.filter(F.col("doc_id").eqNullSafe(F.col("`kept of the text`.keep_id")) & (F.col(f"`{names[1]}`") == F.col("`kept of the text`.keep_length")))
-    return one_of_each(stays, [names[0]], docs.columns)
+    met = join_hot_safe(rows, decided(rows), "digest", "n", rows.count())
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length"))
+    met = checkpointed(met.select(F.col("doc_id").alias("gone_id"), F.col("length").alias("gone_length"), F.col("digest").alias(of_digest), stays.alias("stays")))
+    twice = checkpointed(met.filter("stays").groupBy(of_digest).count().filter("count > 1").select(of_digest))
+    gone = met.filter("not stays").select("gone_id", "gone_length", F.col(of_digest).alias("gone_digest")).distinct()
+    keyed = docs.withColumns({of_digest: digest(F.col("text")), of_length: length(F.col("text"))})
+    lost = F.col(of_id).eqNullSafe(F.col("gone_id")) & (F.col(f"`{of_digest}`") == F.col("gone_digest")) & (F.col(f"`{of_length}`") == F.col("gone_length"))
+    return one_of_each(keyed.join(gone, lost, "left_anti"), twice, [of_digest], docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
