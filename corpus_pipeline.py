@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm.common import forget, stored, table
+from corvane.llm.common import checkpointed, forget, stored, table
 from corvane.llm.decontaminate import COLUMNS, contamination, is_contaminated
 from corvane.llm.exact_dedup import one_of_each, without_copies
 from corvane.llm.packing import pack
@@ -37,9 +37,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each component of near documents the smallest id stays."""
     key = "key of the text"
     keyed = docs.withColumn(key, F.coalesce(F.sha2("text", 256), F.lit("")))
-    dropped = near_duplicates(keyed, F.col(key)).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct()
-    rest = keyed.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_key")), "left_anti")
-    return one_of_each(rest, ["doc_id", key], docs.columns)
+    decided = checkpointed(near_duplicates(keyed, F.col(f"`{key}`")).select(F.col("doc_id").alias("gone_id"), "row_key", "kept"))
+    twice = checkpointed(decided.filter("kept").groupBy("gone_id", "row_key").count().filter("count > 1").select(F.col("gone_id").alias("doc_id"), F.col("row_key").alias(key)))
+    dropped = decided.filter("not kept").select("gone_id", "row_key").distinct()
+    rest = keyed.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col(f"`{key}`") == F.col("row_key")), "left_anti")
+    return one_of_each(rest, twice, ["doc_id", key], docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
