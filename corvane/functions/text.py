@@ -34,6 +34,8 @@ EMBEDDING_FIELDS = (("title", "法规标题"), ("agency", "发布机关"), ("pub
 CHARS_PER_TOKEN = 0.7
 # ---- end of fixed values ----
 
+ENTRY, CHINESE = re.compile(ENTRY_START), re.compile("[一-鿿]")
+
 #: Unicode white space, as a class that Java's regular expressions and RE2 read alike.
 WS = r"[ \t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -64,20 +66,25 @@ def is_noise(c: str | Column) -> Column:
     return F.when(s == "", True).when(s.rlike(PRESERVED_LINE), False).when(s.rlike(NOISE_LINE) | s.rlike(NOISE_WORDS), True).otherwise((F.char_length(s) < 4) & ~has_cjk(s))
 
 
-def merge_broken_lines(c: str | Column) -> Column:
-    """Joins lines that a parser broke, by a fold over the lines that keeps the merged ones."""
-    ends = lambda s, marks: F.length(s).__gt__(0) & F.lit(marks).contains(F.substring(s, -1, 1))
+def merged_lines(text: str) -> str:
+    """Lines of which an open end, or Chinese text on both sides, says that the next one goes on, joined."""
+    done: list[list[str]] = []  # the parts of each line
+    for line in text.split("\n"):
+        words, before = line.strip(), done[-1][-1].rstrip() if done else ""
+        goes_on = bool(words and before) and before[-1] not in SENTENCE_ENDS and not ENTRY.match(words)
+        if goes_on and before[-1] not in OPEN_ENDS:
+            goes_on = any(map(CHINESE.search, done[-1])) and bool(CHINESE.search(words)) and words[0] not in SENTENCE_ENDS + "第（(　"
+        if goes_on:
+            done[-1][-1] = before
+            done[-1].append(words)
+        else:
+            done.append([line])
+    return "\n".join("".join(parts) for parts in done)
 
-    def add(done: Column, line: Column) -> Column:
-        words, prev = strip(line), F.regexp_replace(F.element_at(done, -1), f"{WS}+$", "")
-        starts = F.substring(words, 1, 1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(prev, words)))
-        plain = ~ends(prev, OPEN_ENDS) & has_cjk(prev) & has_cjk(words) & ~F.lit(SENTENCE_ENDS + "第（( 　").contains(starts)
-        keep = (F.size(done) == 0) | (words == "") | (prev == "") | ends(prev, SENTENCE_ENDS) | words.rlike(ENTRY_START)
-        return F.when(keep, F.concat(done, F.array(line))).when(ends(prev, OPEN_ENDS) | plain, joined).otherwise(F.concat(done, F.array(line)))
 
-    folded = F.aggregate(F.split(F.coalesce(col(c), F.lit("")), "\n"), F.array().cast("array<string>"), add)
-    return F.array_join(folded, "\n")
+def merge_broken_lines(c: str | Column) -> Column:
+    """Joins lines that a parser broke, in Arrow batches and linear time: what joins a line depends on all lines it joins."""
+    return mapped(F.coalesce(col(c), F.lit("")), merged_lines)
 
 
 def clean_text(c: str | Column) -> Column:
@@ -85,6 +92,12 @@ def clean_text(c: str | Column) -> Column:
     return strip(F.regexp_replace(F.array_join(F.transform(lines, lambda s: strip(s["raw"])), "\n"), "\n{3,}", "\n\n"))
 
 
+def clean_block(c: str | Column) -> Column:
+    """clean_text() of a block of one line, or the block as it is where nothing would be left."""
+    s = strip(normalize_spaces(c))
+    return F.when((s == "") | is_noise(s), F.coalesce(col(c), F.lit(""))).otherwise(s)
+
+
 def mapped(c: str | Column, f: Callable[[str], object], kind: str = "string") -> Column:
     """f of each value that is not null, in Arrow batches."""
 

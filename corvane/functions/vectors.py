@@ -26,3 +26,8 @@ def is_valid(v: Column, dim: int) -> Column:
 
 def is_unit(v: Column, tolerance: float = 1e-4) -> Column:
     return F.abs(norm(v) - 1) < tolerance
+
+
+def prepared(v: Column, dim: int) -> Column:
+    """A query vector of unit length; null if it has another dimension, a value that is not finite, or no length."""
+    return F.when(is_valid(v, dim) & (norm(v) > 0), normalised(v))

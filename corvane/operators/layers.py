@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from corvane.functions import text as T
+from corvane.operators.storage import kept
+
 
 def stacked(layers: list[DataFrame]) -> DataFrame:
     """All rows, with layer 0 for the base, 1.. for the deltas; columns that a layer lacks are null."""
@@ -53,8 +57,6 @@ def classify(incoming: DataFrame, known: DataFrame) -> DataFrame:
 def assign_ids(rows: DataFrame, first: int, order: list[str], bucket_rows: int = 100_000) -> DataFrame:
     """vector_id from first on, without gaps, in order: rows are ranged and numbered by range, so no task numbers all."""
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33))
-    from corvane.operators.storage import kept
-
     rows = kept(rows)
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
     sizes = rows.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
@@ -67,3 +69,33 @@ def tombstones_for(updated: DataFrame, versions: DataFrame, chunks: DataFrame) -
     old = chunks.join(docs, "doc_id", "left_semi")
     parts = [versions.join(docs, "doc_id", "left_semi").select(F.lit("doc_version").alias("entity_type"), F.col("version_id").cast("string").alias("entity_id")), old.select(F.lit("chunk"), F.col("chunk_id").cast("string")), old.filter("vector_id is not null").select(F.lit("vector"), F.col("vector_id").cast("string"))]
     return reduce(DataFrame.union, parts).distinct()
+
+
+def name_key(path: Column) -> Column:
+    """The file's name as an identity: composed form, case folded."""
+    return T.mapped(F.regexp_extract(path, r"([^/\\]+)$", 1), lambda n: unicodedata.normalize("NFC", unicodedata.normalize("NFC", n).casefold()))
+
+
+def legacy_identities(documents: DataFrame) -> DataFrame:
+    """documents (doc_id, path, digest) to one row for each name key: key, n, doc_id, digest, collides.
+
+    A key that several documents share collides, which is an error to whoever loads them; the row shows the smallest id.
+    """
+    named = documents.withColumn("key", name_key(F.col("path")))
+    one = named.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest")).alias("first"))
+    return one.select("key", "n", "first.doc_id", "first.digest", (F.col("n") > 1).alias("collides"))
+
+
+def checked_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, block_index, text, vector_id, ...) that may enter a delta, and those refused with their first fault."""
+    wrong = lambda c: F.col(c).isNull() | (F.col(c) < 0)
+    fault = F.when(F.col("doc_id").isNull(), "no document").when(wrong("block_index"), "block index").when(T.strip(F.coalesce("text", F.lit(""))) == "", "no text").when(wrong("vector_id"), "vector id")
+    checked = rows.withColumn("fault", fault)
+    return checked.filter("fault is null").drop("fault"), checked.filter("fault is not null")
+
+
+def insert_checked(rows: DataFrame, folder: str) -> DataFrame:
+    """Appends the rows that may enter to a delta's folder and gives the refused ones."""
+    good, refused = checked_rows(rows)
+    good.write.mode("append").parquet(folder)
+    return refused

@@ -1,11 +1,19 @@
-"""Inverted index and BM25 over prefix terms, with statistics of each layer."""
+"""A stored inverted index, and BM25 over prefix terms for many questions at once, with statistics of each layer."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from corvane.operators.storage import kept, new_folder, remove
 
 #: Fixed by the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Rows of terms or tokens that are broadcast; more meet by a shuffle.
+MOST_BROADCAST = 100_000
+#: So many terms are looked up by the ranges of postings that have their prefixes.
+FEW_TERMS = 64
 #: Accented letters that word search reads as plain ones, and their plain forms.
 ACCENTED, PLAIN = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
@@ -15,49 +23,91 @@ def tokens(text):
     return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
-def postings(chunks: DataFrame, id_col: str, text_cols: list[str], layer: str = "layer") -> DataFrame:
-    """layer, id, token, tf over all text_cols; chunks carry the layer."""
-    words = F.concat(*[tokens(F.col(c)) for c in text_cols])
-    return chunks.select(layer, id_col, F.explode(words).alias("token")).groupBy(layer, id_col, "token").agg(F.count("*").alias("tf"))
+class Index:
+    """A stored inverted index: in folder, postings (layer, id, token, tf) in ranges sorted by token, so that a prefix reads few
+    of them; tokens, each once; chunks (layer, id, doc_len). layer and id are named as in the chunks that were written.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, id_col: str, layer: str = "layer"):
+        self.spark, self.folder, self.id_col, self.layer = spark, folder, id_col, layer
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
 
+    def stats(self) -> DataFrame:
+        """layer, n_docs, avg_len."""
+        return self.table("chunks").groupBy(self.layer).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
-def lengths(chunks: DataFrame, id_col: str, text_cols: list[str], layer: str = "layer") -> DataFrame:
-    return chunks.select(layer, id_col, F.size(F.concat(*[tokens(F.col(c)) for c in text_cols])).cast("long").alias("doc_len"))
+    def drop(self) -> None:
+        remove(self.spark, self.folder)
+
+
+def write_index(chunks: DataFrame, id_col: str, text_cols: list[str], folder: str | None = None, layer: str = "layer") -> Index:
+    """Tokenises all text_cols of chunks (layer, id, ...) once and stores the index, in a new shared folder if none is given.
+
+    Null and empty texts make chunks of length 0. Rows that repeat layer and id are one chunk. The ranges of postings are cut
+    by token, layer and id, so a token of any frequency is spread over tasks.
+    """
+    spark = chunks.sparkSession
+    index = Index(spark, folder or new_folder(spark), id_col, layer)
+    words = F.concat(F.array(F.lit("")), *[tokens(F.col(c)) for c in text_cols])  # the empty one stands for the chunk; as there is one, the outer form is the same, and no filter tokenises again
+    counted = chunks.select(layer, id_col, F.explode_outer(words).alias("token")).groupBy(layer, id_col, "token").agg(F.count("*").alias("tf"))
+    counted.write.parquet(f"{index.folder}/counted")
+    counted = index.table("counted")
+    counted.groupBy(layer, id_col).agg(F.sum(F.when(F.col("token") != "", F.col("tf")).otherwise(0)).alias("doc_len")).write.parquet(f"{index.folder}/chunks")
+    counted.filter("token <> ''").repartitionByRange("token", layer, id_col).sortWithinPartitions("token", layer, id_col).write.parquet(f"{index.folder}/postings")
+    index.table("postings").select("token").distinct().write.parquet(f"{index.folder}/tokens")
+    remove(spark, f"{index.folder}/counted")
+    return index
 
 
-def prefixed(words: str, prefix: str) -> Column:
-    return F.size(F.filter(words, lambda w: w.startswith(prefix))).cast("long")
+def folded(term: Column) -> Column:
+    return F.translate(F.lower(term), ACCENTED, PLAIN)
 
 
-def bm25(chunks: DataFrame, id_col: str, text_cols: list[str], groups: list[list[str]], match_all: bool, layer: str = "layer") -> DataFrame:
-    """layer, id, score (lower is better) of the chunks that match: every group of prefixes if match_all, else any.
+def bm25(index: Index, questions: DataFrame, groups: str = "groups", match_all: bool = True, by: str = "query_id") -> DataFrame:
+    """by, layer, id, score (lower is better) of the chunks that match each question: every group of prefixes if match_all, else any.
 
-    One scan makes each chunk's length and its counts of the query's prefixes; only matching chunks leave it. The few
-    statistics of each layer are joined back, so neither texts nor postings are shuffled.
+    questions: by, each once, and groups (arrays of arrays of terms). All questions are answered together. A few terms are
+    looked up by ranges of tokens; more of them meet the index's distinct tokens by equal prefixes, and the found tokens meet
+    the postings. Only matching chunks go on.
     """
-    terms = list(dict.fromkeys(t for g in groups for t in g))
-    words = chunks.select(layer, id_col, F.concat(*[tokens(F.col(c)) for c in text_cols]).alias("w"))
-    folded = [t.lower().translate(str.maketrans(ACCENTED, PLAIN)) for t in terms]
-    counted = words.select(layer, id_col, F.size("w").cast("long").alias("doc_len"), *[prefixed("w", t).alias(f"f{i}") for i, t in enumerate(folded)])
-    stats = counted.groupBy(layer).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"), *[F.sum(F.when(F.col(f"f{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(terms))])
-    hit = lambda g: F.greatest(*[F.col(f"f{terms.index(t)}") for t in g], F.lit(0)) > 0
-    matched = F.lit(match_all)
-    for g in groups:
-        matched = (matched & hit(g)) if match_all else (matched | hit(g))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        n, f = F.col(f"n{i}"), F.col(f"f{i}").cast("double")
-        idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - n + 0.5) / (n + 0.5)))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return counted.filter(matched).join(F.broadcast(stats), layer).select(layer, id_col, (-score).alias("score"))
-
-
-def keyword_search(chunks: DataFrame, id_col: str, text_cols: list[str], strict: list[list[str]], relaxed: list[list[str]] | None, k: int, layer: str = "layer") -> DataFrame:
-    """The k best of each layer: strict matches, or relaxed ones in layers without any strict match."""
+    layer, id_col = index.layer, index.id_col
+    terms = questions.select(by, F.size(groups).alias("_n_groups"), F.posexplode(groups).alias("_group", "_terms")).select(by, "_n_groups", "_group", F.explode("_terms").alias("_term"))
+    terms = terms.groupBy(by, folded(F.col("_term")).alias("_term")).agg(F.first("_n_groups").alias("_n_groups"), F.collect_set("_group").alias("_groups"))
+    wanted = kept(terms)
+    shape = wanted.agg(F.count_distinct("_term").alias("n"), F.collect_set(F.char_length("_term")).alias("lengths")).first()
+    few = F.broadcast if wanted.count() <= MOST_BROADCAST else lambda df: df
+    stored = index.table("postings")
+    if shape.n <= FEW_TERMS:  # ranges without these prefixes are not read
+        some = [r[0] for r in wanted.select("_term").distinct().collect()]
+        read = stored.filter(reduce(lambda a, b: a | b, [F.col("token").startswith(t) for t in some], F.lit(False)))
+        met = read.select("*", F.explode(F.filter(F.array(*map(F.lit, some)).cast("array<string>"), lambda t: F.col("token").startswith(t))).alias("_term"))
+    else:
+        starts = F.array(*[F.when(F.char_length("token") >= n, F.substring("token", 1, n)) for n in sorted(shape.lengths)])  # as many as terms may have letters
+        found = index.table("tokens").select("token", F.explode(F.array_compact(starts)).alias("_term"))
+        found = kept(found.join(few(wanted.select("_term").distinct()), "_term"))
+        met = stored.join(F.broadcast(found) if found.count() <= MOST_BROADCAST else found, "token")
+    hits = met.groupBy("_term", layer, id_col).agg(F.sum("tf").cast("double").alias("f"))
+    seen = hits.groupBy("_term", layer).agg(F.count("*").alias("n"))
+    n, f = F.col("n"), F.col("f")
+    idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - n + 0.5) / (n + 0.5)))
+    part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    weighed = hits.join(few(seen), ["_term", layer]).join(F.broadcast(index.stats()), layer).join(index.table("chunks"), [layer, id_col])  # a row for each layer
+    asked = few(wanted).join(weighed.select("_term", layer, id_col, part.alias("part")), "_term")
+    scored = asked.groupBy(by, layer, id_col).agg(F.array_sort(F.collect_list(F.struct("_term", "part"))).alias("parts"), F.size(F.array_distinct(F.flatten(F.collect_list("_groups")))).alias("_found"), F.first("_n_groups").alias("_n_groups"))
+    matched = scored.filter(F.col("_found") == F.col("_n_groups")) if match_all else scored
+    return matched.select(by, layer, id_col, (-F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"])).alias("score"))  # the same sum for equal parts
+
+
+def keyword_search(index: Index, questions: DataFrame, k: int, by: str = "query_id", strict: str = "strict_groups", relaxed: str = "relaxed_groups") -> DataFrame:
+    """The k best of each question and layer, with rank: strict matches, or relaxed ones (null: none) in layers without any strict match."""
     from corvane.operators.retrieval import top_per_group
 
-    found = bm25(chunks, id_col, text_cols, strict, True, layer)
-    if relaxed:
-        other = bm25(chunks, id_col, text_cols, relaxed, False, layer)
-        found = found.unionByName(other.join(found.select(layer).distinct(), layer, "left_anti"))
-    return top_per_group(found, [layer], [F.asc("score"), F.asc(id_col)], k)
+    found = kept(bm25(index, questions, strict, True, by))
+    again = questions.filter(F.col(relaxed).isNotNull())
+    if again.isEmpty():
+        return top_per_group(found, [by, index.layer], [F.asc("score"), F.asc(index.id_col)], k)
+    other = bm25(index, again, relaxed, False, by)
+    found = found.unionByName(other.join(found.select(by, index.layer).distinct(), [by, index.layer], "left_anti"))
+    return top_per_group(found, [by, index.layer], [F.asc("score"), F.asc(index.id_col)], k)

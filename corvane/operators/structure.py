@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from corvane.functions import text as T
+from corvane.functions import ids, text as T
 
 
 def in_order(doc: str, index: str):
@@ -22,23 +22,23 @@ def section_paths(blocks: DataFrame, doc: str = "doc_id", index: str = "block_in
     section what says 节, titles included. An article holds until the next heading.
     """
     b = blocks.withColumn("law_level", T.level(text)).withColumn("_t", T.strip(text))
-    at = lambda *names: F.col("law_level").isin(*names)
-    for group, names in (("_g1", T.HEADINGS[:1]), ("_g2", T.HEADINGS[:2]), ("_g3", T.HEADINGS)):
-        b = b.withColumn(group, F.coalesce(running(at(*names), doc, index), F.lit(0)))
-    within = lambda *groups: W.partitionBy(doc, *groups).orderBy(index).rowsBetween(W.unboundedPreceding, W.currentRow)
-    b = (
-        b.withColumn("_p", F.max(F.when(at("编"), F.col("_t"))).over(within("_g1")))
-        .withColumn("_c", F.max(F.when(at("章"), F.col("_t"))).over(within("_g1", "_g2")))
-        .withColumn("_s", F.max(F.when(at("节"), F.col("_t"))).over(within("_g1", "_g2", "_g3")))
-        .withColumn("_c_seen", F.max(F.when(at("章"), 1).otherwise(0)).over(within("_g1")) == 1)
-        .withColumn("_s_seen", F.max(F.when(at("节"), 1).otherwise(0)).over(within("_g1")) == 1)
-        .withColumn("_s_in_c", F.max(F.when(at("节"), 1).otherwise(0)).over(within("_g1", "_g2")) == 1)
-        .withColumn("article_no", F.last(F.when(at("条"), T.numbered("_t", "条")), ignorenulls=True).over(within("_g1", "_g2", "_g3")))
-    )
-    part = F.when(~((F.col("_c_seen") & F.col("_p").rlike("[章节]")) | (F.col("_s_seen") & F.col("_p").contains("节"))), F.col("_p"))
-    chapter = F.when(~(F.col("_s_in_c") & F.col("_c").contains("节")), F.col("_c"))
-    path = F.nullif(F.concat_ws(" / ", part, chapter, F.col("_s")), F.lit(""))
-    return b.withColumn("section_path", path).drop("_t", "_g1", "_g2", "_g3", "_p", "_c", "_s", "_c_seen", "_s_seen", "_s_in_c")
+    level, by = F.col("law_level"), in_order(doc, index)
+    part, chapter, section, article = (level == name for name in ("编", "章", "节", "条"))
+
+    def latest(within: Column, value: Column) -> Column:
+        """value at the last row of which within is true: all of it is read from one window in one order."""
+        return F.last(F.when(within, F.struct(value.alias("v"))), ignorenulls=True).over(by)["v"]
+
+    at = lambda of: F.coalesce(F.last(F.when(of, F.col(index)), ignorenulls=True).over(by), F.lit(-1))
+    b = b.select(
+        "*", latest(part, F.col("_t")).alias("_p"), latest(part | chapter, F.when(chapter, F.col("_t"))).alias("_c"), latest(part | chapter | section, F.when(section, F.col("_t"))).alias("_s"),
+        latest(part | chapter | section | article, F.when(article, T.numbered("_t", "条"))).alias("article_no"), at(part).alias("_at_p"), at(chapter).alias("_at_c"), at(section).alias("_at_s"),
+    )
+    seen_c, seen_s, in_c = F.col("_at_c") > F.col("_at_p"), F.col("_at_s") > F.col("_at_p"), F.col("_at_s") > F.greatest("_at_p", "_at_c")
+    first = F.when(~((seen_c & F.col("_p").rlike("[章节]")) | (seen_s & F.col("_p").contains("节"))), F.col("_p"))
+    second = F.when(~(in_c & F.col("_c").contains("节")), F.col("_c"))
+    path = F.nullif(F.concat_ws(" / ", first, second, F.col("_s")), F.lit(""))
+    return b.withColumn("section_path", path).drop("_t", "_p", "_c", "_s", "_at_p", "_at_c", "_at_s")
 
 
 def split_articles(blocks: DataFrame, doc: str = "doc_id", index: str = "block_index", text: str = "text") -> DataFrame:
@@ -47,13 +47,11 @@ def split_articles(blocks: DataFrame, doc: str = "doc_id", index: str = "block_i
     lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"), lambda line: T.strip(line))
     b = blocks.withColumn("_lines", lines).withColumn("_n", F.size(F.filter("_lines", lambda line: line.rlike(starts))))
     one = b.filter(F.col("_n") < 2).drop("_lines", "_n").withColumn("part", F.lit(None).cast("long"))
-    many = b.filter(F.col("_n") >= 2).select(*blocks.columns, F.posexplode("_lines").alias("_at", "_line"))
-    order = W.partitionBy(doc, index).orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    many = many.withColumn("_part", F.sum(F.when(F.col("_line").rlike(starts) & (F.col("_at") > 0), 1).otherwise(0)).over(order))
-    rest = [c for c in blocks.columns if c not in (doc, index, text)]
-    joined = many.groupBy(doc, index, "_part", *rest).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda s: s["_line"]), "\n").alias("_text"))
-    joined = joined.withColumn("_text", T.strip("_text")).filter("_text <> ''")
-    split = joined.select(*[(F.col("_text") if c == text else F.col(index) * 1000 + F.col("_part") if c == index else F.col(c)).alias(c) for c in blocks.columns], F.col("_part").cast("long").alias("part"))
+    starts_at = F.filter(F.transform("_lines", lambda line, i: F.when(line.rlike(starts) & (i > 0), i)), lambda i: i.isNotNull())
+    begin, end = F.concat(F.array(F.lit(0)), starts_at), F.concat(starts_at, F.array(F.size("_lines")))
+    parts = F.zip_with(begin, end, lambda a, z: T.strip(F.array_join(F.slice("_lines", a + 1, z - a), "\n")))
+    many = b.filter(F.col("_n") >= 2).select(*blocks.columns, F.posexplode_outer(parts).alias("_part", "_text")).filter("_text <> ''")
+    split = many.select(*[(F.col("_text") if c == text else F.col(index) * 1000 + F.col("_part") if c == index else F.col(c)).alias(c) for c in blocks.columns], F.col("_part").cast("long").alias("part"))
     return one.unionByName(split)
 
 
@@ -65,3 +63,9 @@ def drop_heading_runs(blocks: DataFrame, doc: str = "doc_id", index: str = "bloc
     levels = F.size(F.collect_set(F.when(F.col("_h"), F.col("law_level"))).over(run))
     b = b.withColumn("_repeats", F.sum(F.when(F.col("_h"), 1).otherwise(0)).over(run) > levels)
     return b.filter(~(F.col("_h") & F.col("_repeats"))).drop("_run", "_h", "_repeats")
+
+
+def block_records(blocks: DataFrame, doc: str = "doc_id", index: str = "block_index") -> DataFrame:
+    """blocks (doc, index, text, law_level, section_path, article_no) as records of a fixed set of columns; an unknown level is null."""
+    known = F.when(F.col("law_level").isin(*dict(T.LEVELS)), F.col("law_level"))
+    return blocks.select(ids.structured_block_id(F.col(doc), F.col(index)).alias("block_id"), doc, index, "text", known.alias("law_level"), "section_path", "article_no")

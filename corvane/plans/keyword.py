@@ -1,10 +1,18 @@
-"""From a question to groups of prefix terms: one strict plan (all groups) and one relaxed plan (any term)."""
+"""From a table of questions to groups of prefix terms: a strict plan (all groups) and a relaxed one (any term) for each.
+
+All of it is column work, so a plan is made for each row of a table of any size. A question is cleaned, its asking phrases
+are taken off and it is cut into parts. Four lists of candidates follow: places, subjects, articles and identifiers. A list
+keeps legal terms, each once; a later list leaves out what an earlier one has, and all have MOST_TERMS terms together.
+"""
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from corvane.functions.text import WS, mapped, strip
 
 # ---- fixed values: word lists, patterns and limits define the plan ----
 CJK = "㐀-䶿一-鿿豈-﫿"
@@ -16,104 +24,87 @@ PREFIXES = ("麻烦问一下", "帮我查一下", "我想了解", "请问")
 SUFFIXES = ("是怎么规定的", "有哪些规定", "请介绍一下", "如何规定", "怎么规定", "是什么", "有哪些", "吗", "呢")
 SUBJECT_ENDS = ("条例", "办法", "规定", "规划", "计划", "标准", "细则", "通知", "意见", "决定", "措施", "制度", "责任", "处罚", "许可", "保护")
 RESERVED = ("and", "or", "not", "near", "match")
-AUTONOMOUS = {"内蒙古": "内蒙古自治区", "广西": "广西壮族自治区", "宁夏": "宁夏回族自治区", "新疆": "新疆维吾尔自治区", "西藏": "西藏自治区", "香港": "香港特别行政区", "澳门": "澳门特别行政区"}
-CITIES = ("北京", "天津", "上海", "重庆")
-PROVINCES = ("河北", "山西", "辽宁", "吉林", "黑龙江", "江苏", "浙江", "安徽", "福建", "江西", "山东", "河南", "湖北", "湖南", "广东", "海南", "四川", "贵州", "云南", "陕西", "甘肃", "青海", "台湾")
+REGIONS = {
+    "北京": "北京市", "天津": "天津市", "上海": "上海市", "重庆": "重庆市", "河北": "河北省", "山西": "山西省", "辽宁": "辽宁省", "吉林": "吉林省", "黑龙江": "黑龙江省", "江苏": "江苏省",
+    "浙江": "浙江省", "安徽": "安徽省", "福建": "福建省", "江西": "江西省", "山东": "山东省", "河南": "河南省", "湖北": "湖北省", "湖南": "湖南省", "广东": "广东省", "海南": "海南省",
+    "四川": "四川省", "贵州": "贵州省", "云南": "云南省", "陕西": "陕西省", "甘肃": "甘肃省", "青海": "青海省", "台湾": "台湾省", "内蒙古": "内蒙古自治区", "广西": "广西壮族自治区",
+    "宁夏": "宁夏回族自治区", "新疆": "新疆维吾尔自治区", "西藏": "西藏自治区", "香港": "香港特别行政区", "澳门": "澳门特别行政区",
+}
 PLACE = f"[{CJK}]{{2,12}}?(?:特别行政区|自治区|自治州|省|市|地区|盟|县|区)"
 MOST_TERMS, MOST_LETTERS, MOST_EXPRESSION = 16, 64, 1024
 # ---- end of fixed values ----
 
-REGIONS = AUTONOMOUS | {c: f"{c}市" for c in CITIES} | {p: f"{p}省" for p in PROVINCES}
-TERM = re.compile(f"{ARTICLE}|[{CJK}]+|[A-Za-z0-9]+")
-BARE_PLACE = re.compile(f"[{CJK}]{{2,4}}")
-
-
-@dataclass(frozen=True)
-class Plan:
-    groups: tuple[tuple[str, ...], ...]
-
-    @property
-    def terms(self) -> list[str]:
-        return [t for g in self.groups for t in g]
-
-    @property
-    def strict(self) -> str | None:
-        return rendered(self.groups)
-
-    @property
-    def relaxed(self) -> str | None:
-        one = rendered((tuple(self.terms),)) if self.groups else None
-        return None if one == self.strict else one
-
-
-def rendered(groups) -> str | None:
-    parts = [[f'"{t}"*' for t in g] for g in groups if g]
-    text = " AND ".join(p[0] if len(p) == 1 else f"({' OR '.join(p)})" for p in parts)
-    return text if text and len(text) <= MOST_EXPRESSION else None
-
-
-class Terms(list):
-    """Terms of one kind: each once, of a legal form, cut to a length, so many at most."""
-
-    def take(self, *found: str) -> None:
-        for term in (f[:MOST_LETTERS] for f in found):
-            if len(self) < MOST_TERMS and term not in self and TERM.fullmatch(term) and term.casefold() not in RESERVED:
-                self.append(term)
-
-
-def bare_question(text: str) -> str:
-    text = re.sub(PUNCTUATION, " ", re.sub(CONTROLS, " ", unicodedata.normalize("NFKC", text))).strip()
-    for prefix in PREFIXES:
-        if text.startswith(prefix):
-            text = text[len(prefix) :].lstrip()
-            break
-    while end := next((s for s in SUFFIXES if text.endswith(s)), None):
-        text = text[: -len(end)].rstrip()
-    return " ".join(text.split())
-
-
-def places(parts: list[str]) -> Terms:
-    terms = Terms()
-    for part in parts:
-        terms.take(*re.findall(PLACE, part))
-    if len(parts) >= 2:
-        scope = parts[0]
-        region = next((r for r in REGIONS if scope.startswith(r)), None)
-        if region:
-            terms.take(REGIONS[region])
-            scope = scope[len(region) :]
-        if BARE_PLACE.fullmatch(scope):
-            terms.take(f"{scope}市")
-    return terms
-
-
-def subjects(parts: list[str], known: list[str], articles: list[str]) -> Terms:
-    terms = Terms()
-    for part in parts[1:] or parts:
-        for run in re.findall(f"[{CJK}]+", part):
-            run = run[len(next((p for p in known if run.startswith(p)), "")) :]
-            for article in articles:
-                run = run.replace(article, "")
-            terms.take(run)
-            for end in SUBJECT_ENDS:
-                for m in re.finditer(end, run):
-                    terms.take(run[: m.end()], run[: m.start()])
-    return terms
-
-
-def plan(question: str | None) -> Plan:
-    """Places, subjects, articles and identifiers of a question, MOST_TERMS in all."""
-    text = bare_question(question) if isinstance(question, str) else ""
-    parts = [p.strip() for p in re.split(SEPARATORS, text) if p.strip()]
-    articles, names = Terms(), Terms()
-    articles.take(*re.findall(ARTICLE, text))
-    names.take(*re.findall("[A-Za-z0-9]+", text))
-    where = places(parts)
-    seen: list[str] = []
-    groups = []
-    for found in (where, subjects(parts, where, articles), articles, names):
-        new = [t for t in found if t not in seen][: MOST_TERMS - len(seen)]
-        seen += new
-        if new:
-            groups.append(tuple(new))
-    return Plan(tuple(groups))
+TERM = f"^(?:{ARTICLE}|[{CJK}]+|[A-Za-z0-9]+)$"
+
+
+def every(pattern: str, c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(pattern), 0)
+
+
+def legal(candidates: Column) -> Column:
+    cut = F.transform(candidates, lambda t: F.substring(t, 1, MOST_LETTERS))
+    return F.slice(F.array_distinct(F.filter(cut, lambda t: t.rlike(TERM) & ~F.lower(t).isin(*RESERVED))), 1, MOST_TERMS)
+
+
+def cleaned(question: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(mapped(question, lambda t: unicodedata.normalize("NFKC", t)), CONTROLS, " "), PUNCTUATION, " ")
+    asked = F.regexp_replace(strip(plain), f"^(?:{'|'.join(PREFIXES)}){WS}*", "")
+    bare = F.regexp_replace(asked, f"(?:{WS}*(?:{'|'.join(SUFFIXES)}))+{WS}*$", "")
+    return strip(F.regexp_replace(bare, f"{WS}+", " "))
+
+
+def first_start(c: Column, starts: Column) -> Column:
+    """The first of starts with which c begins, or nothing."""
+    return F.coalesce(F.try_element_at(F.filter(starts, lambda s: c.startswith(s)), F.lit(1)), F.lit(""))
+
+
+def without_start(c: Column, start: Column) -> Column:
+    return F.substr(c, F.char_length(start) + 1)
+
+
+def subject_terms(run: Column) -> Column:
+    """The run and, wherever an ending of laws and rules is in it, the run up to its end and up to its begin."""
+
+    def at(end: str) -> Column:
+        pieces = F.split(run, end)
+        before = lambda i: F.array_join(F.slice(pieces, F.lit(1), i), end)
+        some = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(some, lambda i: F.array(F.concat(before(i), F.lit(end)), before(i))))
+
+    return F.concat(F.array(run), *map(at, SUBJECT_ENDS))
+
+
+def rendered(groups: Column) -> Column:
+    """The expression, or null if there is none or it is too long."""
+    one = F.transform(groups, lambda g: F.transform(g, lambda t: F.concat(F.lit('"'), t, F.lit('"*'))))
+    text = F.array_join(F.transform(one, lambda g: F.when(F.size(g) == 1, g[0]).otherwise(F.concat(F.lit("("), F.array_join(g, " OR "), F.lit(")")))), " AND ")
+    return F.when((text != "") & (F.char_length(text) <= MOST_EXPRESSION), text)
+
+
+def with_plans(questions: DataFrame, question: str) -> DataFrame:
+    """questions with groups (arrays of terms), strict, relaxed (null where it is the same) and n_terms.
+
+    Null and blank questions, and those without a legal term, have no groups and no expressions. Texts of any length are
+    read whole; the limits are those of the plan. Columns of questions by these names are replaced.
+    """
+    q = questions.select(F.struct("*").alias("row"), F.coalesce(cleaned(F.col(question)), F.lit("")).alias("text"))
+    q = q.withColumn("parts", F.filter(F.transform(F.split("text", SEPARATORS), strip), lambda p: p != ""))
+    scope, several = F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit("")), F.size("parts") > 1
+    q = q.withColumn("region", F.when(several, first_start(scope, F.array(*map(F.lit, REGIONS)))).otherwise(""))
+    full = F.try_element_at(F.create_map(*[F.lit(x) for pair in REGIONS.items() for x in pair]), F.col("region"))
+    city = F.when(several & without_start(scope, F.col("region")).rlike(f"^[{CJK}]{{2,4}}$"), F.concat(without_start(scope, F.col("region")), F.lit("市")))
+    named = F.flatten(F.transform("parts", lambda p: every(PLACE, p)))
+    q = q.withColumn("places", legal(F.concat(named, F.array_compact(F.array(full, city))))).withColumn("articles", legal(every(ARTICLE, F.col("text"))))
+    runs = F.flatten(F.transform(F.when(several, F.slice("parts", F.lit(2), F.size("parts"))).otherwise(F.col("parts")), lambda p: every(f"[{CJK}]+", p)))
+    bare = F.transform(runs, lambda r: F.aggregate("articles", without_start(r, first_start(r, F.col("places"))), lambda kept, a: F.replace(kept, a, F.lit(""))))
+    q = q.withColumn("subjects", legal(F.flatten(F.transform(bare, subject_terms)))).withColumn("names", legal(every("[A-Za-z0-9]+", F.col("text"))))
+
+    def add(done: Column, found: Column) -> Column:
+        seen = F.flatten(done)
+        return F.concat(done, F.array(F.slice(F.array_except(found, seen), F.lit(1), F.greatest(F.lit(MOST_TERMS) - F.size(seen), F.lit(0)))))
+
+    groups = reduce(add, map(F.col, ("places", "subjects", "articles", "names")), F.array().cast("array<array<string>>"))
+    q = q.select("row", F.filter(groups, lambda g: F.size(g) > 0).alias("groups"))
+    q = q.withColumn("strict", rendered(F.col("groups"))).withColumn("relaxed", rendered(F.when(F.size("groups") > 0, F.array(F.flatten("groups"))).otherwise(F.col("groups"))))
+    own = [c for c in questions.columns if c not in ("groups", "strict", "relaxed", "n_terms")]
+    return q.select(*[F.col(f"row.`{c}`").alias(c) for c in own], "groups", "strict", F.when(~F.col("strict").eqNullSafe(F.col("relaxed")), F.col("relaxed")).alias("relaxed"), F.size(F.flatten("groups")).cast("long").alias("n_terms"))

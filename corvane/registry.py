@@ -24,5 +24,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is if its scan has a task for each core, else dealt anew: a small file's one row group would be one task's work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")

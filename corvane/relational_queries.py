@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from corvane.functions import text as T
 from corvane.operators import chunking, context, layers, quality, structure
 from corvane.registry import long, query, read
-from corvane.retrieval_queries import BLOCKS_SQL, LINES_SQL, STRUCTURED_SQL, sql_strip, structured
+from corvane.retrieval_queries import BLOCKS_SQL, LINES_SQL, STRUCTURED_SQL, sql_strip, statute_documents, structured, texts
 from corvane.sources import files
 
 STATUS_SQL = "CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'success' WHEN o_orderstatus = 'O' THEN 'failed' ELSE 'pending' END"
@@ -53,13 +53,13 @@ def s2(spark, sf_dir):
 
 @query("s1_file_scan")
 def s1(spark, sf_dir):
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*nation*.parquet").load(sf_dir)
-    return found.select(files.base_name(F.col("path")).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    """Every file below the folder."""
+    return files.scan(spark, sf_dir).select(files.base_name(F.col("path")).alias("name"), "length", "sha256", "suffix", "is_word")
 
 
 @query("s7_paragraphs", f"WITH {LINES_SQL}, s AS (SELECT doc_id, i, {sql_strip('line')} AS s FROM lines), g AS (SELECT *, sum((s = '')::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS paragraph FROM s) SELECT doc_id, paragraph::BIGINT AS paragraph, string_agg(s, ' ' ORDER BY i) AS text FROM g WHERE s <> '' GROUP BY 1, 2")
 def s7(spark, sf_dir):
-    return files.paragraphs(read(spark, sf_dir, "documents"))
+    return files.paragraphs(texts(spark, sf_dir))
 
 
 PAGES_SQL = """lines AS (SELECT l_suppkey AS doc_id, l_partkey % 40 AS page, CASE WHEN l_quantity < 6 THEN '' ELSE repeat('x', l_quantity::INT) END AS text, (l_quantity + 40) / 100 AS confidence FROM lineitem),
@@ -100,9 +100,19 @@ def s13(spark, sf_dir):
     return vector_faults(vectors, 64)
 
 
-@query("s20_ordered_blocks", f"WITH {STRUCTURED_SQL} SELECT block_index, text, law_level FROM structured WHERE doc_id = 7 ORDER BY block_index")
+@query("s20_ordered_blocks", f"WITH {STRUCTURED_SQL} SELECT doc_id, block_index, text, law_level FROM structured ORDER BY doc_id, block_index")
 def s20(spark, sf_dir):
-    return structured(spark, sf_dir).filter("doc_id = 7").orderBy("block_index").select("block_index", "text", "law_level")
+    return structured(spark, sf_dir).orderBy("doc_id", "block_index").select("doc_id", "block_index", "text", "law_level")
+
+
+LEGACY_SQL = "paths AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'A\\b/' ELSE 'c/' END || CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END || '-' || (doc_id // 4) || '.TXT' AS path, sha256(coalesce(text, '')) AS digest FROM documents)"
+
+
+@query("s21_legacy_identities", f"WITH {LEGACY_SQL}, k AS (SELECT lower(regexp_extract(path, '([^/\\\\]+)$', 1)) AS key, doc_id, digest FROM paths) SELECT key, count(*) AS n, min(doc_id) AS doc_id, arg_min(digest, doc_id) AS digest, count(*) > 1 AS collides FROM k GROUP BY key")
+def s21(spark, sf_dir):
+    i = F.col("doc_id")
+    path = F.concat(F.when(i % 3 == 0, "A\\b/").otherwise("c/"), F.when(i % 2 == 0, F.upper("source")).otherwise(F.col("source")), F.lit("-"), F.floor(i / 4).cast("string"), F.lit(".TXT"))
+    return layers.legacy_identities(read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")))
 
 
 @query("f14_latest_question", f"SELECT conv_id, turn, question FROM (SELECT conv_id, turn, {sql_strip('text')} AS question, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role = 'user' AND {sql_strip('text')} <> '') WHERE k = 1")
@@ -259,10 +269,7 @@ def a16(spark, sf_dir):
 
 @query("a17_block_hash", f"WITH {BLOCKS_SQL} SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY block_index)) AS digest FROM blocks GROUP BY doc_id")
 def a17(spark, sf_dir):
-    from corvane.retrieval_queries import statute_blocks
-
-    b = statute_blocks(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "text"))).alias("b"))
-    return b.select("doc_id", F.sha2(F.array_join(F.transform("b", lambda s: s["text"]), "\n"), 256).alias("digest"))
+    return statute_documents(spark, sf_dir).select("doc_id", F.sha2(F.array_join("blocks", "\n"), 256).alias("digest"))
 
 
 @query("a18_disk_needed", "SELECT ceil((sum(n_chars) + 3 * max(n_chars) + 1000) * 1.2::DOUBLE)::BIGINT AS bytes FROM documents")
@@ -305,10 +312,10 @@ def k7(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", "source", "lang").orderBy("source", "doc_id").limit(100)
 
 
-@query("k8_k16_i5_vector_ids", "SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) + (SELECT max(vec_id) FROM embeddings) AS vector_id FROM documents WHERE doc_id % 2 = 1")
+@query("k8_k16_i5_vector_ids", "SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) + (SELECT max(vec_id) FROM embeddings) AS vector_id FROM documents")
 def k8(spark, sf_dir):
     first = (read(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
-    return layers.assign_ids(read(spark, sf_dir, "documents").filter("doc_id % 2 = 1").select("doc_id", "source"), first, ["source", "doc_id"]).select("doc_id", long("vector_id").alias("vector_id"))
+    return layers.assign_ids(read(spark, sf_dir, "documents").select("doc_id", "source"), first, ["source", "doc_id"]).select("doc_id", long("vector_id").alias("vector_id"))
 
 
 LAYERS_SQL = "base AS (SELECT doc_id, source, NULL::VARCHAR AS extension, 0 AS layer FROM documents WHERE doc_id % 5 <> 0), delta AS (SELECT doc_id, source, '.txt' AS extension, 1 AS layer FROM documents WHERE doc_id % 5 = 0), both_layers AS (SELECT * FROM base UNION ALL SELECT * FROM delta)"
@@ -325,9 +332,9 @@ def s17(spark, sf_dir):
     return layers.effective(layered(spark, sf_dir), dead, "doc_id").select("doc_id", "source", "extension", "layer")
 
 
-@query("i8_cross_layer_repeats", "SELECT source, count(DISTINCT layer) AS n FROM (SELECT source, doc_id % 5 = 0 AS layer FROM documents WHERE doc_id < 60) GROUP BY source HAVING count(DISTINCT layer) > 1")
+@query("i8_cross_layer_repeats", "SELECT source, count(DISTINCT layer) AS n FROM (SELECT source, doc_id % 5 = 0 AS layer FROM documents) GROUP BY source HAVING count(DISTINCT layer) > 1")
 def i8(spark, sf_dir):
-    once = layered(spark, sf_dir).filter("doc_id < 60").select("source", "layer").distinct()
+    once = layered(spark, sf_dir).select("source", "layer").distinct()
     return layers.repeated_ids(once, "source").select("source", F.col("count").alias("n"))
 
 
@@ -479,6 +486,26 @@ def f17(spark, sf_dir):
     return d.agg(F.count("*").alias("n"), quality.count_if(F.coalesce("text", F.lit("")) == "").alias("blank_text"), quality.count_if(F.col("n_chars") < 0).alias("negative"), quality.count_if(F.col("n_chars") != F.char_length("text")).alias("wrong_length"), quality.count_if(~F.col("lang").isin("en", "de", "fr", "es")).alias("unknown_lang"))
 
 
+@query("f18_block_records", f"WITH {STRUCTURED_SQL}, r AS (SELECT *, CASE WHEN block_index % 7 = 0 THEN '段落' ELSE law_level END AS label FROM structured) SELECT doc_id, block_index, sha256(doc_id || ':structured_block:' || block_index) AS block_id, CASE WHEN label IN ('编', '章', '节', '条', '款', '项', '目') THEN label END AS law_level, section_path, article_no, sha256(text) AS digest FROM r")
+def f18(spark, sf_dir):
+    labelled = structured(spark, sf_dir).withColumn("law_level", F.when(F.col("block_index") % 7 == 0, "段落").otherwise(F.col("law_level")))
+    return structure.block_records(labelled).select("doc_id", "block_index", "block_id", "law_level", "section_path", "article_no", F.sha2("text", 256).alias("digest"))
+
+
+INSERTS_SQL = LINES_SQL + ", rows AS (SELECT doc_id, CASE WHEN i % 50 = 49 THEN -1 ELSE i END AS block_index, line AS text, CASE WHEN i % 11 = 10 THEN NULL ELSE i END AS vector_id FROM lines)"
+FAULT_SQL = f"CASE WHEN doc_id IS NULL THEN 'no document' WHEN block_index IS NULL OR block_index < 0 THEN 'block index' WHEN {sql_strip('text')} = '' THEN 'no text' WHEN vector_id IS NULL OR vector_id < 0 THEN 'vector id' END"
+
+
+@query("k20_delta_inserts", f"WITH {INSERTS_SQL}, c AS (SELECT *, {FAULT_SQL} AS fault FROM rows) SELECT coalesce(fault, 'inserted') AS state, count(*) AS n, count(DISTINCT doc_id) AS docs, sum(length(text))::BIGINT AS chars FROM c GROUP BY 1")
+def k20(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "text"))
+    i = F.col("i")
+    rows = lines.select("doc_id", long(F.when(i % 50 == 49, -1).otherwise(i)).alias("block_index"), "text", long(F.when(i % 11 != 10, i)).alias("vector_id"))
+    good, refused = layers.checked_rows(rows)
+    both = good.withColumn("state", F.lit("inserted")).unionByName(refused.withColumnRenamed("fault", "state"))
+    return both.groupBy("state").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.sum(F.char_length("text").cast("long")).alias("chars"))
+
+
 @query("f16_hydrated_hits", "SELECT h.vec_id AS chunk_id, h.rank, d.source AS title, d.lang AS section_path, d.n_chars, h.vec_id = d.doc_id AS agrees FROM (SELECT vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) AS rank FROM embeddings ORDER BY rank LIMIT 40) h JOIN documents d ON d.doc_id = h.vec_id")
 def f16(spark, sf_dir):
     top = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[1].alias("score")).orderBy(F.desc("score"), "vec_id").limit(40)
@@ -487,9 +514,9 @@ def f16(spark, sf_dir):
     return d.join(F.broadcast(ranked), d.doc_id == ranked.vec_id).select(F.col("vec_id").alias("chunk_id"), "rank", F.col("source").alias("title"), F.col("lang").alias("section_path"), "n_chars", (F.col("vec_id") == F.col("doc_id")).alias("agrees"))
 
 
-@query("j5_left_hits", "SELECT e.vec_id, d.source FROM (SELECT vec_id FROM embeddings WHERE vec_id % 9 = 0) e LEFT JOIN documents d ON d.doc_id = e.vec_id + 400")
+@query("j5_left_hits", "SELECT e.vec_id, d.source FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id + 400")
 def j5(spark, sf_dir):
-    e, d = read(spark, sf_dir, "embeddings").filter("vec_id % 9 = 0").select("vec_id"), read(spark, sf_dir, "documents").select("doc_id", "source")
+    e, d = read(spark, sf_dir, "embeddings").select("vec_id"), read(spark, sf_dir, "documents").select("doc_id", "source")
     return e.join(d, d.doc_id == e.vec_id + 400, "left").select("vec_id", "source")
 
 
@@ -516,9 +543,9 @@ def k19(spark, sf_dir):
     return rows.orderBy("entity_type", "entity_id")
 
 
-@query("k18_delta_vectors", "SELECT vec_id, ts, row_number() OVER (ORDER BY ts, vec_id) AS place FROM (SELECT vec_id, (vec_id * 7) % 97 AS ts FROM embeddings WHERE vec_id % 3 = 1)")
+@query("k18_delta_vectors", "SELECT vec_id, ts, row_number() OVER (ORDER BY ts, vec_id) AS place FROM (SELECT vec_id, (vec_id * 7) % 97 AS ts FROM embeddings)")
 def k18(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").filter("vec_id % 3 = 1").select("vec_id", (F.col("vec_id") * 7 % 97).alias("ts"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") * 7 % 97).alias("ts"))
     return layers.assign_ids(e, 1, ["ts", "vec_id"]).select("vec_id", "ts", long("vector_id").alias("place"))
 
 

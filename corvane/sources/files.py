@@ -157,10 +157,9 @@ def reading_order(boxes: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, paragraph, text: the text_blocks() rule for lines without tabs as columns."""
-    lines = docs.select(id_col, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("at", "line"))
-    blank = T.strip("line") == ""
-    before = W.partitionBy(id_col).orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    group = lines.withColumn("paragraph", F.sum(blank.cast("long")).over(before)).filter(~blank)
-    joined = group.groupBy(id_col, "paragraph").agg(F.array_sort(F.collect_list(F.struct("at", T.strip("line").alias("line")))).alias("l"))
-    return joined.select(id_col, "paragraph", F.array_join(F.transform("l", lambda s: s["line"]), " ").alias("text"))
+    """id, paragraph, text: the text_blocks() rule for lines without tabs, within each row. paragraph: blank lines before it."""
+    lines = docs.select(id_col, F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), T.strip).alias("l"))
+    blank = F.filter(F.transform("l", lambda x, i: F.when(x == "", i + 1)), lambda i: i.isNotNull())
+    begin, end = F.concat(F.array(F.lit(0)), blank), F.concat(blank, F.array(F.size("l") + 1))
+    joined = F.zip_with(begin, end, lambda a, b: F.array_join(F.slice("l", a + 1, b - a - 1), " "))
+    return lines.select(id_col, F.posexplode_outer(joined).alias("paragraph", "text")).filter("text <> ''").select(id_col, F.col("paragraph").cast("long"), "text")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvane.functions import ids
-from corvane.operators.layers import classify, newest
+from corvane.operators.layers import classify, effective, newest, tombstones_for
+from corvane.operators.storage import kept
 from corvane.plans.manifest import Layer, Manifest, ManifestStore
 
 EMPTY_DIGEST = "0" * 64
@@ -32,19 +35,36 @@ def active(rows: DataFrame) -> DataFrame:
 
 
 def ingest_batch(store: ManifestStore, batch: DataFrame, name: str) -> Manifest:
-    """New and changed documents of a batch as one delta. A batch that was published before is not published again."""
+    """New and changed documents of a batch, and tombstones of the versions they replace, as one delta. A batch that was published before is not published again."""
     manifest = store.current()
     if any(x.layer_id == name for x in manifest.deltas):
         return manifest
-    incoming = newest(versioned(batch), "key", [F.asc("version_id")])
-    known = active(store.read(manifest, "documents"))
-    taken = classify(incoming.select("key", "digest"), known.select("key", "digest")).filter("action <> 'DUPLICATE_UNCHANGED'")
-    incoming.join(taken.select("key", "action"), "key").write.mode("overwrite").parquet(f"{store.root}/{name}/documents")
+    incoming = kept(newest(versioned(batch), "key", [F.asc("version_id")]))
+    # only what the batch may replace is ranked: rows of its keys, without their texts
+    rows = store.read(manifest, "documents").select("key", "digest", "doc_id", "version_id", "layer").join(incoming.select("key"), "key", "left_semi")
+    known = kept(active(rows))
+    taken = kept(classify(incoming.select("key", "digest"), known.select("key", "digest")).filter("action <> 'DUPLICATE_UNCHANGED'").select("key", "action"))
+    incoming.join(taken, "key").write.mode("overwrite").parquet(f"{store.root}/{name}/documents")
+    updated = known.join(taken.filter("action = 'UPDATE'"), "key", "left_semi")
+    no_chunks = updated.select("doc_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("long").alias("vector_id")).filter("chunk_id is not null")
+    tombstones_for(updated, updated.select("doc_id", "version_id"), no_chunks).write.mode("overwrite").parquet(f"{store.root}/{name}/tombstones")
     digest = ids.sha  # content address of the layer: its versions in order
     versions = store.spark.read.parquet(f"{store.root}/{name}/documents").agg(F.coalesce(F.sum(F.crc32("version_id")), F.lit(0)).alias("s"), F.count("*").alias("n")).select(digest(F.col("s"), F.col("n")).alias("d")).first().d
     return store.publish(Manifest(manifest.revision + 1, manifest.base, (*manifest.deltas, Layer(name, name, versions))), manifest.revision)
 
 
+def tombstones(store: ManifestStore, manifest: Manifest) -> DataFrame:
+    """entity_type, entity_id of all deltas; the base has none."""
+    found = [store.spark.read.parquet(f"{store.root}/{x.path}/tombstones") for x in manifest.deltas]
+    return reduce(DataFrame.unionByName, found) if found else store.spark.createDataFrame([], "entity_type string, entity_id string")
+
+
+def living(store: ManifestStore, manifest: Manifest) -> DataFrame:
+    """Documents of all layers without the versions that a tombstone names; no key is ranked for that."""
+    dead = tombstones(store, manifest).filter("entity_type = 'doc_version'")
+    return effective(store.read(manifest, "documents"), dead, "version_id")
+
+
 def ingest_stream(store: ManifestStore, stream: DataFrame, checkpoint: str) -> StreamingQuery:
     """Runs through what has arrived and stops. stream: key, text."""
     return stream.writeStream.foreachBatch(lambda batch, number: ingest_batch(store, batch, f"delta-{number:06d}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -96,6 +96,9 @@ def test_manifest_and_ingestion(spark, tmp_path):
     assert manifest.revision == 2 and len(manifest.deltas) == 1
     now = ingest.active(store.read(manifest, "documents"))
     assert {(r.key, r.text, r.layer) for r in now.collect()} == {("a", "1x", 1), ("b", "2", 0), ("c", "3", 1)}
+    assert sorted(map(tuple, ingest.living(store, manifest).select("key", "text").collect())) == [("a", "1x"), ("b", "2"), ("c", "3")]
+    old = store.read(manifest, "documents").filter("layer = 0 and key = 'a'").first().version_id
+    assert [tuple(r) for r in ingest.tombstones(store, manifest).collect()] == [("doc_version", old)]
     again = ingest.ingest_batch(store, spark.createDataFrame([("z", "9")], schema), manifest.deltas[0].layer_id)
     assert again == manifest
     with pytest.raises(ManifestConflict):
@@ -111,3 +114,16 @@ def test_cross_layer_repeats_of_high_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["i8_cross_layer_repeats_whole"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [("source", "late", 2)]
+
+
+def test_legacy_identities(spark):
+    rows = [(1, "a/E\u0301t\u00e9.txt", "x"), (2, "b\\\u00c9T\u00c9.TXT", "y"), (3, "c/Stra\u00dfe.txt", "z"), (4, "STRASSE.txt", "w"), (5, "other", "v")]
+    got = layers.legacy_identities(spark.createDataFrame(rows, "doc_id long, path string, digest string")).collect()
+    assert {(r.key, r.n, r.doc_id, r.digest, r.collides) for r in got} == {("\u00e9t\u00e9.txt", 2, 1, "x", True), ("strasse.txt", 2, 3, "z", True), ("other", 1, 5, "v", False)}
+
+
+def test_checked_inserts(spark, tmp_path):
+    rows = [(1, 0, "a", 5), (None, 0, "a", 5), (1, -1, "a", 5), (1, 1, " ", 5), (1, 1, None, 5), (1, 1, "b", None), (1, 2, "c", 6)]
+    refused = layers.insert_checked(spark.createDataFrame(rows, "doc_id long, block_index long, text string, vector_id long"), str(tmp_path / "d"))
+    assert sorted(r.fault for r in refused.collect()) == ["block index", "no document", "no text", "no text", "vector id"]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "d")).collect())) == [rows[0], rows[6]]

@@ -1,10 +1,12 @@
 import math
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators import context, postings, retrieval
-from corvane.plans.keyword import plan
+from corvane.plans.keyword import with_plans
 
 
 def hits(spark, rows):
@@ -39,6 +41,21 @@ def test_knn_matches_single_search(spark):
         assert [r.vec_id for r in got if r.query_id == q] == [r.vec_id for r in one]
 
 
+def test_knn_with_ties_and_many_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-1, 1)) for _ in range(3)]) for i in range(400)] + [(None, [1.0, 1.0, 1.0]), (999, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    want = set()
+    for q, x in rows[:40]:
+        best = sorted(((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in rows[:400]))[:7]
+        want |= {(q, i, -s, k + 1) for k, (s, i) in enumerate(best)}
+    for size, together in ((64 << 20, 512), (24 * 9, 2)):
+        monkeypatch.setattr(retrieval, "QUERY_BYTES", size)
+        monkeypatch.setattr(retrieval, "TOGETHER", together)
+        assert {tuple(r) for r in retrieval.knn(v.filter("vec_id < 40"), v, 7).collect()} == want
+    assert retrieval.knn(v.limit(0), v, 3).collect() == [] == retrieval.knn(v, v.limit(0), 3).collect()
+
+
 def brute_bm25(docs, terms):
     words = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in docs.items()}
     avg = sum(map(len, words.values())) / len(words)
@@ -52,28 +69,71 @@ def brute_bm25(docs, terms):
     return out
 
 
-def test_bm25_against_brute_force(spark):
-    docs = {1: "alpha beta alphabet", 2: "beta gamma", 3: "gamma delta delta", 4: "epsilon", 5: "alpha 更新规划 x"}
+GROUPS = "query_id long, strict_groups array<array<string>>, relaxed_groups array<array<string>>"
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_bm25_against_brute_force(spark, monkeypatch, few):
+    """Three questions at once, of which one has a term that nothing has; rows and layers that are empty."""
+    monkeypatch.setattr(postings, "FEW_TERMS", few)
+    docs = {1: "alpha beta alphabet", 2: "beta gamma", 3: "gamma delta delta", 4: "epsilon", 5: "alpha 更新规划 x", 6: None, 7: "Été ete"}
     df = spark.createDataFrame([(i, t, 0) for i, t in docs.items()], "id long, text string, layer long")
-    got = {r.id: r.score for r in postings.bm25(df, "id", ["text"], [["alph", "更新"], ["beta"]], False).collect()}
-    want = brute_bm25(docs, ["alph", "更新", "beta"])
-    assert set(got) == {1, 2, 5} and all(math.isclose(got[i], want[i], rel_tol=1e-12) for i in got)
-    assert {r.id for r in postings.bm25(df, "id", ["text"], [["alph"], ["beta"]], True).collect()} == {1}
+    index = postings.write_index(df, "id", ["text"])
+    asked = spark.createDataFrame([(0, [["alph", "更新"], ["beta"]], None), (1, [["ÉT"], ["none"]], None), (2, [["alph"], ["beta"]], None)], GROUPS)
+    any_of = {(r.query_id, r.id): r.score for r in postings.bm25(index, asked, "strict_groups", False).collect()}
+    plain = {i: (t or "").replace("É", "e").replace("é", "e") for i, t in docs.items()}
+    for q, terms in ((0, ["alph", "更新", "beta"]), (1, ["et", "none"]), (2, ["alph", "beta"])):
+        want = {i: s for i, s in brute_bm25(plain, terms).items() if s}
+        got = {i: s for (k, i), s in any_of.items() if k == q}
+        assert set(got) == set(want) and all(math.isclose(got[i], want[i], rel_tol=1e-12) for i in got)
+    assert {(r.query_id, r.id) for r in postings.bm25(index, asked, "strict_groups", True).collect()} == {(0, 1), (2, 1)}
+    assert postings.bm25(index, asked.limit(0), "strict_groups").collect() == []
+    index.drop()
+    empty = postings.write_index(df.limit(0), "id", ["text"])
+    assert postings.bm25(empty, asked, "strict_groups").collect() == []
+
+
+def test_an_index_is_read_by_prefix(spark):
+    df = spark.range(3_000).selectExpr("id", "concat('w', id, ' the') text", "0L layer")
+    index = postings.write_index(df, "id", ["text"])
+    plan = postings.bm25(index, spark.createDataFrame([(0, [["w12"]], None)], GROUPS), "strict_groups")._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan  # texts are not read again
 
 
 def test_relaxed_only_in_layers_without_strict_matches(spark):
     df = spark.createDataFrame([(1, "a b", 0), (2, "a", 0), (3, "a", 1), (4, "b", 1)], "id long, text string, layer long")
-    got = postings.keyword_search(df, "id", ["text"], [["a"], ["b"]], [["a", "b"]], 9).collect()
-    assert {r.id for r in got} == {1, 3, 4}
-
-
-def test_query_plans():
-    p = plan("河北保定的城市更新规划是什么？")
-    assert p.strict == '("河北省"* OR "保定市"*) AND ("城市更新规划"* OR "城市更新"*)'
-    assert p.relaxed == '("河北省"* OR "保定市"* OR "城市更新规划"* OR "城市更新"*)' and len(p.terms) == 4
-    assert [plan(q).strict for q in ("", "  ", "？！", "\x00", None)] == [None] * 5
-    assert len(plan(" ".join(f"a{i}" for i in range(99))).terms) == 16
-    assert plan("and or not").strict is None and plan("ABC").relaxed is None
+    index = postings.write_index(df, "id", ["text"])
+    asked = spark.createDataFrame([(0, [["a"], ["b"]], [["a", "b"]]), (1, [["a"], ["b"]], None)], GROUPS)
+    got = postings.keyword_search(index, asked, 9).collect()
+    assert {(r.query_id, r.id) for r in got} == {(0, 1), (0, 3), (0, 4), (1, 1)}
+
+
+def test_fusion_of_many_questions(spark):
+    make = lambda rows: spark.createDataFrame(rows, "q long, id string, rank long, score double")
+    v, w = make([(0, "c1", 1, 0.7), (0, "c2", 2, 0.8), (1, "c2", 1, 0.9)]), make([(0, "c2", 1, -1.0), (0, "c3", 2, -1.0), (2, "c1", 1, -1.0)])
+    got = retrieval.fuse(v, w, "id", by="q")
+    assert [(r.q, r.id) for r in got.orderBy("q", "rank").collect()] == [(0, "c2"), (0, "c1"), (0, "c3"), (1, "c2"), (2, "c1")]
+    capped = retrieval.cap_per_document(got.withColumn("doc", F.lit("d")), "doc", 2, 5, by="q").orderBy("q", "final_rank").collect()
+    assert [(r.q, r.id) for r in capped] == [(0, "c2"), (0, "c1"), (1, "c2"), (2, "c1")]
+
+
+def plans(spark, questions):
+    df = spark.createDataFrame(list(enumerate(questions)), "i int, strict string")  # a column by a name of the plan's
+    return with_plans(df.withColumnRenamed("strict", "q"), "q").orderBy("i").collect()
+
+
+def test_query_plans(spark):
+    p = plans(spark, ["河北保定的城市更新规划是什么？", "请问第十条有哪些规定", "ABC123 关于环境保护条例的处罚", "河北省的第二条规定条例规定吗呢", "内蒙古包头的供热条例"])
+    assert p[0].strict == '("河北省"* OR "保定市"*) AND ("城市更新规划"* OR "城市更新"*)'
+    assert p[0].relaxed == '("河北省"* OR "保定市"* OR "城市更新规划"* OR "城市更新"*)' and p[0].n_terms == 4
+    assert (p[1].strict, p[1].relaxed) == ('"第十条"*', None)
+    assert p[2].groups == [["环境保护条例", "环境保护", "环境", "处罚"], ["ABC123"]]
+    assert p[3].groups == [["河北省"], ["规定条例规定", "规定条例", "规定"], ["第二条"]]
+    assert p[4].groups[0] == ["内蒙古自治区", "包头市"]
+    assert [(r.strict, r.relaxed, r.n_terms) for r in plans(spark, ["", "  ", "？！", "\x00", None])] == [(None, None, 0)] * 5
+    many, none, one, long = plans(spark, [" ".join(f"a{i}" for i in range(99)), "and or not", "ABC", " ".join(f"{i:03}" + "x" * 70 for i in range(20))])
+    assert many.n_terms == 16 and none.strict is None and one.relaxed is None
+    assert long.n_terms == 16 and long.strict is None and all(len(t) == 64 for t in long.groups[0])
 
 
 def test_history(spark):
