@@ -24,6 +24,8 @@ MOST_ROWS, MOST_CHARS, SEGMENT = 200, 160_000, 1_000
 #: Bytes that are parsed without a break, and pieces that are parsed in step.
 PIECE, LANES = 1_024, 4_096
 UNDETERMINED = "und"
+#: Parts of a language's texts from which the learnt ones are chosen, each by a task of its own.
+CHOOSERS = 256
 #: Runs of what is no letter: signs, digits, marks and spaces.
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -148,8 +150,10 @@ def labelled_texts(docs: DataFrame) -> dict[str, str]:
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).select("lang", "text")
     texts = usable.withColumn("at", F.xxhash64("text"))
-    row = F.row_number().over(W.partitionBy("lang").orderBy("at"))
-    chosen = checkpointed(texts.select("lang", "at").distinct().withColumn("row", row).filter(F.col("row") <= MOST_ROWS).select("lang", "at"))
+    first = lambda *by: F.row_number().over(W.partitionBy("lang", *by).orderBy("at"))
+    # the first of each of CHOOSERS parts, then the first of these, so that no task sees more than a few of each task before
+    some = texts.select("lang", "at", F.pmod("at", F.lit(CHOOSERS)).alias("part")).distinct().withColumn("row", first("part")).filter(F.col("row") <= MOST_ROWS)
+    chosen = checkpointed(some.withColumn("row", first()).filter(F.col("row") <= MOST_ROWS).select("lang", "at"))
     languages = chosen.select("lang").distinct().count()
     once = texts.join(F.broadcast(chosen), ["lang", "at"]).groupBy("lang", "at").agg(F.max("text").alias("text"))  # MOST_ROWS a language
 
