@@ -35,9 +35,18 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     of the other its completion is empty. Rows that repeat are turns of their own. Null pair_ids and other sides are left
     out, further columns are ignored, an empty table gives no rows. A conversation must fit into a row.
     """
-    turn = F.struct(F.col("turn").isNull().alias("last"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    said = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, turn))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    sides = turns.filter(F.col("pair_id").isNotNull()).groupBy("pair_id").agg(said("chosen").alias("c"), said("rejected").alias("r")).filter("size(c) > 0 and size(r) > 0")
+    said = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, ordered_turn())))
+    return formatted(turns.filter(F.col("pair_id").isNotNull()).groupBy("pair_id").agg(said("chosen").alias("c"), said("rejected").alias("r")))
+
+
+def ordered_turn() -> Column:
+    return F.struct(F.col("turn").isNull().alias("last"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def formatted(pairs: DataFrame) -> DataFrame:
+    """pair_id, c, r (ordered turns of the chosen and the rejected side) to the columns of format_preferences()."""
+    told = lambda side: F.transform(side, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    sides = pairs.select("pair_id", told("c").alias("c"), told("r").alias("r")).filter("size(c) > 0 and size(r) > 0")
     shorter = F.least(F.size("c"), F.size("r"))
     differs = F.array_position(F.zip_with(F.slice("c", 1, shorter), F.slice("r", 1, shorter), lambda a, b: a == b), False)
     common = sides.withColumn("n_prompt", F.when(differs == 0, shorter).otherwise(differs - 1).cast("int"))
@@ -47,20 +56,29 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 
 
 def sibling_replies(conversations: DataFrame) -> DataFrame:
-    """Pairs from plain conversations: a conversation as it is, and the same up to its last reply with the last reply of the
-    conversation whose id differs in the lowest bit. Conversations without a reply, or without such a sibling, give none."""
-    own = conversations.filter(F.col("conv_id").isNotNull()).select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    last = own.filter((F.col("role") == TRAINED) & F.col("turn").isNotNull()).groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    sibling = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last.text").alias("reply"))
-    pairs = last.select("pair_id", F.col("last.turn").alias("at")).join(sibling, "pair_id")
-    turns = own.join(pairs, "pair_id")
-    chosen = turns.select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text")
-    kept = turns.filter(F.col("turn") < F.col("at")).select("pair_id", F.lit("rejected").alias("side"), "turn", "role", "text")
-    return chosen.unionByName(kept).unionByName(pairs.select("pair_id", F.lit("rejected").alias("side"), F.col("at").alias("turn"), F.lit(TRAINED).alias("role"), F.col("reply").alias("text")))
+    """pair_id, c, r from plain conversations: a conversation as it is, and the same up to its last reply with the last reply
+    of the conversation whose id differs in the lowest bit. Conversations without a reply, or without such a sibling, give
+    none. Both siblings are grouped together, by the other bits of their ids, so turns are shuffled once.
+    """
+    own = conversations.filter(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text")
+    said = lambda bit: F.array_sort(F.collect_list(F.when(F.col("conv_id").bitwiseAND(F.lit(1)) == bit, ordered_turn())))
+    both = own.groupBy(F.shiftright("conv_id", 1).alias("half")).agg(said(0).alias("t0"), said(1).alias("t1"))
+    for side in ("0", "1"):
+        replies = F.filter(f"t{side}", lambda t: (t["role"] == TRAINED) & t["turn"].isNotNull())
+        both = both.withColumn(f"last{side}", F.array_max(F.transform(replies, lambda t: F.struct(t["turn"].alias("turn"), t["text"].alias("text")))))
+    both = both.filter("last0 is not null and last1 is not null")
+
+    def pair(own: str, other: str) -> Column:
+        last, reply = F.col(f"last{own}"), F.col(f"last{other}")
+        kept = F.filter(f"t{own}", lambda t: t["turn"] < last["turn"])
+        new = F.struct(F.lit(False).alias("last"), last["turn"].alias("turn"), F.lit(TRAINED).alias("role"), reply["text"].alias("text"))
+        return F.struct((F.shiftleft("half", 1) + int(own)).alias("pair_id"), F.col(f"t{own}").alias("c"), F.array_sort(F.concat(kept, F.array(new))).alias("r"))
+
+    return both.select(F.explode_outer(F.array(pair("0", "1"), pair("1", "0"))).alias("p")).select("p.*")
 
 
 def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = format_preferences(sibling_replies(table(spark, sf_dir, "conversations")))
+    pairs = formatted(sibling_replies(table(spark, sf_dir, "conversations")))
     flat = lambda mask: F.array_join(F.transform(mask, lambda s: F.concat_ws(":", s)), ",")
     return pairs.withColumns({m: flat(F.transform(F.col(m), lambda s: F.transform(s, lambda x: x.cast("string")))) for m in ("chosen_mask", "rejected_mask")})
 

@@ -1,4 +1,4 @@
-from corvane.llm.preference import END, format_preferences, op5_preference, sibling_replies
+from corvane.llm.preference import END, format_preferences, formatted, op5_preference, sibling_replies
 
 from .conftest import SF
 
@@ -43,7 +43,7 @@ def test_pairs_against_brute_force(spark):
 
 
 def test_masks_cover_what_the_assistant_says(spark):
-    pairs = format_preferences(sibling_replies(spark.read.parquet(f"{SF}/conversations.parquet"))).collect()
+    pairs = formatted(sibling_replies(spark.read.parquet(f"{SF}/conversations.parquet"))).collect()
     assert pairs
     for r in pairs:
         for text, mask in ((r.chosen, r.chosen_mask), (r.rejected, r.rejected_mask)):
@@ -54,9 +54,11 @@ def test_masks_cover_what_the_assistant_says(spark):
 def test_native_plan(spark):
     plan = op5_preference(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    physical = op5_preference(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange") == 1 and "Join" not in physical
 
 
 def test_odd_conversations(spark):
     turns = spark.createDataFrame([(0, 0, "user", "a"), (0, 1, "assistant", None), (1, 0, "assistant", "z"), (2, 0, "assistant", "x"), (None, 0, "assistant", "n"), (4, None, "assistant", "x"), (5, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
     # 1's chosen side and its rejected side (the sibling's empty reply) are both there; 2, 4 and 5 have no sibling with a reply
-    assert set(rows(format_preferences(sibling_replies(turns)))) == {0, 1}
+    assert set(rows(formatted(sibling_replies(turns)))) == {0, 1}
