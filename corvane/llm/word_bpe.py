@@ -1,13 +1,14 @@
 """Token ids of the public word-level BPE vocabulary, for whole corpora.
 
 The vocabulary never joins text across white space, so the ids of a text are those of its space-separated chunks in a row.
-Chunks repeat, so each worker remembers the ids of those it has met. Chunks of plain Latin letters are encoded by the
-vocabulary's merges; any other chunk goes to the tokenizers library itself.
+Chunks repeat, so each worker remembers the ids of those it has met. A text's new chunks of plain Latin letters are encoded
+together by the vocabulary's merges; any other chunk goes to the tokenizers library itself.
 """
 
 from __future__ import annotations
 
 import json
+from itertools import compress
 
 import numpy as np
 import regex
@@ -35,7 +36,7 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         split = next(p["pattern"]["Regex"] for p in model["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split)
+        self.words = regex.compile(f"{split}| ")
         self.special = [x["content"] for x in model["added_tokens"]]
         symbols, end = byte_of_symbol(), model["model"]["end_of_word_suffix"]
 
@@ -52,31 +53,32 @@ class WordBpe:
         for token, rank in ranks.items():
             self.id_of_rank[rank] = ids.get(token, 0)
         self.merges = tiktoken.Encoding("words", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
+        self.space = ranks[b" " + END.encode()]
         self.known: dict[bytes, bytes] = {}
 
-    def chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            words = self.words.findall(text.lower())
-            return self.id_of_rank[self.merges.encode_ordinary(END.join(words) + END)].tobytes()
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk. All plain chunks go through the merges together, with spaces as words of their own between them."""
+        texts = b" ".join(chunks).decode("utf-8", "replace").split(" ")
+        plain = [bool(PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        words = self.words.findall(" ".join(compress(texts, plain)).lower())
+        ranks = self.merges.encode_to_numpy(END.join(words) + END) if words else np.zeros(0, dtype=np.uint32)
+        ids, ends = self.id_of_rank[ranks].tobytes(), [*(4 * np.flatnonzero(ranks == self.space)).tolist(), 4 * len(ranks)]
+        together = (ids[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends))
+        return [next(together) if p else np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t, p in zip(texts, plain, strict=True)]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         chunks, known = text.encode("utf-8", "replace").split(), self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
+        if new := list(set(chunks).difference(known)):
             if len(known) > REMEMBERED:
                 known.clear()
-            out = []
-            for c in chunks:
-                if (ids := known.get(c)) is None:
-                    ids = self.chunk(c)
-                    if len(c) <= LONGEST:
-                        known[c] = ids
-                out.append(ids)
-            return b"".join(out)
+                new = list(set(chunks))
+            known.update(zip(new, self.encode_chunks(new), strict=True))
+        ids = b"".join(map(known.__getitem__, chunks))
+        for chunk in new:
+            if len(chunk) > LONGEST:
+                del known[chunk]
+        return ids
 
 
 _loaded: dict[str, WordBpe] = {}
