@@ -1,162 +1,327 @@
 """Audit of how sources diverge within a language, by term counts in mergeable radix tries.
 
-Each task counts its terms in byte tries, one for each language, whose leaves count documents and, for each source,
-occurrences. Leaves go to prefix ranges, where tries are merged; a walk in the order of UTF-8 bytes hands on what is kept.
-A second walk, with the sizes of the groups at hand, streams what pairs of sources have in common and each group's best
-candidates, ties in the order of the walk. Terms that only one source of a pair has depend on their count alone, so a histogram
-of counts for each group settles them; no term is spread out over sources that lack it.
+Each task counts its terms in radix tries, whose leaves count occurrences and documents for each source. Leaves go to prefix
+ranges, where tries are merged; a walk in the order of UTF-8 bytes hands on what is kept. A second walk, with the sizes of the
+groups at hand, streams what pairs of sources have in common and each group's best candidates, ties in the order of the walk.
+Terms that only one source of a pair has depend on their count alone, so a histogram of counts for each group settles them; no
+term is spread out over sources that lack it.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from corvane.llm.common import checkpointed, forget, stored, table
+from corvane.llm.common import batches_of, checkpointed, forget, stored, table
 
 #: Documents of a language that a kept term is in at least; terms listed for each group.
 LEAST_DOCUMENTS, BEST = 3, 200
 #: Parts that probabilities are counted in, and what is added to each count.
 PARTS, ADDED = 1_000_000_000, 1
-#: Distinct terms, and bytes of them, that a task holds before it hands on its tries.
-HELD_TERMS, HELD_BYTES = 250_000, 16 << 20
-#: Leaves that arrive in a prefix range, about.
-RANGE_LEAVES = 500_000
+#: Bytes of text counted at once, a longer text alone; leaves that a task holds before it hands on its trie.
+TEXT_BYTES, HELD_LEAVES = 4 << 20, 400_000
+#: Leaves that arrive in a prefix range, about, leaves of a part of a trie that is handed on, rows of a batch.
+RANGE_LEAVES, PART_LEAVES, ROWS = 250_000, 50_000, 20_000
+#: Documents that prefix ranges are drawn from, about, leaves of these for each range, and bytes of a bound. They move bounds alone.
+DRAWN_DOCUMENTS, DRAWN_LEAVES, BOUND_BYTES = 2_000, 12, 32
+#: Bytes of a digit, and digits of a term. What follows these is one digit more, a number in the trie's sorted tails.
+DIGIT, DIGITS = 8, 4
 #: Groups up to which their table, of some 100 bytes each, is broadcast; more meet by a shuffle.
 FEW_GROUPS = 10_000
 #: Pairs of sources that a walk works on at once, and sums of pairs that it holds.
 PAIRS_AT_ONCE, HELD_PAIRS = 1 << 20, 1 << 20
-#: Bytes that belong to terms are letters and all beyond ASCII; A-Z become lower case, others end a term.
-LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-LEAVES = "lang string, term binary, documents long, sources array<string>, counts array<long>"
-LEAVES_ARROW = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("documents", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+#: Bytes that belong to terms are letters and all beyond ASCII; A-Z become lower case, others, here 0, end a term.
+LETTERS = np.array([b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0 for b in range(256)], dtype=np.uint8)
+LEAVES = "lang string, term binary, source string, count long, documents long"
+#: Part of a trie within a prefix range: LEAVES in the order of bytes, as a compressed Arrow stream.
+HANDED = "range int, leaves binary"
+KEPT = "lang string, term binary, source string, count long, all long, first boolean"
 STREAMED = "lang string, source string, part string, item binary, value long"
 
 
-class Node:
-    __slots__ = ("label", "below", "documents", "counts")
-
-    def __init__(self, label: bytes, below: dict[int, Node], documents: int = 0, counts: Counter | None = None):
-        self.label, self.below, self.documents, self.counts = label, below, documents, counts
+class Trie:
+    """A radix trie of terms, by language, as columns. A term has a node for each DIGIT of its bytes.
 
+    levels: of each level's nodes the parents (places in the level above; in the first one, in langs) and digits, sorted by
+    both, so that each level is in the order of bytes. Digits are big-endian numbers, shorter ones filled up with 0, which is in no
+    term; digits of the last level are places in tails. Leaves are entries of node (counted through all levels), group (place
+    in groups), count and documents, sorted by the first two.
+    """
 
-class Trie:
-    """A radix trie of byte strings: each edge has a label, a node's counts (None: no leaf) are of the string down to it."""
+    def __init__(self, langs: list[str], groups: list[tuple[str, str]], levels: list[tuple[np.ndarray, np.ndarray]], tails: list[bytes], leaves: np.ndarray):
+        self.langs, self.groups, self.levels, self.tails, self.leaves = langs, groups, levels, tails, leaves
+
+    @staticmethod
+    def of(data: np.ndarray, begin: np.ndarray, size: np.ndarray, lang: np.ndarray, langs: list[str], groups: list[tuple[str, str]], leaves: np.ndarray) -> Trie:
+        """Of terms in data, each with a chain of nodes to itself, until tries are merged. leaves: group, count and documents of each."""
+        padded = np.concatenate([data, np.zeros(DIGIT, np.uint8)])
+        windows = np.ndarray((len(data) + 1,), dtype=">u8", buffer=padded.tobytes(), strides=(1,))
+        levels, own, node, offset = [], np.arange(len(begin)), np.zeros(len(begin), np.int64), 0
+        place, tails = lang, []
+        for d in range(DIGITS + 1):
+            at, left = begin[own] + d * DIGIT, size[own] - d * DIGIT
+            if d < DIGITS:
+                digit = windows[at].astype(np.uint64) & FILLED[np.minimum(left, DIGIT)]
+                ends = left <= DIGIT
+            else:
+                raw = data.tobytes()
+                named = [raw[a : a + n] for a, n in zip(at.tolist(), left.tolist(), strict=True)]
+                tails = sorted(set(named))
+                number = {t: i for i, t in enumerate(tails)}
+                digit, ends = np.array([number[t] for t in named], dtype=np.uint64), np.ones(len(own), dtype=bool)
+            levels.append((place, digit))
+            node[own[ends]] = offset + np.flatnonzero(ends)
+            offset += len(own)
+            own, place = own[~ends], np.flatnonzero(~ends)
+            if not len(own):
+                break
+        return Trie(langs, groups, levels, tails, np.stack([node, *leaves]))
+
+    @staticmethod
+    def merged(tries: list[Trie]) -> Trie:
+        """One trie of all: level by level nodes with one parent and one digit become one; their leaves add up."""
+        langs, groups = sorted({x for t in tries for x in t.langs}), sorted({g for t in tries for g in t.groups})
+        tails = sorted({x for t in tries for x in t.tails})
+        of_lang, of_group, of_tail = ({x: i for i, x in enumerate(xs)} for xs in (langs, groups, tails))
+        above = [np.array([of_lang[x] for x in t.langs], dtype=np.int64) for t in tries]
+        nodes: list[list[np.ndarray]] = [[] for _ in tries]
+        levels, offset = [], 0
+        for d in range(max((len(t.levels) for t in tries), default=0)):
+            having = [k for k, t in enumerate(tries) if len(t.levels) > d]
+            digits = [tries[k].levels[d][1] if d < DIGITS else np.array([of_tail[x] for x in tries[k].tails], dtype=np.uint64)[tries[k].levels[d][1].astype(np.int64)] for k in having]
+            distinct, digit = np.unique(np.concatenate(digits), return_inverse=True)
+            key = np.concatenate([above[k][tries[k].levels[d][0]] for k in having]) * len(distinct) + digit
+            keys, place = np.unique(key, return_inverse=True)
+            levels.append((keys // len(distinct), distinct[keys % len(distinct)]))
+            for k, own in zip(having, np.split(place, np.cumsum([len(x) for x in digits])[:-1]), strict=True):
+                above[k] = own
+                nodes[k].append(own + offset)
+            offset += len(keys)
+        leaves = []
+        for t, own in zip(tries, nodes, strict=True):
+            node, group, *counts = t.leaves
+            names = np.array([of_group[g] for g in t.groups], dtype=np.int64)
+            leaves.append(np.stack([np.concatenate([*own, np.zeros(0, np.int64)])[node], names[group], *counts]))
+        return Trie(langs, groups, levels, tails, summed(np.concatenate([*leaves, np.zeros((4, 0), np.int64)], axis=1), max(1, len(groups))))
+
+    def order(self) -> np.ndarray:
+        """Of each node its place in a walk down from the root, by the bytes of terms: a term before all that it begins."""
+        has = np.zeros(sum(len(p) for p, _ in self.levels), dtype=np.int64)
+        has[self.leaves[0]] = 1
+        cuts = np.cumsum([0, *(len(p) for p, _ in self.levels)])
+        sizes = [has[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for d in range(len(sizes) - 1, 0, -1):
+            sizes[d - 1] = sizes[d - 1] + np.bincount(self.levels[d][0], sizes[d], len(sizes[d - 1])).astype(np.int64)
+        places = []
+        for d, (parent, _) in enumerate(self.levels):
+            before = np.cumsum(sizes[d]) - sizes[d]
+            if d:
+                first = np.searchsorted(parent, parent)  # of each node its first sibling
+                before = before - before[first] + places[d - 1][parent] + has[cuts[d - 1] : cuts[d]][parent]
+            places.append(before)
+        return np.concatenate([*places, np.zeros(0, np.int64)])
+
+    def terms(self, nodes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Language and bytes of the terms that end in these nodes, which come in rising order."""
+        cuts = np.cumsum([0, *(len(p) for p, _ in self.levels)])
+        langs, terms = [np.zeros(0, np.int64)], [pa.array([], pa.large_binary())]
+        for d in range(len(self.levels)):
+            own = nodes[np.searchsorted(nodes, cuts[d]) : np.searchsorted(nodes, cuts[d + 1])] - cuts[d]
+            digits = np.zeros((len(own), min(d + 1, DIGITS)), dtype=">u8")
+            at, tails = own, None
+            for up in range(d, -1, -1):
+                parent, digit = self.levels[up]
+                if up == DIGITS:
+                    tails = digit[at].astype(np.int64)
+                else:
+                    digits[:, up] = digit[at]
+                at = parent[at]
+            flat = digits.view(np.uint8).reshape(len(own), DIGIT * digits.shape[1])
+            if tails is not None:
+                found = [x.tobytes() + self.tails[i] for x, i in zip(flat, tails.tolist(), strict=True)]
+                terms.append(pa.array(found, pa.large_binary()))
+            else:
+                offsets = np.concatenate([[0], np.cumsum(np.count_nonzero(flat, axis=1))]).astype(np.int64)
+                terms.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(flat[flat != 0])]))
+            langs.append(at)
+        return np.concatenate(langs), pa.concat_arrays(terms)
+
+    def walk(self, least: int = 1, rows: int | None = None) -> Iterator[dict[str, pa.Array]]:
+        """Columns lang, term, source, count, documents, all (the term's count in the language), first (whether it is the term's
+        first entry), in the order of bytes, of the terms in at least least documents."""
+        if not self.leaves.shape[1]:
+            return
+        node, group, count, documents = self.leaves
+        nodes, begin, of = np.unique(node, return_index=True, return_inverse=True)
+        enough = np.add.reduceat(documents, begin) >= least
+        kept = np.flatnonzero(enough)
+        if not len(kept):
+            return
+        lang, terms = self.terms(nodes[kept])
+        place = np.cumsum(enough) - 1
+        whole = np.add.reduceat(count, begin)
+        entries = np.flatnonzero(enough[of])
+        entries = entries[np.argsort(self.order()[node[entries]], kind="stable")]
+        langs, sources = pa.array(self.langs, pa.string()), pa.array([s for _, s in self.groups], pa.string())
+        rows = rows or ROWS
+        for a in range(0, len(entries), rows):
+            e = entries[a : a + rows]
+            term = place[of[e]]
+            yield {
+                "lang": langs.take(pa.array(lang[term])), "term": terms.take(pa.array(term)).cast(pa.binary()), "source": sources.take(pa.array(group[e])), "count": pa.array(count[e]),
+                "documents": pa.array(documents[e]), "all": pa.array(whole[of[e]]), "first": pa.array(e == begin[of[e]]),
+            }
+
+
+#: Masks that keep the first n bytes of a digit.
+FILLED = np.array([((1 << 8 * n) - 1) << 8 * (DIGIT - n) for n in range(DIGIT + 1)], dtype=np.uint64)
+
+
+def summed(leaves: np.ndarray, groups: int) -> np.ndarray:
+    """Leaves with the counts of equal nodes and groups added up, sorted by both."""
+    keys, place = np.unique(leaves[0] * groups + leaves[1], return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    begin = np.flatnonzero(np.diff(place[order], prepend=-1))
+    sums = [np.add.reduceat(c[order], begin) if len(begin) else c for c in leaves[2:]]
+    return np.stack([keys // groups, keys % groups, *sums])
+
+
+def trie_of_texts(langs: list[str], sources: list[str], texts: pa.Array) -> Trie:
+    """The terms of some documents, counted."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    data, ends = LETTERS[raw], ends - ends[0]
+    inside = np.concatenate([[False], data != 0, [False]])
+    # a term begins where a letter follows none or a document begins, and ends likewise
+    begins, stops = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    edges = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(data))]
+    begins[edges] |= inside[1:-1][edges]
+    stops[edges - 1] |= inside[1:-1][edges - 1]
+    begin, size = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    size -= begin
+    doc = np.searchsorted(ends, begin, "right") - 1
+    names, groups = sorted(set(langs)), sorted(set(zip(langs, sources, strict=True)))
+    of_lang, of_group = {x: i for i, x in enumerate(names)}, {g: i for i, g in enumerate(groups)}
+    lang, group = np.array([of_lang[x] for x in langs], dtype=np.int64), np.array([of_group[g] for g in zip(langs, sources, strict=True)], dtype=np.int64)
+    one = np.ones(len(begin), np.int64)
+    # first a group for each document, whose entries each count one document
+    found = Trie.merged([Trie.of(data, begin, size, lang[doc], names, [(names[la], f"{i:08}") for i, la in enumerate(lang)], np.stack([doc, one, one]))])
+    order = np.array([int(i) for _, i in found.groups], dtype=np.int64)
+    node, own, count, _ = found.leaves
+    found.leaves = summed(np.stack([node, group[order[own]], count, np.ones_like(count)]), max(1, len(groups)))
+    found.groups = groups
+    return found
+
+
+def trie_of_leaves(rows: pa.RecordBatch) -> Trie:
+    """The terms of rows of LEAVES."""
+    lang, source = (rows.column(c).dictionary_encode() for c in ("lang", "source"))
+    terms = rows.column("term").cast(pa.large_binary())
+    ends = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset : terms.offset + len(terms) + 1]
+    data = np.frombuffer(terms.buffers()[2], np.uint8)
+    pairs, group = np.unique(np.stack([lang.indices.to_numpy(), source.indices.to_numpy()]).astype(np.int64), axis=1, return_inverse=True)
+    langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+    leaves = np.stack([group.ravel(), rows.column("count").to_numpy(), rows.column("documents").to_numpy()])
+    return Trie.of(data, ends[:-1], np.diff(ends), lang.indices.to_numpy().astype(np.int64), langs, [(langs[a], sources[b]) for a, b in pairs.T.tolist()], leaves)
+
+
+class Growing:
+    """A trie that others are merged into, a number of them at a time: each leaf is merged anew a few times at most."""
 
     def __init__(self):
-        self.root = Node(b"", {})
-
-    def add(self, term: bytes, documents: int, counts: Counter) -> None:
-        self.merge(Node(b"", {term[0]: Node(term, {}, documents, counts)}))
-
-    def merge(self, other: Node) -> None:
-        """Takes another trie in, which is used up: nodes meet from the root down, an edge is split where labels part."""
-        todo = [(self.root, other)]
-        while todo:
-            own, their = todo.pop()
-            if their.counts is not None:
-                own.documents += their.documents
-                own.counts = their.counts if own.counts is None else own.counts + their.counts
-            for first, child in their.below.items():
-                mine = own.below.get(first)
-                if mine is None:
-                    own.below[first] = child
-                    continue
-                n = alike(mine.label, child.label)
-                if n < len(mine.label):
-                    lower = Node(mine.label[n:], mine.below, mine.documents, mine.counts)
-                    mine.label, mine.below, mine.documents, mine.counts = mine.label[:n], {lower.label[0]: lower}, 0, None
-                if n < len(child.label):
-                    child.label = child.label[n:]
-                    child = Node(b"", {child.label[0]: child})
-                todo.append((mine, child))
-
-    def walk(self) -> Iterator[tuple[bytes, Node]]:
-        """All leaves in the order of bytes, which is that of code points."""
-        todo = [(b"", self.root)]
-        while todo:
-            above, node = todo.pop()
-            term = above + node.label
-            if node.counts is not None:
-                yield term, node
-            todo += [(term, node.below[b]) for b in sorted(node.below, reverse=True)]
-
-
-def alike(a: bytes, b: bytes) -> int:
-    """How many bytes a and b have in common at their begin."""
-    if a == b[: len(a)]:
-        return len(a)
-    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        self.tries: list[Trie] = []
+        self.whole = 0
+
+    def add(self, trie: Trie) -> int:
+        """The number of leaves, some of them perhaps of one term."""
+        self.tries.append(trie)
+        n = sum(t.leaves.shape[1] for t in self.tries)
+        if n > max(HELD_LEAVES, 2 * self.whole):
+            self.tries = [Trie.merged(self.tries)]
+            self.whole = n = self.tries[0].leaves.shape[1]
+        return n
+
+    def taken(self) -> Trie:
+        out, self.tries, self.whole = Trie.merged(self.tries), [], 0
+        return out
+
+
+def as_rows(columns: dict[str, pa.Array], schema: str) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[Trie]:
+    """Tries of rows of lang, source, text, each of HELD_LEAVES or of a batch."""
+    found = Growing()
+    for batch in batches_of(batches, "text", TEXT_BYTES):
+        if found.add(trie_of_texts(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))) > HELD_LEAVES:
+            yield found.taken()
+    yield found.taken()
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of lang, source, text to LEAVES."""
+    for trie in counted(batches):
+        yield from (as_rows(c, LEAVES) for c in trie.walk())
 
-    def fresh() -> tuple[dict, dict]:
-        return defaultdict(Counter), defaultdict(lambda: defaultdict(Counter))
 
-    (documents, occurrences), held = fresh(), 0
-    for batch in batches:
-        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            terms = (text.as_py() or "").encode("utf-8", "replace").translate(LETTERS).split()
-            different = set(terms)
-            held += sum(map(len, different - documents[lang].keys()))
-            documents[lang].update(different)
-            occurrences[lang][source].update(terms)
-            if held > HELD_BYTES or sum(map(len, documents.values())) > HELD_TERMS:
-                yield from leaves(tries(documents, occurrences), 1)
-                (documents, occurrences), held = fresh(), 0
-    yield from leaves(tries(documents, occurrences), 1)
-
-
-def tries(documents: dict, occurrences: dict) -> dict[str, Trie]:
-    out = {}
-    for lang, own in documents.items():
-        counts: dict[bytes, Counter] = {term: Counter() for term in own}
-        for source, found in occurrences[lang].items():
-            for term, n in found.items():
-                counts[term][source] = n
-        out[lang] = Trie()
-        for term, n in own.items():
-            out[lang].add(term, n, counts[term])
-    return out
-
-
-def leaves(found: dict[str, Trie], least: int) -> Iterator[pa.RecordBatch]:
-    """Leaves that are in at least least documents, by language in the order of bytes."""
-    rows = []
-    for lang in sorted(found):
-        for term, node in found[lang].walk():
-            if node.documents >= least:
-                rows.append((lang, term, node.documents, list(node.counts), list(node.counts.values())))
-            if len(rows) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), LEAVES_ARROW.types, strict=True)], schema=LEAVES_ARROW)
-                rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), LEAVES_ARROW.types, strict=True)], schema=LEAVES_ARROW)
+def cut_tries(bounds: list[tuple[bytes, bytes]]):
+    """A map from lang, source, text to HANDED: each trie is cut where prefix ranges begin."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for trie in counted(batches):
+            for columns in trie.walk(rows=PART_LEAVES):
+                rows = as_rows(columns, LEAVES)
+                langs, terms = rows.column("lang"), rows.column("term")
+                key = lambda i: (langs[i].as_py().encode(), terms[i].as_py())  # noqa: B023, E731
+                first, last = bisect_right(bounds, key(0)), bisect_right(bounds, key(rows.num_rows - 1))
+                cuts = [0, *(bisect_left(range(rows.num_rows), b, key=key) for b in bounds[first:last]), rows.num_rows]
+                for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), first):
+                    if a < b:
+                        sink = pa.BufferOutputStream()
+                        with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                            writer.write_batch(rows.slice(a, b - a))
+                        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["range", "leaves"])
+
+    return cut
 
 
 def merge_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All leaves of a prefix range to one leaf for each term that is kept."""
-    found: dict[str, Trie] = defaultdict(Trie)
+    """All of a prefix range to KEPT entries of the terms that are kept."""
+    found = Growing()
     for batch in batches:
-        for lang, term, documents, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found[lang].add(term, documents, Counter(dict(zip(sources, counts, strict=True))))
-    yield from leaves(found, LEAST_DOCUMENTS)
+        for leaves in batch.column(1):
+            with pa.ipc.open_stream(leaves.as_buffer()) as stream:
+                for rows in stream:
+                    found.add(trie_of_leaves(rows))
+    yield from (as_rows(c, KEPT) for c in found.taken().walk(LEAST_DOCUMENTS))
+
+
+def prefix_ranges(docs: DataFrame) -> list[tuple[bytes, bytes]]:
+    """Bounds of prefix ranges, by language and bytes of terms, that hold about as many leaves each as far as a draw tells."""
+    n = docs.count()
+    drawn = docs.sample(min(1.0, DRAWN_DOCUMENTS / max(1, n)), seed=1) if n > DRAWN_DOCUMENTS else docs
+    leaves = checkpointed(drawn.mapInArrow(count_terms, LEAVES).select("lang", F.substring("term", 1, BOUND_BYTES).alias("begin")))
+    ranges = max(docs.sparkSession.sparkContext.defaultParallelism, leaves.count() * max(1, n // DRAWN_DOCUMENTS) // RANGE_LEAVES)
+    keys = sorted((r.lang.encode(), bytes(r.begin)) for r in leaves.orderBy(F.xxhash64("lang", "begin")).limit(ranges * DRAWN_LEAVES).collect())
+    return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
 
 def kept_terms(docs: DataFrame) -> DataFrame:
-    """LEAVES of the terms that are kept, in prefix ranges. docs: lang, source, text without nulls in lang and source."""
-    found, place = stored(docs.select("lang", "source", "text").mapInArrow(count_terms, LEAVES))
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), found.count() // RANGE_LEAVES)
-    try:
-        return checkpointed(found.repartitionByRange(ranges, "lang", "term").mapInArrow(merge_range, LEAVES))
-    finally:
-        forget(docs.sparkSession, [place])
+    """KEPT entries in prefix ranges. docs: lang, source, text without nulls in lang and source."""
+    bounds = prefix_ranges(docs)
+    parts = docs.mapInArrow(cut_tries(bounds), HANDED)
+    return checkpointed(parts.repartitionById(len(bounds) + 1, "range").mapInArrow(merge_range, KEPT))
 
 
 def share(count: str, n: str) -> Column:
@@ -200,12 +365,14 @@ class Walk:
     """A language's terms in the order of bytes: what pairs have in common, and the best candidates of each source."""
 
     def __init__(self, lang: str):
-        self.lang, self.names, self.sums = lang, {}, Sums()
+        self.lang, self.sums = lang, Sums()
+        self.names: dict[str, int] = {}
         self.best: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
 
-    def take(self, terms: np.ndarray, names: list[str], p: np.ndarray, p0: np.ndarray, q: np.ndarray, items: list[bytes]) -> None:
-        """Entries of whole terms, in order. terms: their term's number; p0: the share in its group of a term that it lacks; q: in all."""
-        source = np.array([self.names.setdefault(n, len(self.names)) for n in names], dtype=np.int64)
+    def take(self, terms: np.ndarray, sources: pa.DictionaryArray, p: np.ndarray, p0: np.ndarray, q: np.ndarray, items: pa.Array) -> None:
+        """Entries of whole terms, in order. terms: rising numbers; p0: the share in its group of a term that it lacks; q: in all."""
+        names = np.array([self.names.setdefault(n, len(self.names)) for n in sources.dictionary.to_pylist()], dtype=np.int64)
+        source = names[sources.indices.to_numpy()]
         _, begin, of, size = np.unique(terms, return_index=True, return_inverse=True, return_counts=True)
         partners = size[of]
         at, ends = 0, np.cumsum(partners)
@@ -218,12 +385,17 @@ class Walk:
             value = gains(p[a], p[b]) - gains(p[a], p0[b]) - gains(p0[a], p[b]) + gains(p0[a], p0[b])
             self.sums.add(source[a] << 32 | source[b], value)
             at = upto
-        value = np.where(p > q, gains(p, q), -1)
-        for i in np.flatnonzero(p > q).tolist():
-            found = self.best[int(source[i])]
-            found.append((-int(value[i]), items[i]))
-            if len(found) >= 4 * BEST:
-                found.sort()  # ties by bytes, the order in which they came
+        above = np.flatnonzero(p > q)
+        value = gains(p[above], q[above])
+        order = np.lexsort((above, -value, source[above]))  # ties in the order of bytes
+        above, value = above[order], value[order]
+        own = source[above]
+        place = np.arange(len(above)) - np.searchsorted(own, own)
+        for s, v, item in zip(own[place < BEST].tolist(), value[place < BEST].tolist(), items.take(pa.array(above[place < BEST])).to_pylist(), strict=True):
+            self.best[s].append((-v, item))
+        for found in self.best.values():
+            if len(found) > BEST:
+                found.sort()
                 del found[BEST:]
 
     def handed(self, sums_only: bool = False) -> Iterator[tuple]:
@@ -234,7 +406,7 @@ class Walk:
         self.sums = Sums()
         if not sums_only:
             for s, found in self.best.items():
-                for value, item in sorted(found)[:BEST]:
+                for value, item in found:
                     yield self.lang, names[s], "term", item, -value
 
 
@@ -247,33 +419,35 @@ def walk_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "source", "part", "item", "value"])
 
-    def walked(entries: pa.Table) -> Iterator[pa.RecordBatch]:
+    def changes(column: pa.Array) -> np.ndarray:
+        """Whether each value but the first differs from the one before."""
+        return pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+
+    def walked(entries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         nonlocal now
-        langs, items = entries.column("lang").to_pylist(), entries.column("term").to_pylist()
-        cuts = [0, *(i for i in range(1, len(langs)) if langs[i] != langs[i - 1]), len(langs)]
-        p, p0, q = (entries.column(c).to_numpy() for c in ("p", "p0", "q"))
-        names = entries.column("source").to_pylist()
-        number = np.cumsum([1, *(items[i] != items[i - 1] for i in range(1, len(items)))])
+        new_lang = changes(entries.column("lang"))
+        number = np.cumsum(np.concatenate([[0], new_lang | changes(entries.column("term"))]))
+        cuts = [0, *(np.flatnonzero(new_lang) + 1).tolist(), entries.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if now is None or now.lang != langs[a]:
+            own = entries.slice(a, b - a)
+            lang = own.column("lang")[0].as_py()
+            if now is None or now.lang != lang:
                 if now is not None and (rows := list(now.handed())):
                     yield out(rows)
-                now = Walk(langs[a])
-            now.take(number[a:b], names[a:b], p[a:b], p0[a:b], q[a:b], items[a:b])
+                now = Walk(lang)
+            now.take(number[a:b], own.column("source").dictionary_encode(), *(own.column(c).to_numpy() for c in ("p", "p0", "q")), own.column("term"))
             if now.sums.n > HELD_PAIRS and len(now.sums.compress()[0]) > HELD_PAIRS:
                 yield out(list(now.handed(sums_only=True)))
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        entries = pa.Table.from_batches([batch])
-        entries = entries if rest is None else pa.concat_tables([rest, entries]).combine_chunks()
-        langs, items = entries.column("lang"), entries.column("term")
-        last, n = (langs[-1].as_py(), items[-1].as_py()), entries.num_rows
-        upto = next((i + 1 for i in range(n - 1, -1, -1) if (langs[i].as_py(), items[i].as_py()) != last), 0)
+        entries = batch if rest is None else pa.concat_batches([rest, batch])
+        fresh = np.flatnonzero(changes(entries.column("lang")) | changes(entries.column("term")))
+        upto = int(fresh[-1]) + 1 if len(fresh) else 0
         rest = entries.slice(upto)
         if upto:
-            yield from walked(entries.slice(0, upto).combine_chunks())
+            yield from walked(entries.slice(0, upto))
     if rest is not None:
         yield from walked(rest)
     if now is not None and (rows := list(now.handed())):
@@ -289,17 +463,16 @@ def divergence(docs: DataFrame) -> DataFrame:
     that repeat are documents of their own. A source without kept terms has pairs, but no terms; a language of one source has no
     pairs. Ranks count from 1, ties by the item's bytes. Further columns are ignored; an empty table gives no rows.
     """
-    named = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], "text")
+    named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.col("text").cast("string"))
     kept = kept_terms(named)
-    terms = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n_lang"))
-    entries = kept.select("lang", "term", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("all"), F.explode(F.arrays_zip("sources", "counts")).alias("e")).select("lang", "term", "all", F.col("e.sources").alias("source"), F.col("e.counts").alias("count"))
-    histogram = checkpointed(entries.groupBy("lang", "source", "count").agg(F.count("*").alias("h")))
+    terms = kept.groupBy("lang").agg(F.count_if("first").alias("terms"), F.sum("count").alias("n_lang"))
+    histogram = checkpointed(kept.groupBy("lang", "source", "count").agg(F.count("*").alias("h")))
     sizes = histogram.groupBy("lang", "source").agg(F.sum(F.col("h") * F.col("count")).alias("n"), F.sum("h").alias("own"))
     groups = named.groupBy("lang", "source").agg(F.lit(1).alias("one")).drop("one").join(sizes, ["lang", "source"], "left").join(terms, "lang", "left").na.fill(0, ["n", "own", "terms", "n_lang"])
     groups = checkpointed(groups.withColumn("p0", share("0", "greatest(n, 1 - terms)")))  # without terms nothing is weighed by it
     few = groups.count() <= FEW_GROUPS
     seen = groups.filter("n > 0").select("lang", "source", "n", "terms", "n_lang", "p0")
-    placed = entries.join(F.broadcast(seen) if few else seen, ["lang", "source"]).select("lang", "term", "source", share("count", "n").alias("p"), "p0", share("all", "n_lang").alias("q"))
+    placed = kept.join(F.broadcast(seen) if few else seen, ["lang", "source"]).select("lang", "term", "source", share("count", "n").alias("p"), "p0", share("all", "n_lang").alias("q"))
     if not few:  # the join has dealt them anew
         placed = placed.repartitionByRange("lang", "term")
     streamed, place = stored(placed.sortWithinPartitions("lang", "term").mapInArrow(walk_range, STREAMED))
@@ -319,20 +492,14 @@ def ranked(streamed: DataFrame, histogram: DataFrame, groups: DataFrame, few: bo
     one = sided.groupBy("lang", "source", "other").agg(F.sum(F.col("h") * gain("p", "q0")).alias("as_p"), F.sum(F.col("h") * gain("q0", "p")).alias("as_q"))
     as_q = one.select("lang", F.col("other").alias("source"), F.col("source").alias("other"), F.col("as_q").alias("value"))
     neither = groups.join(small(others), "lang").filter("source <> other").select("lang", "source", "other", ((F.col("terms") - F.col("own") - F.col("own_other")) * gain("p0", "q0")).alias("value"))
-    pairs = reduce_sum([common, one.select("lang", "source", "other", F.col("as_p").alias("value")), as_q, neither]).withColumnRenamed("other", "item")
+    parts = reduce(DataFrame.unionByName, [common, one.select("lang", "source", "other", F.col("as_p").alias("value")), as_q, neither])
+    pairs = parts.groupBy("lang", "source", F.col("other").alias("item")).agg(F.sum("value").alias("value"))
     best = lambda item: Window.partitionBy("lang", "source").orderBy(F.desc("value"), item)
     top = streamed.filter("part = 'term'").withColumn("rank", F.row_number().over(best("item"))).filter(F.col("rank") <= BEST)
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(best("item")).alias("rank"))
     return pairs.unionByName(top.withColumn("item", F.col("item").cast("string")))
 
 
-def reduce_sum(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("lang", "source", "other").agg(F.sum("value").alias("value"))
-
-
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 

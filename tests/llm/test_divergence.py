@@ -2,7 +2,10 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from corvane.llm import divergence as D
 
@@ -44,49 +47,71 @@ def test_against_brute_force(spark, monkeypatch, small):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 3000")
     if small:
         monkeypatch.setattr(D, "FEW_GROUPS", 0)
-        monkeypatch.setattr(D, "RANGE_LEAVES", 300)
+        monkeypatch.setattr(D, "RANGE_LEAVES", 900)
+        monkeypatch.setattr(D, "ROWS", 50)
+        monkeypatch.setattr(D, "PAIRS_AT_ONCE", 200)
+        monkeypatch.setattr(D, "HELD_PAIRS", 30)
+        monkeypatch.setattr(D, "HELD_LEAVES", 2000)
+        monkeypatch.setattr(D, "PART_LEAVES", 70)
+        monkeypatch.setattr(D, "DRAWN_DOCUMENTS", 40)
         docs = docs.repartition(7)
     assert rows_of(D.divergence(docs)) == brute([(r.lang, r.source, r.text) for r in docs.collect()])
 
 
-def test_walk_by_small_steps(spark, monkeypatch):
-    docs = [(la, f"s{i % 5}", f"a b{i % 3} ab abc ç{i % 2} {'long' * i} Zeta zeta") for i, la in enumerate("xxyyyyyyxxyxyxyxyxxxyyx")]
-    entries = D.count_terms(iter(spark.createDataFrame(docs, "lang string, source string, text string").toArrow().to_batches()))
-    whole = [r for b in entries for r in b.to_pylist()]
-    monkeypatch.setattr(D, "HELD_TERMS", 3)
-    parts = [r for b in D.count_terms(iter(spark.createDataFrame(docs, "lang string, source string, text string").toArrow().to_batches())) for r in b.to_pylist()]
-    assert len(parts) > len(whole) and [(r["lang"], r["term"]) for r in whole] == sorted((r["lang"], r["term"]) for r in whole)
-    merged = defaultdict(lambda: [0, Counter()])
-    for r in parts:
-        merged[r["lang"], r["term"]][0] += r["documents"]
-        merged[r["lang"], r["term"]][1].update(dict(zip(r["sources"], r["counts"], strict=True)))
-    assert {(r["lang"], r["term"]): [r["documents"], Counter(dict(zip(r["sources"], r["counts"], strict=True)))] for r in whole} == merged
-    monkeypatch.setattr(D, "PAIRS_AT_ONCE", 2)
+def test_tries_handed_on_early(spark, monkeypatch):
+    """Each language's leaves come in the order of bytes; tries handed on after some leaves hold the same counts together."""
+    rows = [(la, f"s{i % 5}", f"a b{i % 3} ab abc ç{i % 2} {'long' * i} Zeta zeta a" if i % 4 else None) for i, la in enumerate("xxyyyyyyxxyxyxyxyxxxyyx")]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string")
+    batches = lambda: iter(docs.toArrow().to_batches(max_chunksize=2))
+    whole = [r for b in D.count_terms(batches()) for r in b.to_pylist()]
+    assert [(r["lang"], r["term"]) for r in whole] == sorted((r["lang"], r["term"]) for r in whole)
+    want = Counter()
+    for lang, source, text in rows:
+        for term, n in Counter(re.findall(r"[a-zç]+", (text or "").lower())).items():
+            want[lang, term.encode(), source, "count"] += n
+            want[lang, term.encode(), source, "documents"] += 1
+    monkeypatch.setattr(D, "HELD_LEAVES", 3)
+    parts = [r for b in D.count_terms(batches()) for r in b.to_pylist()]
+    assert len(parts) > len(whole)
+    for found in (whole, parts):
+        got = Counter()
+        for r in found:
+            for c in ("count", "documents"):
+                got[r["lang"], r["term"], r["source"], c] += r[c]
+        assert got == want
+
+
+def test_sums_are_compressed(monkeypatch):
     monkeypatch.setattr(D, "HELD_PAIRS", 4)
-    sums = D.Sums()
-    import numpy as np
-
+    sums, want = D.Sums(), Counter()
     for i in range(40):
         sums.add(np.array([i % 3, i % 7]), np.array([i, 2 * i]))
-    keys, values = sums.compress()
-    want = Counter()
-    for i in range(40):
         want[i % 3] += i
         want[i % 7] += 2 * i
+    keys, values = sums.compress()
     assert dict(zip(keys.tolist(), values.tolist(), strict=True)) == dict(want)
 
 
+@given(st.lists(st.tuples(st.sampled_from("xy"), st.sampled_from("st"), st.lists(st.text(st.sampled_from("abAZé中 \n1"), max_size=60), max_size=3)), max_size=6), st.integers(1, 4))
+@settings(max_examples=60, deadline=None)
+def test_tries_against_counters(rows, parts):
+    """Terms that begin others, of one to many digits, with tails; tries merged in parts."""
+    texts = [" ".join(t) for _, _, t in rows]
+    tries = [D.trie_of_texts([r[0] for r in rows[i::parts]], [r[1] for r in rows[i::parts]], pa.array(texts[i::parts], pa.string())) for i in range(parts) if rows[i::parts]]
+    want = Counter()
+    for (lang, source, _), text in zip(rows, texts, strict=True):
+        for term in re.findall(r"[a-zé中]+", text.lower()):
+            want[lang, term.encode(), source] += 1
+    found = [r for c in D.Trie.merged(tries).walk() for r in D.as_rows(c, D.LEAVES).to_pylist()]
+    assert [((r["lang"], r["term"], r["source"]), r["count"]) for r in found] == sorted(want.items())
+
+
 def test_tries_nest_deeply():
-    """Terms that all begin another one: no recursion, order of bytes, merging splits edges either way."""
-    a, b = D.Trie(), D.Trie()
-    for n in range(1, 3000, 2):
-        a.add(b"a" * n, 1, Counter(x=n))
-    for n in range(1, 3000, 3):
-        b.add(b"a" * n, 1, Counter(y=1))
-    a.merge(b.root)
-    walked = list(a.walk())
-    want = {n: Counter({"x": n} if n % 2 else {}) + Counter({"y": 1} if n % 3 == 1 else {}) for n in range(1, 3000) if n % 2 or n % 3 == 1}
-    assert [t for t, _ in walked] == sorted(b"a" * n for n in want) and all(node.counts == want[len(t)] for t, node in walked)
+    """Terms that all begin another one, far beyond the digits of a trie."""
+    text = " ".join("a" * n for n in range(1, 3000))
+    trie = D.Trie.merged([D.trie_of_texts(["x"], [s], pa.array([text])) for s in "yz"])
+    found = [r for c in trie.walk() for r in D.as_rows(c, D.LEAVES).to_pylist()]
+    assert [(r["term"], r["source"]) for r in found] == sorted((b"a" * n, s) for n in range(1, 3000) for s in "yz")
 
 
 def test_odd_rows(spark, odd, clashing, empty):
