@@ -34,14 +34,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near documents the smallest id stays."""
-    key = "key of the text"
-    keyed = docs.withColumn(key, F.coalesce(F.sha2("text", 256), F.lit("")))
-    decided = checkpointed(near_duplicates(keyed, F.col(f"`{key}`")).select(F.col("doc_id").alias("gone_id"), "row_key", "kept"))
-    twice = checkpointed(decided.filter("kept").groupBy("gone_id", "row_key").count().filter("count > 1").select(F.col("gone_id").alias("doc_id"), F.col("row_key").alias(key)))
-    dropped = decided.filter("not kept").select("gone_id", "row_key").distinct()
-    rest = keyed.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col(f"`{key}`") == F.col("row_key")), "left_anti")
-    return one_of_each(rest, twice, ["doc_id", key], docs.columns)
+    """Of each component of near documents the smallest id stays; rows that agree in id and text are one document."""
+    key = F.coalesce(F.sha2("text", 256), F.lit(""))
+    decided = near_duplicates(docs.select("doc_id", "text", key.alias("key")), F.col("key")).filter("not kept")
+    dropped = checkpointed(decided.select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct())
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), key.alias("key"))
+    rest = packed.join(dropped, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    own = F.sha2(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "key"), 256)
+    return one_of_each(rest.select("row", own.alias("key")), "key").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,11 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.parquet(place), place
 
 
+def exists(spark: SparkSession, place: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def forget(spark: SparkSession, places: list[str]) -> None:
     for place in places:
         path = spark._jvm.org.apache.hadoop.fs.Path(place)

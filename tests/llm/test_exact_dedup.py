@@ -54,16 +54,38 @@ def test_batches_against_brute_force(spark, tmp_path):
         if n == 2:  # as a later session would
             index.drop()
             index = DigestIndex(spark, "seen_again", str(tmp_path / "seen"), buckets=4)
-        got += rows(dedup_batch(spark.createDataFrame(batch, schema), index))
+        answer = rows(dedup_batch(spark.createDataFrame(batch, schema), index, f"batch {n}"))
+        assert rows(dedup_batch(spark.createDataFrame(batch, schema), index, f"batch {n}")) == answer  # handed over again, as after a lost driver
+        got += answer
     assert sorted(got, key=str) == batches_by_hand([first, second, third])
-    assert index.rows().filter("first").count() == len({r[4] for r in got})
+    assert index.rows().filter("first").count() == len({r[4] for r in got}) and index.batches() == {"batch 0", "batch 1", "batch 2"}
+    before = sorted(map(str, index.of().collect()))
+    index.compact("all")
+    assert sorted(map(str, index.of().collect())) == before and index.batches() == {"all"} and index.rows().count() == len(before)
+    groups = common.checkpointed(grouped(digests(spark.createDataFrame(third, schema))))
+    lines = index.of(groups)._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line)
+    assert sum("FileScan" in line for line in lines) == 2 and "Exchange" not in "".join(lines[scan - 3 : scan])
+    index.drop()
+
+
+def test_answers_come_from_what_the_anti_join_lets_in(spark):
+    """Were the same digests new in each batch, they would be answered twice."""
+    index = DigestIndex(spark, "twice", buckets=4)
+    groups = common.checkpointed(grouped(digests(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))))
+    index.append(groups, "x")
+    assert index.of().count() == 2 and index.append(groups, "x") is False and index.append(groups, "y")
+    assert index.of().count() == 2 and {r.group_size for r in index.of().collect()} == {2}
+    again = groups.withColumn("first", common.F.lit(True)).withColumn("batch", common.F.lit("z")).select(*index.rows().columns)
+    again.write.format("parquet").partitionBy("batch").bucketBy(4, "digest").sortBy("digest").mode("append").saveAsTable("twice")
+    assert index.of().count() > 2
     index.drop()
 
 
 def test_the_index_is_not_shuffled(spark, monkeypatch):
     """A small batch against a large index: no exchange between the index and its joins, and nothing of it is broadcast."""
     index = DigestIndex(spark, "large", buckets=4)
-    dedup_batch(spark.range(5_000).selectExpr("id doc_id", "cast(id as string) text"), index)
+    dedup_batch(spark.range(5_000).selectExpr("id doc_id", "cast(id as string) text"), index, "first")
     batch = spark.createDataFrame([(9_000, "7"), (9_001, "x")], "doc_id long, text string")
     groups = common.checkpointed(grouped(digests(batch)))
     known = index.rows().filter("first").select("digest").hint("merge")
@@ -78,7 +100,7 @@ def test_the_index_is_not_shuffled(spark, monkeypatch):
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     small = []
     monkeypatch.setattr(common.F, "broadcast", lambda df, f=common.F.broadcast: small.append(df) or f(df))
-    assert {(r.doc_id, r.keep_id, r.group_size) for r in dedup_batch(batch, index).collect()} == {(9_000, 7, 2), (9_001, 9_001, 1)}
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in dedup_batch(batch, index, "second").collect()} == {(9_000, 7, 2), (9_001, 9_001, 1)}
     assert small and all(df.count() <= 2 for df in small)
     index.drop()
 
@@ -98,3 +120,16 @@ def test_long_texts(spark):
     texts = ["a" * 2_000_000, " " * 2_000_000, "\n" * 2_000_000, "中" * 700_000, ("a" * 2_000_000) + "\n"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert rows(dedup_exact(docs)) == brute(docs.collect())
+
+
+#: Every name that the stages use inside, and then some.
+INSIDE = ["gone_id", "gone_digest", "gone_length", "row_key", "row", "key", "id", "digest", "length", "n", "stays", "keep_id", "keep_length", "kept", "best", "text_key", "carried", "predicted", "first", "batch", "n_words", "n_hit", "spans", "items", "better", "more"]
+
+
+def test_names_and_kinds_of_further_columns(spark):
+    """All names that are used inside, and maps, arrays and structs beside rows that repeat."""
+    docs = [(0, "same text here"), (1, "same text  here"), (1, "same text  here"), (None, "x"), (None, "x"), (2, None), (3, "")]
+    wide = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", *[f"'junk' AS `{c}`" for c in INSIDE], "map('k', text, 'l', 'm') m", "array(doc_id, 1) a", "struct(map(doc_id is null, text) as mm) s")
+    got = without_copies(wide)
+    assert got.dtypes == wide.dtypes
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(map(str, [(1, "same text  here"), (None, "x"), (2, None)]))

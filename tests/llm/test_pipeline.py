@@ -5,7 +5,7 @@ from corvane.llm.common import shared_folder, words_of
 
 from .conftest import SF
 from .test_decontaminate import brute as brute_hits
-from .test_exact_dedup import brute as brute_copies
+from .test_exact_dedup import INSIDE, brute as brute_copies
 from .test_packing import check
 from .test_packing import library  # noqa: F401
 from .test_simhash import brute as brute_near
@@ -73,3 +73,18 @@ def test_toxic_rows_without_an_id_go(spark):
     nameless = [(None, r.text) for r in docs.collect() if r.doc_id in toxic]
     kept = P.drop_toxic(spark, docs.union(spark.createDataFrame(nameless, docs.schema)), big)
     assert nameless and kept.filter("doc_id is null").count() == 0 and kept.count() == docs.count() - len(nameless)
+
+
+def test_names_kinds_and_long_texts(spark):
+    """Further columns by every name that the stages use inside, maps among them, on rows that repeat; texts of 2 MB."""
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(words_of(r.text)) >= 13)
+    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(250_000))
+    rows = [(0, "same text here"), (1, "same text  here"), (1, "same text  here"), (None, "some other words"), (None, "some other words"), (2, long), (3, long + " end"), (4, item), (5, " " * 2_000_000), (6, "a" * 2_000_000), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"'junk' AS `{c}`" for c in INSIDE], "map('k', doc_id) m", "array(doc_id) a", "struct(map('k', 1) as mm) s")
+    rest = docs
+    for _, stage in P.STAGES[:-1]:
+        rest = stage(spark, rest, SF).cache()
+        assert rest.dtypes == docs.dtypes
+    left = [r.doc_id for r in rest.collect()]
+    assert sorted(left, key=str) == sorted([1, None, 2, 5, 6], key=str)
+    assert P.pack_rest(spark, rest, SF).select("doc_id").distinct().count() == 5
