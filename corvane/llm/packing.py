@@ -126,8 +126,11 @@ def best_fit(left: np.ndarray) -> list[tuple[np.ndarray, int]]:
 
 
 def ranked(pieces: DataFrame, n: int) -> DataFrame:
-    """Adds rank, from 0 without gaps within each class: rows are numbered in hashed buckets, and buckets follow one another."""
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(max(1, n // RANKED_TOGETHER))))
+    """Adds rank, from 0 without gaps within each class: rows are numbered in hashed buckets, and buckets follow one another.
+
+    pieces are checkpointed, so a row's place in them is its own and stays: equal rows, and rows without an id, go to all buckets.
+    """
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, n // RANKED_TOGETHER))))
     in_bucket = W.partitionBy("class", "bucket").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32")
     before = W.partitionBy("class").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     first = dealt.groupBy("class", "bucket").count().withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")

@@ -87,3 +87,16 @@ def test_patterns_meet_the_demand(counts):
     assert all((p * np.arange(17)).sum() <= 16 for p, _ in plan)
     bound = -(-int((demand * np.arange(17)).sum()) // 16)
     assert sum(n for _, n in plan) <= max(bound * 1.35 + 3, (demand[9:]).sum() + bound)
+
+
+def test_equal_rows_without_an_id_go_to_all_buckets(spark, monkeypatch):
+    from corvane.llm import packing
+
+    monkeypatch.setattr(packing, "RANKED_TOGETHER", 100)
+    pieces = spark.range(0, 20_000, 1, 4).selectExpr("cast(null as long) doc_id", "0L start", "1L length", "5L ids_crc32", "1L class")
+    sizes = []
+    monkeypatch.setattr(packing.F, "row_number", lambda real=packing.F.row_number: sizes.append(1) or real())
+    got = packing.ranked(packing.checkpointed(pieces), 20_000)
+    assert sizes and sorted(r.rank for r in got.collect()) == list(range(20_000))
+    buckets = packing.checkpointed(pieces).withColumn("b", packing.F.pmod(packing.F.xxhash64(packing.F.monotonically_increasing_id()), packing.F.lit(200))).groupBy("b").count()
+    assert buckets.count() == 200 and buckets.agg({"count": "max"}).first()[0] < 200
