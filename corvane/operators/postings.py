@@ -42,6 +42,34 @@ class Index:
         remove(self.spark, self.folder)
 
 
+class LayeredIndex(Index):
+    """The indexes of several layers, each a segment that is never changed, read as one. dead (id, layer): chunks that a layer
+    has taken away from those below it; they are left out of postings, lengths and so of all statistics."""
+
+    def __init__(self, segments: list[Index], dead: DataFrame):
+        first = segments[0]
+        super().__init__(first.spark, first.folder, first.id_col, first.layer)
+        self.segments, self.dead = segments, kept(dead.select(F.col(self.id_col), F.col("layer").alias("_by")))
+        self.few_dead = self.dead.count() <= MOST_BROADCAST
+
+    def table(self, name: str) -> DataFrame:
+        parts = [s.table(name) if name == "tokens" else s.table(name).withColumn(self.layer, F.lit(i).cast("long")) for i, s in enumerate(self.segments)]
+        rows = reduce(DataFrame.unionByName, parts)
+        if name == "tokens":  # one that only dead chunks had meets no posting
+            return rows.distinct()
+        dead = F.broadcast(self.dead) if self.few_dead else self.dead
+        return rows.join(dead, (rows[self.id_col] == dead[self.id_col]) & (dead["_by"] > rows[self.layer]), "left_anti")
+
+    def merged(self, folder: str) -> Index:
+        """One segment of all living postings, again in ranges sorted by token, which no later search reads dead chunks of."""
+        out = Index(self.spark, folder, self.id_col, self.layer)
+        flat = lambda name: self.table(name).withColumn(self.layer, F.lit(0).cast("long"))
+        flat("chunks").write.parquet(f"{folder}/chunks")
+        flat("postings").repartitionByRange("token", self.id_col).sortWithinPartitions("token", self.id_col).write.parquet(f"{folder}/postings")
+        out.table("postings").select("token").distinct().write.parquet(f"{folder}/tokens")
+        return out
+
+
 def write_index(chunks: DataFrame, id_col: str, text_cols: list[str], folder: str | None = None, layer: str = "layer") -> Index:
     """Tokenises all text_cols of chunks (layer, id, ...) once and stores the index, in a new shared folder if none is given.
 

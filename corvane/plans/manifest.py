@@ -23,6 +23,11 @@ class Manifest:
     revision: int
     base: Layer
     deltas: tuple[Layer, ...] = field(default_factory=tuple)
+    next_vector_id: int = 0
+
+    @property
+    def layers(self) -> tuple[Layer, ...]:
+        return (self.base, *self.deltas)
 
     def __post_init__(self) -> None:
         ids = [x.layer_id for x in (self.base, *self.deltas)]
@@ -40,7 +45,7 @@ class Manifest:
     @staticmethod
     def from_json(text: str) -> Manifest:
         d = json.loads(text)
-        return Manifest(d["revision"], Layer(**d["base"]), tuple(Layer(**x) for x in d["deltas"]))
+        return Manifest(d["revision"], Layer(**d["base"]), tuple(Layer(**x) for x in d["deltas"]), d.get("next_vector_id", 0))
 
 
 class ManifestConflict(RuntimeError):
@@ -59,14 +64,21 @@ class ManifestStore:
         self.path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         self.fs = self.path("manifest").getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def current(self) -> Manifest | None:
+    def revisions(self) -> list[int]:
         if not self.fs.exists(self.path("manifest")):
-            return None
-        names = sorted(s.getPath().getName() for s in self.fs.listStatus(self.path("manifest")) if s.getPath().getName().endswith(".json"))
-        if not names:
-            return None
-        line = self.spark.read.text(f"{self.root}/manifest/{names[-1]}", wholetext=True).first()
-        return Manifest.from_json(line.value)
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.path("manifest"))]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def at(self, revision: int) -> Manifest:
+        return Manifest.from_json(self.spark.read.text(f"{self.root}/manifest/{revision:012d}.json", wholetext=True).first().value)
+
+    def current(self) -> Manifest | None:
+        """The highest revision. Without any, a folder base that is there is an implicit base, as revision 0; else None."""
+        found = self.revisions()
+        if found:
+            return self.at(found[-1])
+        return Manifest(0, Layer("base", "base", "0" * 64)) if self.fs.exists(self.path("base")) else None
 
     def publish(self, new: Manifest, expected: int) -> Manifest:
         current = self.current()
@@ -81,4 +93,4 @@ class ManifestStore:
         return new
 
     def read(self, manifest: Manifest, table: str) -> DataFrame:
-        return stacked([self.spark.read.parquet(f"{self.root}/{x.path}/{table}") for x in (manifest.base, *manifest.deltas)])
+        return stacked([self.spark.read.parquet(f"{self.root}/{x.path}/{table}") for x in manifest.layers])

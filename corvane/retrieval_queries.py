@@ -157,15 +157,15 @@ def f7(spark, sf_dir):
 TOKENS_SQL = f"regexp_extract_all(translate(lower(coalesce(text, '')), '{postings.ACCENTED}', '{postings.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
 
 
-def bm25_sql(groups: list[list[str]], match_all: bool, name: str = "scored") -> str:
-    """CTEs that end with name(layer, doc_id, score)."""
+def bm25_sql(groups: list[list[str]], match_all: bool, name: str = "scored", chunks: str = f"(SELECT *, (doc_id % {LAYER_CUT} = 0)::BIGINT AS layer FROM documents)") -> str:
+    """CTEs that end with name(layer, doc_id, score). chunks: layer, doc_id, text."""
     terms = list(dict.fromkeys(t for g in groups for t in g))
     folded = [t.translate(str.maketrans(postings.ACCENTED, postings.PLAIN)) for t in terms]
     counts = ", ".join(f"len(list_filter(w, lambda x: starts_with(x, '{t}'))) AS f{i}" for i, t in enumerate(folded))
     stats = ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS n{i}" for i in range(len(terms)))
     score = " + ".join(f"greatest(1e-6, ln((n_docs - n{i} + 0.5) / (n{i} + 0.5))) * f{i} * 2.2::DOUBLE / (f{i} + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))" for i in range(len(terms)))
     match = (" AND " if match_all else " OR ").join("(" + " OR ".join(f"f{terms.index(t)} > 0" for t in g) + ")" for g in groups)
-    return f"""{name}_c AS (SELECT layer, doc_id, len(w) AS doc_len, {counts} FROM (SELECT doc_id, (doc_id % {LAYER_CUT} = 0)::BIGINT AS layer, {TOKENS_SQL} AS w FROM documents)),
+    return f"""{name}_c AS (SELECT layer, doc_id, len(w) AS doc_len, {counts} FROM (SELECT doc_id, layer, {TOKENS_SQL} AS w FROM {chunks})),
 {name}_s AS (SELECT layer, count(*) AS n_docs, avg(doc_len) AS avg_len, {stats} FROM {name}_c GROUP BY layer),
 {name} AS (SELECT layer, doc_id, -({score}) AS score FROM {name}_c JOIN {name}_s USING (layer) WHERE {match})"""
 
@@ -206,7 +206,7 @@ def q1f(spark, sf_dir):
     return with_plans(asks, "text").select("conv_id", "turn", "strict", "relaxed", "n_terms")
 
 
-ASKED_SQL = f"""asks AS (SELECT conv_id AS query_id, list_filter(r, lambda x, i: list_position(r, x) = i)[:3] AS t FROM (SELECT conv_id, {NAMES_SQL} AS r FROM conversations WHERE role = 'user' AND turn = 0 AND conv_id % 20 = 0)),
+ASKED_SQL = f"""asks AS (SELECT conv_id * 1000 + turn AS query_id, list_filter(r, lambda x, i: list_position(r, x) = i)[:{MOST_TERMS}] AS t FROM (SELECT conv_id, turn, {NAMES_SQL} AS r FROM conversations WHERE role = 'user' AND conv_id % 20 = 0)),
 terms AS (SELECT DISTINCT query_id, lower(unnest(t)) AS term FROM asks), words AS (SELECT doc_id, (doc_id % {LAYER_CUT} = 0)::BIGINT AS layer, unnest({TOKENS_SQL}) AS token FROM documents),
 chunks AS (SELECT (doc_id % {LAYER_CUT} = 0)::BIGINT AS layer, doc_id, len({TOKENS_SQL}) AS doc_len FROM documents), stats AS (SELECT layer, count(*) AS n_docs, avg(doc_len) AS avg_len FROM chunks GROUP BY layer),
 counts AS (SELECT token, layer, doc_id, count(*) AS tf FROM words GROUP BY ALL), pairs AS (SELECT DISTINCT term, token FROM (SELECT DISTINCT term FROM terms) JOIN (SELECT DISTINCT token FROM words) ON starts_with(token, term)),
@@ -217,9 +217,9 @@ scored AS (SELECT query_id, layer, doc_id, -sum(greatest(1e-6, ln((n_docs - n +
 
 @query("q4f_many_questions", f"WITH {ASKED_SQL} SELECT query_id, layer, count(*) AS n, round(min(score), 6) AS best, round(avg(score), 6) AS mean FROM scored GROUP BY query_id, layer")
 def q4f_many(spark, sf_dir):
-    """The first questions of every twentieth conversation, answered together; any of the first three terms."""
-    asks = with_plans(read(spark, sf_dir, "conversations").filter("role = 'user' and turn = 0 and conv_id % 20 = 0"), "text")
-    asks = asks.select(F.col("conv_id").alias("query_id"), F.array(F.slice(F.flatten("groups"), 1, 3)).alias("groups"))
+    """All questions of every twentieth conversation, answered together; any of a plan's terms."""
+    asks = with_plans(read(spark, sf_dir, "conversations").filter("role = 'user' and conv_id % 20 = 0"), "text")
+    asks = asks.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.array(F.flatten("groups")).alias("groups"))
     found = postings.bm25(stored_index(spark, sf_dir), asks, match_all=False)
     return found.groupBy("query_id", "layer").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"))
 

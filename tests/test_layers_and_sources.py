@@ -97,8 +97,9 @@ def test_manifest_and_ingestion(spark, tmp_path):
     now = ingest.active(store.read(manifest, "documents"))
     assert {(r.key, r.text, r.layer) for r in now.collect()} == {("a", "1x", 1), ("b", "2", 0), ("c", "3", 1)}
     assert sorted(map(tuple, ingest.living(store, manifest).select("key", "text").collect())) == [("a", "1x"), ("b", "2"), ("c", "3")]
-    old = store.read(manifest, "documents").filter("layer = 0 and key = 'a'").first().version_id
-    assert [tuple(r) for r in ingest.tombstones(store, manifest).collect()] == [("doc_version", old)]
+    old = store.read(manifest, "documents").filter("layer = 0 and key = 'a'").first()
+    chunk = store.read(manifest, "chunks").filter(F.col("doc_id") == old.doc_id).filter("layer = 0").first().chunk_id
+    assert sorted(tuple(r) for r in ingest.tombstones(store, manifest).collect()) == [("chunk", chunk, 1), ("doc_version", old.version_id, 1)]
     again = ingest.ingest_batch(store, spark.createDataFrame([("z", "9")], schema), manifest.deltas[0].layer_id)
     assert again == manifest
     with pytest.raises(ManifestConflict):
