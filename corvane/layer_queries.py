@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.operators import address, enrichment, postings
 from corvane.operators.storage import kept, new_folder, remove
+from corvane.operators.vector_store import VectorStore
 from corvane.plans.manifest import ManifestStore
 from corvane.registry import query, read
-from corvane.retrieval_queries import TERMS, asked, bm25_sql, sql_strip
+from corvane.retrieval_queries import DOT_SQL, TERMS, asked, bm25_sql, sql_strip
 from corvane.streaming import ingest
 
 #: What lives after library()'s batches: even ids were changed by the second batch, of these every third came back by the third one.
@@ -80,3 +81,17 @@ def k11(spark, sf_dir):
     nodes = address.differing(one, other)
     within = lambda rows: address.rows_hashed(rows).join(nodes.withColumnRenamed("name", "node"), F.substring("name", 1, address.DIGITS) == F.col("node"), "left_semi")
     return within(one).join(within(other), "name", "left_anti").agg(F.count("*").alias("n"))
+
+
+@query("k10_stored_knn", f"""SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
+  SELECT b.vec_id AS query_id, a.vec_id, {DOT_SQL} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {DOT_SQL} DESC, a.vec_id)::INTEGER AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0) WHERE rank <= 5""")
+def k10(spark, sf_dir):
+    """The vectors are stored by cluster and searched with bounds."""
+    e = read(spark, sf_dir, "embeddings")
+    folder = new_folder(spark)
+    try:
+        found, _ = VectorStore(spark, folder).write(e).search(e.filter("vec_id % 20 = 0"), 5)
+        found = kept(found)
+    finally:
+        remove(spark, folder)
+    return found.withColumn("score", F.round("score", 6))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.operators.storage import kept, new_folder, remove
@@ -14,6 +18,8 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 MOST_BROADCAST = 100_000
 #: So many terms are looked up by the ranges of postings that have their prefixes.
 FEW_TERMS = 64
+#: Chunks of a run whose largest parts are known, runs that are searched together, parts of scores in a task, questions at once.
+RUN, RUNS_TOGETHER, PARTS_TOGETHER, QUESTIONS = 64, 16, 1_000_000, 20_000
 #: Accented letters that word search reads as plain ones, and their plain forms.
 ACCENTED, PLAIN = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
@@ -93,28 +99,24 @@ def folded(term: Column) -> Column:
     return F.translate(F.lower(term), ACCENTED, PLAIN)
 
 
-def bm25(index: Index, questions: DataFrame, groups: str = "groups", match_all: bool = True, by: str = "query_id") -> DataFrame:
-    """by, layer, id, score (lower is better) of the chunks that match each question: every group of prefixes if match_all, else any.
+def term_parts(index: Index, wanted: DataFrame) -> DataFrame:
+    """_term, layer, id, part: what each of wanted (_term, each once, checkpointed) adds to the score of each chunk that has it.
 
-    questions: by, each once, and groups (arrays of arrays of terms). All questions are answered together. A few terms are
-    looked up by ranges of tokens; more of them meet the index's distinct tokens by equal prefixes, and the found tokens meet
-    the postings. Only matching chunks go on.
+    A few terms are looked up by ranges of tokens; more of them meet the index's distinct tokens by equal prefixes, and the
+    found tokens meet the postings.
     """
     layer, id_col = index.layer, index.id_col
-    terms = questions.select(by, F.size(groups).alias("_n_groups"), F.posexplode(groups).alias("_group", "_terms")).select(by, "_n_groups", "_group", F.explode("_terms").alias("_term"))
-    terms = terms.groupBy(by, folded(F.col("_term")).alias("_term")).agg(F.first("_n_groups").alias("_n_groups"), F.collect_set("_group").alias("_groups"))
-    wanted = kept(terms)
-    shape = wanted.agg(F.count_distinct("_term").alias("n"), F.collect_set(F.char_length("_term")).alias("lengths")).first()
-    few = F.broadcast if wanted.count() <= MOST_BROADCAST else lambda df: df
+    shape = wanted.agg(F.count("*").alias("n"), F.collect_set(F.char_length("_term")).alias("lengths")).first()
+    few = F.broadcast if shape.n <= MOST_BROADCAST else lambda df: df
     stored = index.table("postings")
     if shape.n <= FEW_TERMS:  # ranges without these prefixes are not read
-        some = [r[0] for r in wanted.select("_term").distinct().collect()]
+        some = [r[0] for r in wanted.select("_term").collect()]
         read = stored.filter(reduce(lambda a, b: a | b, [F.col("token").startswith(t) for t in some], F.lit(False)))
         met = read.select("*", F.explode(F.filter(F.array(*map(F.lit, some)).cast("array<string>"), lambda t: F.col("token").startswith(t))).alias("_term"))
     else:
         starts = F.array(*[F.when(F.char_length("token") >= n, F.substring("token", 1, n)) for n in sorted(shape.lengths)])  # as many as terms may have letters
         found = index.table("tokens").select("token", F.explode(F.array_compact(starts)).alias("_term"))
-        found = kept(found.join(few(wanted.select("_term").distinct()), "_term"))
+        found = kept(found.join(few(wanted), "_term"))
         met = stored.join(F.broadcast(found) if found.count() <= MOST_BROADCAST else found, "token")
     hits = met.groupBy("_term", layer, id_col).agg(F.sum("tf").cast("double").alias("f"))
     seen = hits.groupBy("_term", layer).agg(F.count("*").alias("n"))
@@ -122,20 +124,138 @@ def bm25(index: Index, questions: DataFrame, groups: str = "groups", match_all:
     idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - n + 0.5) / (n + 0.5)))
     part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     weighed = hits.join(few(seen), ["_term", layer]).join(F.broadcast(index.stats()), layer).join(index.table("chunks"), [layer, id_col])  # a row for each layer
-    asked = few(wanted).join(weighed.select("_term", layer, id_col, part.alias("part")), "_term")
+    return weighed.select("_term", layer, id_col, part.alias("part"))
+
+
+def bm25(index: Index, questions: DataFrame, groups: str = "groups", match_all: bool = True, by: str = "query_id") -> DataFrame:
+    """by, layer, id, score (lower is better) of all chunks that match each question: every group of prefixes if match_all, else any.
+
+    questions: by, each once, and groups (arrays of arrays of terms). All questions are answered together; only matching
+    chunks go on. keyword_search() gives the best ones without making a row of each match.
+    """
+    layer, id_col = index.layer, index.id_col
+    terms = questions.select(by, F.size(groups).alias("_n_groups"), F.posexplode(groups).alias("_group", "_terms")).select(by, "_n_groups", "_group", F.explode("_terms").alias("_term"))
+    terms = terms.groupBy(by, folded(F.col("_term")).alias("_term")).agg(F.first("_n_groups").alias("_n_groups"), F.collect_set("_group").alias("_groups"))
+    wanted = kept(terms)
+    few = F.broadcast if wanted.count() <= MOST_BROADCAST else lambda df: df
+    asked = few(wanted).join(term_parts(index, kept(wanted.select("_term").distinct())), "_term")
     scored = asked.groupBy(by, layer, id_col).agg(F.array_sort(F.collect_list(F.struct("_term", "part"))).alias("parts"), F.size(F.array_distinct(F.flatten(F.collect_list("_groups")))).alias("_found"), F.first("_n_groups").alias("_n_groups"))
     matched = scored.filter(F.col("_found") == F.col("_n_groups")) if match_all else scored
     return matched.select(by, layer, id_col, (-F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"])).alias("score"))  # the same sum for equal parts
 
 
+class Block:
+    """A task's parts of one layer: its chunks in order, and of each term the chunks (as places) that have it, with their parts,
+    where each run of RUN places begins among them, and the largest part of each run."""
+
+    def __init__(self, ids: pa.Array, terms: np.ndarray, places: np.ndarray, parts: np.ndarray):
+        self.ids, self.runs = ids, -(-len(ids) // RUN)
+        order = np.lexsort((places, terms))
+        terms, places, parts = terms[order], places[order], parts[order]
+        self.lists = {}
+        bounds = np.flatnonzero(np.diff(terms, prepend=-1, append=-1))
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            begin = np.searchsorted(places[a:b], np.arange(self.runs + 1) * RUN)
+            most = np.zeros(self.runs)
+            full = np.flatnonzero(np.diff(begin))
+            most[full] = np.maximum.reduceat(parts[a:b], begin[full])
+            self.lists[int(terms[a])] = places[a:b], parts[a:b], begin, most
+
+    def best(self, asked: list[tuple[int, int]], need: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and sums of the k best chunks. asked: terms in order, with the groups that each is in as bits; need: the groups
+        that a chunk must have, 0 for any. Runs come by the sum of their largest parts, which no chunk of theirs exceeds, also
+        in rounded numbers, as parts are added in one order; the first that can't reach the k-th best ends the search."""
+        own = [(self.lists[t], bits) for t, bits in asked if t in self.lists]
+        bound, having = np.zeros(self.runs), np.zeros(self.runs, dtype=np.int64)
+        for (_, _, _, most), bits in own:
+            bound += most
+            having |= np.where(most > 0, bits, 0)
+        runs = np.flatnonzero((having & need) == need if need else having > 0)
+        runs = runs[np.argsort(-bound[runs], kind="stable")]
+        places, sums = np.zeros(0, dtype=np.int64), np.zeros(0)
+        for at in range(0, len(runs), RUNS_TOGETHER):
+            some = runs[at : at + RUNS_TOGETHER]
+            if len(sums) == k and bound[some[0]] < sums[-1]:
+                break
+            score, found = np.zeros(len(some) * RUN), np.zeros(len(some) * RUN, dtype=np.int64)
+            for (where, parts, begin, _), bits in own:
+                sizes = begin[some + 1] - begin[some]
+                at_part = np.repeat(begin[some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                slot = where[at_part] - np.repeat((some - np.arange(len(some))) * RUN, sizes)
+                score[slot] += parts[at_part]
+                found[slot] |= bits
+            hit = np.flatnonzero((found & need) == need if need else found > 0)
+            places = np.concatenate([places, some[hit // RUN] * RUN + hit % RUN])
+            sums = np.concatenate([sums, score[hit]])
+            order = np.lexsort((places, -sums))[:k]
+            places, sums = places[order], sums[order]
+        return places, sums
+
+
+def best_of_tasks(parts: DataFrame, index: Index, asks: list[tuple], k: int, by: str, by_type: str) -> DataFrame:
+    """by, strict, layer, id, score of the k best of each ask, layer and task. parts as term_parts(), all of a chunk in one
+    task; asks: by, strict, terms in order with their groups' bits, groups needed."""
+    layer, id_col = index.layer, index.id_col
+    id_type = parts.schema[id_col].dataType.simpleString()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if rows is None or not rows.num_rows:
+            return
+        terms = rows.column("_term").combine_chunks().dictionary_encode()
+        code = {t: i for i, t in enumerate(terms.dictionary.to_pylist())}
+        term, part = terms.indices.to_numpy(), rows.column("part").to_numpy()
+        of_layer = rows.column(layer).to_numpy()
+        for number in np.unique(of_layer).tolist():
+            own = np.flatnonzero(of_layer == number)
+            ids = rows.column(id_col).take(pa.array(own)).combine_chunks()
+            distinct = ids.unique()
+            distinct = distinct.take(pc.sort_indices(distinct))
+            block = Block(distinct, term[own], pc.index_in(ids, distinct).to_numpy().astype(np.int64), part[own])
+            for question, strict, wanted, need in asks:
+                places, sums = block.best([(code[t], bits) for t, bits in wanted if t in code], need, k)
+                if len(places):
+                    n = len(places)
+                    yield pa.RecordBatch.from_arrays([pa.array([question] * n), pa.array([strict] * n), pa.array([number] * n, pa.int64()), distinct.take(pa.array(places)), pa.array(-sums)], names=[by, "strict", layer, id_col, "score"])
+
+    return parts.mapInArrow(search, f"{by} {by_type}, strict boolean, {layer} long, {id_col} {id_type}, score double")
+
+
+def asks_of(questions: DataFrame, by: str, strict: str, relaxed: str) -> list[tuple]:
+    """Questions as best_of_tasks() takes them."""
+    folds = str.maketrans(ACCENTED, PLAIN)
+    out = []
+    for row in questions.select(by, strict, relaxed).collect():
+        for groups, all_groups in ((row[1], True), (row[2], False)):
+            bits: dict[str, int] = {}
+            for i, group in enumerate(groups or []):
+                for t in group:
+                    t = t.lower().translate(folds)
+                    bits[t] = bits.get(t, 0) | 1 << i
+            if bits:
+                out.append((row[0], all_groups, sorted(bits.items()), (1 << len(groups)) - 1 if all_groups else 0))
+    return out
+
+
 def keyword_search(index: Index, questions: DataFrame, k: int, by: str = "query_id", strict: str = "strict_groups", relaxed: str = "relaxed_groups") -> DataFrame:
-    """The k best of each question and layer, with rank: strict matches, or relaxed ones (null: none) in layers without any strict match."""
+    """The k best of each question and layer, with rank: strict matches, or relaxed ones (null: none) in layers without any strict match.
+
+    The parts of scores are dealt by chunk to tasks of PARTS_TOGETHER rows; each task answers all questions, a block of
+    QUESTIONS of them at a time, with block-max pruning, and hands on its k best of each, so no row is made of a match that is not
+    among them. A question has up to 62 groups.
+    """
     from corvane.operators.retrieval import top_per_group
 
-    found = kept(bm25(index, questions, strict, True, by))
-    again = questions.filter(F.col(relaxed).isNotNull())
-    if again.isEmpty():
-        return top_per_group(found, [by, index.layer], [F.asc("score"), F.asc(index.id_col)], k)
-    other = bm25(index, again, relaxed, False, by)
-    found = found.unionByName(other.join(found.select(by, index.layer).distinct(), [by, index.layer], "left_anti"))
-    return top_per_group(found, [by, index.layer], [F.asc("score"), F.asc(index.id_col)], k)
+    layer, id_col = index.layer, index.id_col
+    every = F.concat(F.coalesce(F.flatten(strict), F.array().cast("array<string>")), F.coalesce(F.flatten(relaxed), F.array().cast("array<string>")))
+    wanted = kept(questions.select(F.explode(every).alias("_term")).select(folded(F.col("_term")).alias("_term")).distinct())
+    parts = kept(term_parts(index, wanted))
+    tasks = max(int(index.spark.conf.get("spark.sql.shuffle.partitions")), parts.count() // PARTS_TOGETHER)
+    dealt = kept(parts.repartition(tasks, layer, id_col))
+    blocks = max(1, -(-questions.count() // QUESTIONS))
+    by_type = questions.schema[by].dataType.simpleString()
+    some = lambda b: questions.filter(F.pmod(F.xxhash64(by), F.lit(blocks)) == b) if blocks > 1 else questions
+    found = kept(reduce(DataFrame.unionByName, [best_of_tasks(dealt, index, asks_of(some(b), by, strict, relaxed), k, by, by_type) for b in range(blocks)]))
+    answered = found.filter("strict").select(by, layer).distinct()
+    chosen = found.filter("strict").unionByName(found.filter("not strict").join(answered, [by, layer], "left_anti")).drop("strict")
+    return top_per_group(chosen, [by, layer], [F.asc("score"), F.asc(id_col)], k)

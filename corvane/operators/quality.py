@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from corvane.functions import text as T
+from corvane.operators.storage import kept
 
 
 def count_if(condition: Column) -> Column:
@@ -60,3 +63,36 @@ def embedding_consistency(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     base = chunks.agg(F.count("*").alias("chunks"), count_if(F.col("status") == "success").alias("success"), count_if(F.col("status") == "failed").alias("failed"), count_if(F.col("vector_id").isNotNull()).alias("mapped"), F.countDistinct("vector_id").alias("mapped_distinct"), count_if(F.col("vector_id") < 0).alias("negative"))
     both = base.crossJoin(diff)  # one row and one row
     return both.withColumn("consistent", (F.col("unknown") + F.col("missing") + F.col("mismatched") + F.col("negative") == 0) & (F.col("mapped") == F.col("mapped_distinct")))
+
+
+#: What makes Spark take counts and bounds from Parquet's footers: the newer of its two readers, and leave to push down to it.
+FROM_FOOTERS = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+@contextmanager
+def from_footers(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in FROM_FOOTERS}
+    for k, v in FROM_FOOTERS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def figures(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """n, filled, low, high of a whole-number column of a Parquet table; within from_footers() no row is read for it."""
+    c = F.col(column)
+    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.count(c).alias("filled"), F.min(c).alias("low"), F.max(c).alias("high"))
+
+
+def quick_consistency(spark: SparkSession, chunks: str, chunk_vector: str, vectors: str, vector_id: str) -> DataFrame:
+    """One row of what footers tell of two Parquet tables: their counts, filled ids, bounds of ids, and whether nothing speaks
+    against each mapped chunk having its vector. What it calls consistent may still not be; embedding_consistency() tells."""
+    names = ("n", "filled", "low", "high")
+    with from_footers(spark):
+        a, b = (kept(figures(spark, *of)) for of in ((chunks, chunk_vector), (vectors, vector_id)))  # a row each, made while the settings hold
+    a, b = a.toDF(*[f"chunk_{c}" for c in names]), b.toDF(*[f"vector_{c}" for c in names])
+    alike = (F.col("chunk_filled") == F.col("vector_n")) & (F.col("vector_filled") == F.col("vector_n")) & F.col("chunk_low").eqNullSafe(F.col("vector_low")) & F.col("chunk_high").eqNullSafe(F.col("vector_high"))
+    return a.crossJoin(b).withColumn("consistent", alike)  # one row each

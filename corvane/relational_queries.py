@@ -560,3 +560,21 @@ def x10(spark, sf_dir):
 def differences(spark, sf_dir):
     d, e = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
     return d.exceptAll(e).withColumn("side", F.lit("documents")).union(e.exceptAll(d).withColumn("side", F.lit("vectors")))
+
+
+@query("a19_d7_quick", """SELECT *, chunk_filled = vector_n AND vector_filled = vector_n AND chunk_low IS NOT DISTINCT FROM vector_low AND chunk_high IS NOT DISTINCT FROM vector_high AS consistent FROM
+(SELECT count(*) AS chunk_n, count(doc_id) AS chunk_filled, min(doc_id) AS chunk_low, max(doc_id) AS chunk_high FROM documents), (SELECT count(*) AS vector_n, count(vec_id) AS vector_filled, min(vec_id) AS vector_low, max(vec_id) AS vector_high FROM embeddings)""")
+def a19_quick(spark, sf_dir):
+    """The quick mode of the consistency check: footers alone."""
+    return quality.quick_consistency(spark, f"{sf_dir}/documents.parquet", "doc_id", f"{sf_dir}/embeddings.parquet", "vec_id")
+
+
+@query("d7_both_modes", """WITH f AS (SELECT count(DISTINCT doc_id) FILTER (WHERE vec_id IS NULL) AS without_vector, count(DISTINCT vec_id) FILTER (WHERE doc_id IS NULL) AS without_chunk FROM documents FULL JOIN embeddings ON doc_id = vec_id),
+q AS (SELECT (SELECT count(doc_id) = (SELECT count(*) FROM embeddings) AND min(doc_id) = (SELECT min(vec_id) FROM embeddings) AND max(doc_id) = (SELECT max(vec_id) FROM embeddings) FROM documents) AS quick)
+SELECT quick, without_vector = 0 AND without_chunk = 0 AS whole, without_vector, without_chunk FROM f, q""")
+def d7_both(spark, sf_dir):
+    """Both modes in one report: what footers tell, and what a join of all ids does."""
+    quick = quality.quick_consistency(spark, f"{sf_dir}/documents.parquet", "doc_id", f"{sf_dir}/embeddings.parquet", "vec_id").select(F.col("consistent").alias("quick"))
+    both = read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "embeddings").select("vec_id"), F.col("doc_id") == F.col("vec_id"), "full")
+    full = both.agg(F.count_distinct(F.when(F.col("vec_id").isNull(), F.col("doc_id"))).alias("without_vector"), F.count_distinct(F.when(F.col("doc_id").isNull(), F.col("vec_id"))).alias("without_chunk"))
+    return quick.crossJoin(full.withColumn("whole", (F.col("without_vector") == 0) & (F.col("without_chunk") == 0))).select("quick", "whole", "without_vector", "without_chunk")  # one row each

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import codecs
+import hashlib
 import io
+import re
+import uuid
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from corvane.functions import text as T
+from corvane.operators.storage import kept
 
 WORD_SUFFIXES = (".docx", ".doc", ".docm")
 READABLE_SUFFIXES = (".docx", ".txt", ".pdf")
@@ -39,10 +45,126 @@ def volume(path: Column, names: dict[str, str]) -> Column:
     return F.lit("unknown") if out is None else out.otherwise("unknown")
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """path, length, modificationTime of every file below folder that has any bytes (Spark's readers leave the others out); no
+    file is opened."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length, modificationTime, sha256, suffix, is_word of every file below folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"), suffix(F.col("path")).alias("suffix"), is_word_file(F.col("path")).alias("is_word"))
+    """path, length, modificationTime, sha256, suffix, is_word, error of every file below folder that has any bytes.
+
+    Files up to the limit of Spark's reader of whole files (spark.sql.sources.binaryFile.maxLength) are hashed in the JVM; longer
+    ones are streamed by their tasks in blocks, so that a file has no limit. One that can't be opened has an error and no hash.
+    """
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(F.col("length") <= most)
+    small = whole.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("error"))
+    large = listing(spark, folder).filter(F.col("length") > most)
+    found = small.unionByName(large.repartition("path").mapInPandas(hashed, SCANNED))
+    return found.select("path", "length", "modificationTime", "sha256", suffix(F.col("path")).alias("suffix"), is_word_file(F.col("path")).alias("is_word"), "error")
+
+
+SCANNED = "path string, length long, modificationTime timestamp, sha256 string, error string"
+COPIED = "path string, target string, length long, sha256 string, error string"
+#: Bytes that are read at once.
+READ_BYTES = 8 << 20
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path with a scheme, which the task reaches by itself, and the path in it."""
+    local = re.match(r"file:/*(?=/)|(?=/)", path)
+    if local:
+        return fs.LocalFileSystem(), path[local.end() :]
+    scheme, rest = path.split("://", 1)
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe='/:@')}")
+
+
+def streamed(source: fs.FileSystem, path: str, out=None) -> str:
+    """The SHA-256 of a file, read in blocks, which are written to out as well if it is given."""
+    digest = hashlib.sha256()
+    with source.open_input_stream(path) as stream:
+        while block := stream.read(READ_BYTES):
+            digest.update(block)
+            if out is not None:
+                out.write(block)
+    return digest.hexdigest()
+
+
+def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = []
+        for r in frame.itertuples(index=False):
+            try:
+                rows.append((r.path, r.length, r.modificationTime, streamed(*opened(r.path)), None))
+            except Exception as e:
+                rows.append((r.path, r.length, r.modificationTime, None, f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCANNED.split(", ")])
+
+
+def copied(files: DataFrame, root: str, target: str) -> DataFrame:
+    """Copies files (path, length, modificationTime, as listing() gives them) from below root to the same places below target, and
+    gives path, target, length, sha256, error of each.
+
+    Each is streamed in blocks to a name of its own, read again and compared, and only then given its name. A file whose length
+    or time is not as listed, before or after, is an error (CHANGED), as is one that reads otherwise than it was written
+    (DIFFERS) or can't be read or written; it leaves nothing. What is there already is replaced. Tasks that run twice do no harm.
+    """
+
+    def copy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                to = f"{target.rstrip('/')}/{within(r.path, root)}"
+                try:
+                    rows.append((r.path, to, r.length, one(r, to), None))
+                except Exception as e:
+                    rows.append((r.path, to, r.length, None, str(e) if isinstance(e, CopyError) else f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in COPIED.split(", ")])
+
+    def one(r, to: str) -> str:
+        source, path = opened(r.path)
+        there, end = opened(to)
+        part = f"{end}.{uuid.uuid4().hex}"
+        as_listed = lambda: (i := source.get_file_info(path)).size == r.length and abs(i.mtime_ns - pd.Timestamp(r.modificationTime).value) < 10**6
+        if not as_listed():
+            raise CopyError("CHANGED")
+        there.create_dir(end.rpartition("/")[0], recursive=True)
+        try:
+            with there.open_output_stream(part) as out:
+                digest = streamed(source, path, out)
+            if not as_listed():
+                raise CopyError("CHANGED")
+            if streamed(there, part) != digest:
+                raise CopyError("DIFFERS")
+            there.move(part, end)
+        except BaseException:
+            if there.get_file_info(part).type != fs.FileType.NotFound:
+                there.delete_file(part)
+            raise
+        return digest
+
+    return files.select("path", "length", F.col("modificationTime")).repartition("path").mapInPandas(copy, COPIED)
+
+
+class CopyError(RuntimeError):
+    pass
+
+
+def within(path: str, root: str) -> str:
+    """The rest of path below root, whatever slashes follow the schemes."""
+    plain = lambda p: re.sub(r"^[a-z0-9]+:/*", "/", p)
+    return plain(path).removeprefix(plain(root).rstrip("/")).lstrip("/")
+
+
+def snapshot_of(spark: SparkSession, root: str, target: str) -> DataFrame:
+    """Copies all files below root to target, and gives copied()'s rows, kept. Raises if any file could not be copied as listed;
+    what was copied stays, and a further call replaces it."""
+    found = kept(copied(kept(listing(spark, root)), root, target))
+    wrong = found.filter("error is not null").limit(5).collect()
+    if wrong:
+        raise CopyError("; ".join(f"{r.path}: {r.error}" for r in wrong))
+    return found
 
 
 def scan_summary(files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import context, postings, retrieval
+from corvane.operators.storage import kept
 from corvane.plans.keyword import with_plans
 
 
@@ -162,3 +163,57 @@ def test_references(spark):
     df = spark.createDataFrame(rows, "query_id long, evidence_no long, path string, doc_id string, name string, location string")
     section = context.reference_section(context.reference_list(df)).first().section
     assert section == "参考文件：\n[1] n\n    位置：p1；p2\n    对应资料：[资料1]、[资料2]、[资料3]\n\n[2] m\n    对应资料：[资料4]"
+
+
+@pytest.mark.parametrize("run", [4])
+def test_pruned_search_against_all_scores(spark, monkeypatch, run):
+    """Random texts with many ties, over layers, for many questions: the same answer as from all scores, few rows made, runs skipped."""
+    from corvane.operators import postings as P
+
+    monkeypatch.setattr(P, "RUN", run)
+    monkeypatch.setattr(P, "RUNS_TOGETHER", 3)
+    monkeypatch.setattr(P, "QUESTIONS", 7)
+    pick = random.Random(run)
+    words = ["the", "then", "sky", "blue", "blues", "rare", "Ölwerk", "x1"]
+    chunks = [(i, i % 3, " ".join(pick.choices(words, [20, 5, 5, 4, 2, 0.1, 1, 1], k=pick.randint(1, 9)))) for i in range(600)] + [(900, 3, None)]
+    index = P.write_index(spark.createDataFrame(chunks, "id long, layer long, text string"), "id", ["text"])
+    asks = [(q, [pick.choices(words + ["bl", "th", "none"], k=pick.randint(1, 3)) for _ in range(pick.randint(1, 3))], pick.choice([None, [pick.choices(words, k=2)]])) for q in range(20)]
+    questions = spark.createDataFrame(asks, "query_id long, strict_groups array<array<string>>, relaxed_groups array<array<string>>")
+    strict = {(r.query_id, r.layer, r.id): r.score for r in P.bm25(index, questions, "strict_groups", True).collect()}
+    loose = {(r.query_id, r.layer, r.id): r.score for r in P.bm25(index, questions.filter("relaxed_groups is not null"), "relaxed_groups", False).collect()}
+    answered = {key[:2] for key in strict}
+    want = {}
+    for (q, layer, i), score in [*strict.items(), *(x for x in loose.items() if x[0][:2] not in answered)]:
+        want.setdefault((q, layer), []).append((score, i))
+    made = []
+    real = P.best_of_tasks
+    monkeypatch.setattr(P, "best_of_tasks", lambda *a: made.append(kept(real(*a))) or made[-1])
+    got = {}
+    for r in P.keyword_search(index, questions, 5).collect():
+        got.setdefault((r.query_id, r.layer), []).append((r.rank, r.score, r.id))
+    assert {k: [x[1:] for x in sorted(v)] for k, v in got.items()} == {k: sorted(v)[:5] for k, v in want.items()}
+    assert len(made) == 3 and sum(df.count() for df in made) <= 2 * 20 * 4 * 5 * 4
+    index.drop()
+
+
+def test_runs_that_cannot_win_are_skipped():
+    import numpy as np
+    import pyarrow as pa
+
+    from corvane.operators import postings as P
+
+    n = 10_000
+    parts = np.full(n, 0.1)
+    parts[:70] = 5.0
+    block = P.Block(pa.array(range(n)), np.zeros(n, dtype=np.int64), np.arange(n), parts)
+    touched = []
+    where, own, begin, most = block.lists[0]
+
+    class Counting(np.ndarray):
+        def __getitem__(self, key):
+            touched.append(np.size(key))
+            return np.asarray(self)[key]
+
+    block.lists[0] = where, own.view(Counting), begin, most
+    places, sums = block.best([(0, 1)], 1, 10)
+    assert places.tolist() == list(range(10)) and set(sums) == {5.0} and sum(touched) <= 2 * P.RUN * P.RUNS_TOGETHER
