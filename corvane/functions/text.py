@@ -128,6 +128,11 @@ def level(c: str | Column) -> Column:
     return out.otherwise(F.lit(None).cast("string"))
 
 
+def begins(c: str | Column, *levels: str) -> Column:
+    """Whether a text begins as a title of one of levels (编 章 节 条 款 项 目) does. Blank texts begin none, null gives null."""
+    return strip(c).rlike("|".join(pattern for name, pattern in LEVELS if name in levels))
+
+
 def numbered(c: str | Column, unit: str, anywhere: bool = False) -> Column:
     """第…unit at the start, or else, if anywhere, the first in the text."""
     s = strip(c)

@@ -77,17 +77,18 @@ PACKED = "query_id long, evidence_no long, chunk_id string, content string, toke
 def pack_evidence(hits: DataFrame, budget: int = CONTEXT, most: int = MOST_CHUNK, least: int = LEAST_CHUNK) -> DataFrame:
     """hits (query_id, rank, chunk_id, title, location, text) to numbered evidence within budget, query by query.
 
-    A query's hits stream through a task in rank order; no query is held whole.
+    A query's hits stream through a task in rank order; no query is held whole. Hits without a query id are one query's.
     """
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query, used, no = None, 0, 0
+        query, used, no = "none yet", 0, 0
         seen: set[str] = set()
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                if r.query_id != query:
-                    query, used, no, seen = r.query_id, 0, 0, set()
+                asks = None if pd.isna(r.query_id) else int(r.query_id)
+                if asks != query:
+                    query, used, no, seen = asks, 0, 0, set()
                 source = (r.text or "").strip()
                 if used >= budget or r.chunk_id in seen or not source:
                     continue
@@ -95,7 +96,7 @@ def pack_evidence(hits: DataFrame, budget: int = CONTEXT, most: int = MOST_CHUNK
                 if got := fit(no + 1, r.title or "", r.location or "", source, budget - used, most, least):
                     no, used = no + 1, used + got[1]
                     out.append((query, no, r.chunk_id, *got))
-            yield pd.DataFrame(out, columns=["query_id", "evidence_no", "chunk_id", "content", "tokens", "cut"])
+            yield pd.DataFrame(out, columns=["query_id", "evidence_no", "chunk_id", "content", "tokens", "cut"]).astype({"query_id": "Int64"})
 
     rows = hits.select("query_id", "rank", F.col("chunk_id").cast("string"), "title", "location", "text")
     return rows.repartition("query_id").sortWithinPartitions("query_id", "rank").mapInPandas(pack, PACKED)

@@ -79,13 +79,15 @@ class LayeredIndex(Index):
 def write_index(chunks: DataFrame, id_col: str, text_cols: list[str], folder: str | None = None, layer: str = "layer") -> Index:
     """Tokenises all text_cols of chunks (layer, id, ...) once and stores the index, in a new shared folder if none is given.
 
-    Null and empty texts make chunks of length 0. Rows that repeat layer and id are one chunk. The ranges of postings are cut
-    by token, layer and id, so a token of any frequency is spread over tasks.
+    Null and empty texts make chunks of length 0. Rows that repeat layer and id are one chunk. Texts are dealt by chunk before
+    they are cut into tokens, so that these are counted where they arise. The ranges of postings are cut by token, layer and
+    id, so a token of any frequency is spread over tasks.
     """
     spark = chunks.sparkSession
     index = Index(spark, folder or new_folder(spark), id_col, layer)
     words = F.concat(F.array(F.lit("")), *[tokens(F.col(c)) for c in text_cols])  # the empty one stands for the chunk; as there is one, the outer form is the same, and no filter tokenises again
-    counted = chunks.select(layer, id_col, F.explode_outer(words).alias("token")).groupBy(layer, id_col, "token").agg(F.count("*").alias("tf"))
+    dealt = chunks.select(layer, id_col, *dict.fromkeys(text_cols)).repartition(id_col)
+    counted = dealt.select(layer, id_col, F.explode_outer(words).alias("token")).groupBy(layer, id_col, "token").agg(F.count("*").alias("tf"))
     counted.write.parquet(f"{index.folder}/counted")
     counted = index.table("counted")
     counted.groupBy(layer, id_col).agg(F.sum(F.when(F.col("token") != "", F.col("tf")).otherwise(0)).alias("doc_len")).write.parquet(f"{index.folder}/chunks")

@@ -341,6 +341,15 @@ def l1(spark, sf_dir):
     return statute_blocks(spark, sf_dir).select("doc_id", "block_index", T.level("text").alias("law_level"))
 
 
+TITLES = {"is_part": "编", "is_chapter": "章", "is_section": "节", "is_article": "条", "is_item": "项"}
+TITLES_SQL = ", ".join("regexp_matches(s, '" + "|".join(p for n, p in T.LEVELS if n == name) + f"') AS {column}" for column, name in TITLES.items())
+
+
+@query("l2_title_predicates", f"WITH {BLOCKS_SQL} SELECT doc_id, block_index, {TITLES_SQL} FROM (SELECT doc_id, block_index, {sql_strip('text')} AS s FROM blocks)")
+def l2(spark, sf_dir):
+    return statute_blocks(spark, sf_dir).select("doc_id", "block_index", *[T.begins("text", name).alias(c) for c, name in TITLES.items()])
+
+
 @query("a12_level_histogram", f"WITH {BLOCKS_SQL} SELECT coalesce({sql_level(sql_strip('text'))}, 'null') AS law_level, count(*) AS n FROM blocks GROUP BY 1")
 def a12(spark, sf_dir):
     return quality.group_counts(statute_blocks(spark, sf_dir), T.level("text"), "law_level")

@@ -76,8 +76,12 @@ def write_layer(store: ManifestStore, path: str, docs: DataFrame, dead: DataFram
     spark, folder = store.spark, f"{store.root}/{path}"
     write = lambda df, name: df.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.mode("overwrite").parquet(f"{folder}/{name}")
     read = lambda name: spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}")
-    found = assign_ids(chunker(docs.select("doc_id", "text")), first_vector, ["doc_id", "chunk_index"])
-    write(found.withColumn("chunk_id", ids.chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("text"))), "chunks")
+    found = chunker(docs.select("doc_id", "text"))
+    found.withColumn("chunk_id", ids.chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("text"))).write.mode("overwrite").parquet(f"{folder}/cut")
+    cut = spark.read.parquet(f"{folder}/cut")
+    numbered = assign_ids(cut.select("doc_id", "chunk_index"), first_vector, ["doc_id", "chunk_index"])  # ids alone are ranged and kept
+    write(cut.join(numbered, ["doc_id", "chunk_index"]), "chunks")
+    postings.remove(spark, f"{folder}/cut")
     chunks = read("chunks")
     good = docs.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi")
     write(good, "documents")
@@ -111,12 +115,13 @@ def ingest_batch(store: ManifestStore, batch: DataFrame, name: str, chunker: Chu
     manifest = store.current()
     if any(x.layer_id == name for x in manifest.deltas):
         return manifest
-    incoming = kept(newest(versioned(batch), "key", [F.asc("version_id")]))
+    every = newest(versioned(batch), "key", [F.asc("version_id")])
+    incoming = kept(every.drop("text"))
     # only what the batch may replace is met: rows of its keys, without their texts
     known = kept(living(store, manifest).select("key", "digest", "doc_id", "version_id").join(incoming.select("key"), "key", "left_semi"))
     taken = kept(classify(incoming.select("key", "digest"), known.select("key", "digest")).filter("action <> 'DUPLICATE_UNCHANGED'").select("key", "action"))
     updated = known.join(taken.filter("action = 'UPDATE'"), "key", "left_semi").select("doc_id")
-    digest, following = write_layer(store, name, kept(incoming.join(taken.select("key"), "key", "left_semi")), dead_of(store, manifest, updated), manifest.next_vector_id, chunker, embed)
+    digest, following = write_layer(store, name, every.join(taken.select("key"), "key", "left_semi"), dead_of(store, manifest, updated), manifest.next_vector_id, chunker, embed)
     return store.publish(Manifest(manifest.revision + 1, manifest.base, (*manifest.deltas, Layer(name, name, digest)), following), manifest.revision)
 
 

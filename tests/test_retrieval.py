@@ -217,3 +217,10 @@ def test_runs_that_cannot_win_are_skipped():
     block.lists[0] = where, own.view(Counting), begin, most
     places, sums = block.best([(0, 1)], 1, 10)
     assert places.tolist() == list(range(10)) and set(sums) == {5.0} and sum(touched) <= 2 * P.RUN * P.RUNS_TOGETHER
+
+
+def test_hits_without_a_query_are_one_query(spark):
+    rows = [(None, i, f"c{i}", "t", "", f"text {i}") for i in range(4)] + [(0, 1, "z", "t", "", "other"), (7, None, "y", None, None, None)]
+    got = context.pack_evidence(spark.createDataFrame(rows, "query_id long, rank long, chunk_id string, title string, location string, text string")).collect()
+    assert sorted((r.query_id is None, r.query_id, r.evidence_no, r.chunk_id) for r in got if r.query_id is None) == [(True, None, i + 1, f"c{i}") for i in range(4)]
+    assert [(r.query_id, r.evidence_no, r.chunk_id) for r in got if r.query_id is not None] == [(0, 1, "z")]
