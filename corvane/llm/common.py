@@ -28,10 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset one in the warehouse, which executors share too."""
+    """The folder that spark.checkpoint.dir names; where it is unset one in the warehouse, which must be one that executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        place = sc.getConf().get("spark.checkpoint.dir")
+        if not place:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir")
+            if not sc.master.startswith("local") and (warehouse.startswith("file:") or "://" not in warehouse):
+                raise ValueError("spark.checkpoint.dir is not set, and the warehouse is a folder of one machine")
+            place = f"{warehouse}/_checkpoints"
+        sc.setCheckpointDir(place)
     return sc.getCheckpointDir()
 
 
