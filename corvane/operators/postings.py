@@ -251,13 +251,18 @@ def keyword_search(index: Index, questions: DataFrame, k: int, by: str = "query_
     layer, id_col = index.layer, index.id_col
     every = F.concat(F.coalesce(F.flatten(strict), F.array().cast("array<string>")), F.coalesce(F.flatten(relaxed), F.array().cast("array<string>")))
     wanted = kept(questions.select(F.explode(every).alias("_term")).select(folded(F.col("_term")).alias("_term")).distinct())
-    parts = kept(term_parts(index, wanted))
-    tasks = max(int(index.spark.conf.get("spark.sql.shuffle.partitions")), parts.count() // PARTS_TOGETHER)
-    dealt = kept(parts.repartition(tasks, layer, id_col))
-    blocks = max(1, -(-questions.count() // QUESTIONS))
-    by_type = questions.schema[by].dataType.simpleString()
-    some = lambda b: questions.filter(F.pmod(F.xxhash64(by), F.lit(blocks)) == b) if blocks > 1 else questions
-    found = kept(reduce(DataFrame.unionByName, [best_of_tasks(dealt, index, asks_of(some(b), by, strict, relaxed), k, by, by_type) for b in range(blocks)]))
+    folder = new_folder(index.spark)
+    try:
+        term_parts(index, wanted).write.parquet(folder)
+        parts = index.spark.read.parquet(folder)
+        tasks = max(int(index.spark.conf.get("spark.sql.shuffle.partitions")), parts.count() // PARTS_TOGETHER)
+        dealt = parts.repartition(tasks, layer, id_col)
+        blocks = max(1, -(-questions.count() // QUESTIONS))
+        by_type = questions.schema[by].dataType.simpleString()
+        some = lambda b: questions.filter(F.pmod(F.xxhash64(by), F.lit(blocks)) == b) if blocks > 1 else questions
+        found = kept(reduce(DataFrame.unionByName, [best_of_tasks(dealt, index, asks_of(some(b), by, strict, relaxed), k, by, by_type) for b in range(blocks)]))
+    finally:
+        remove(index.spark, folder)
     answered = found.filter("strict").select(by, layer).distinct()
     chosen = found.filter("strict").unionByName(found.filter("not strict").join(answered, [by, layer], "left_anti")).drop("strict")
     return top_per_group(chosen, [by, layer], [F.asc("score"), F.asc(id_col)], k)
