@@ -5,7 +5,9 @@ smoothing. They are matched: the larger part's counts are scaled down to as many
 row is left out and smoothing weighs the same in both. A document is scored by counts from which its own are taken away.
 Neither words nor bigrams pass through the driver: each block of documents sends its distinct n-grams, with their
 counts in the block, to parts by hash; a part adds the blocks' counts up and answers each block with the corpus's counts of
-the n-grams that the block sent; so each block can score its own documents.
+the n-grams that the block sent; so each block can score its own documents. A block sends nothing to a part of which it has no
+n-grams, so no more rows are sent than there are n-grams in blocks, however many parts there are; the sizes of the vocabulary and of the models
+are three sums over the same exchange.
 """
 
 from __future__ import annotations
@@ -116,14 +118,15 @@ def from_planes(data: bytes, kind: str) -> np.ndarray:
 #: A block's keys in a part as planes of the steps from key to key, with the block's counts; or a block's documents, with hashes of their words and places in
 #: these as planes.
 SENT = "block long, part int, keys binary, target binary, other binary, ids array<long>, lengths array<long>, words binary, places binary"
-#: The corpus's counts of the keys that the block sent, and the part's words, and how often these occur; or documents as above,
-#: and in target which of them are of the target part.
-ANSWERED = "block long, part int, n_keys long, target binary, other binary, totals array<long>, ids array<long>, lengths array<long>, words binary, places binary"
+#: The corpus's counts of the keys that the block sent; or documents as above, and in target which of them are of the target part.
+ANSWERED = "block long, part int, n_keys long, target binary, other binary, ids array<long>, lengths array<long>, words binary, places binary"
+#: Words of the vocabulary, and how often words occur in the target part and in the other one.
+SIZES = ("size", "target_words", "other_words")
 SENT_ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "target", "other")), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("places", pa.binary())])
 
 
 def sent(docs: DataFrame, parts: int, known: frozenset[bytes] | None) -> DataFrame:
-    """SENT: of each block a row for each part, though it may have no keys, and a row of documents. docs: doc_id, text, target."""
+    """SENT: of each block a row for each part of which it has keys, and a row of documents. docs: doc_id, text, target."""
     bounds = np.array([(p << 64) // parts for p in range(1, parts)], dtype=np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +141,7 @@ def sent(docs: DataFrame, parts: int, known: frozenset[bytes] | None) -> DataFra
             grams, chosen = Grams(words, index, lengths), np.repeat(np.array(targets, dtype=bool), lengths)
             counts, cuts = [grams.counts(c) for c in (chosen, ~chosen)], [0, *np.searchsorted(grams.keys, bounds), len(grams.keys)]
             block = TaskContext.get().partitionId() << 32 | serial
-            rows = [(block, p, planes(np.diff(grams.keys[a:b], prepend=np.uint64(0))), *(packed(c[a:b]) for c in counts), None, None, None, None) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            rows = [(block, p, planes(np.diff(grams.keys[a:b], prepend=np.uint64(0))), *(packed(c[a:b]) for c in counts), None, None, None, None) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
             rows.append((block, int(words.sum() % np.uint64(parts)), None, np.array(targets, dtype="u1").tobytes(), None, ids, lengths, words.tobytes(), planes(index.astype("<u4"))))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SENT_ARROW.types, strict=True)], schema=SENT_ARROW)
 
@@ -161,19 +164,33 @@ def sent(docs: DataFrame, parts: int, known: frozenset[bytes] | None) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), "text", "target").mapInArrow(send, SENT)
 
 
+def keys_of(asked: pd.DataFrame) -> list[np.ndarray]:
+    return [np.cumsum(from_planes(k, "<u8"), dtype=np.uint64) for k in asked["keys"]]
+
+
 def answered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """A part's answers, and the documents as they came."""
     asked, documents = rows[rows["keys"].notna()], rows[rows["keys"].isna()]
-    keys = [np.cumsum(from_planes(k, "<u8"), dtype=np.uint64) for k in asked["keys"]]
-    n = [len(k) for k in keys]
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = [np.bincount(place, np.concatenate([unpacked(d, m) for d, m in zip(asked[c], n, strict=True)]), len(distinct)).astype(np.int64) for c in ("target", "other")]
-    is_word = ((distinct & np.uint64(3)) == WORD) & (distinct != mixed(np.array([BEGIN], dtype=np.uint64), WORD))
-    in_vocabulary = is_word & (counts[0] + counts[1] > 0) & (distinct != mixed(np.array([UNKNOWN], dtype=np.uint64), WORD))
-    totals = [int(in_vocabulary.sum()), *(int(c[is_word].sum()) for c in counts)]
-    out = [(r.block, r.part, m, *(packed(c[place[e - m : e]]) for c in counts), totals, None, None, None, None) for r, m, e in zip(asked.itertuples(), n, np.cumsum(n), strict=True)]
-    out += [(r.block, r.part, 0, r.target, None, None, r.ids, r.lengths, r.words, r.places) for r in documents.itertuples()]
-    return pd.DataFrame(out, columns=["block", "part", "n_keys", "target", "other", "totals", "ids", "lengths", "words", "places"])
+    out = [(r.block, r.part, 0, r.target, None, r.ids, r.lengths, r.words, r.places) for r in documents.itertuples()]
+    if len(asked):
+        keys = keys_of(asked)
+        n = [len(k) for k in keys]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = [np.bincount(place, np.concatenate([unpacked(d, m) for d, m in zip(asked[c], n, strict=True)]), len(distinct)).astype(np.int64) for c in ("target", "other")]
+        out += [(r.block, r.part, m, *(packed(c[place[e - m : e]]) for c in counts), None, None, None, None) for r, m, e in zip(asked.itertuples(), n, np.cumsum(n), strict=True)]
+    return pd.DataFrame(out, columns=["block", "part", "n_keys", "target", "other", "ids", "lengths", "words", "places"])
+
+
+def sizes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """A part's share of SIZES."""
+    asked = rows[rows["keys"].notna()]
+    begin, unknown = mixed(np.array([BEGIN, UNKNOWN], dtype=np.uint64), WORD)
+    words, total = [np.zeros(0, np.uint64)], [0, 0]
+    for keys, *counts in zip(keys_of(asked), asked["target"], asked["other"], strict=True):
+        is_word = ((keys & np.uint64(3)) == WORD) & (keys != begin)
+        words.append(keys[is_word & (keys != unknown)])
+        total = [t + int(unpacked(c, len(keys))[is_word].sum()) for t, c in zip(total, counts, strict=True)]
+    return pd.DataFrame([(len(np.unique(np.concatenate(words))), *total)], columns=SIZES)
 
 
 def scored(rows: pd.DataFrame) -> pd.DataFrame:
@@ -183,7 +200,7 @@ def scored(rows: pd.DataFrame) -> pd.DataFrame:
     words, lengths = np.frombuffer(d["words"], np.uint64), np.array(d["lengths"], dtype=np.int64)
     index = from_planes(d["places"], "<u4").astype(np.int64)
     grams, n = Grams(words, index, lengths), len(words)
-    size, *total = np.sum([list(t) for t in answers["totals"]], axis=0)
+    size, *total = (int(d[c]) for c in SIZES)
     of = np.repeat(np.arange(len(lengths)), lengths)
     in_target, length = np.frombuffer(d["target"], "u1").astype(bool)[of], lengths[of]
     own_w, own_pair = within(of, index, n), within(of, grams.place, len(grams.h))
@@ -218,7 +235,9 @@ def cross_entropy_difference(docs: DataFrame, target: Column, words: int | None
     if words is not None:
         known = frozenset(bytes(r.word) for r in checkpointed(word_counts(rows)).orderBy(F.desc("n"), "word").limit(words - 2).collect())
     parts = max(TOGETHER, rows.rdd.getNumPartitions())
-    counted = sent(rows, parts, known).groupBy("part").applyInPandas(answered, ANSWERED)
+    asked = sent(rows, parts, known).groupBy("part")  # both readers share its exchange
+    whole = asked.applyInPandas(sizes, ", ".join(f"{c} long" for c in SIZES)).agg(*[F.sum(c).alias(c) for c in SIZES])
+    counted = asked.applyInPandas(answered, ANSWERED).crossJoin(F.broadcast(whole))  # one row
     return counted.groupBy("block").applyInPandas(scored, "doc_id long, n_words long, ce_diff double")
 
 

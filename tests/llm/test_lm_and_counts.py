@@ -67,6 +67,18 @@ def test_vocabulary_grows_with_the_corpus(spark, monkeypatch):
         assert got[doc].n_words == n and abs(got[doc].ce_diff - diff) < 1e-4
 
 
+def test_rows_sent_grow_with_ngrams_not_with_parts(spark):
+    """Blocks send rows only to parts of which they have n-grams, and each row is read by both readers from one exchange."""
+    docs = spark.createDataFrame([(i, "a b c", bool(i % 2)) for i in range(640)], "doc_id long, text string, target boolean")
+    for blocks in (8, 64):
+        dealt = docs.repartition(blocks, "doc_id")
+        for parts in (512, 4_096):
+            assert lm_score.sent(dealt, parts, None).count() <= blocks * (7 + 1)  # begin, 3 words, 3 pairs; documents
+    scores = lm_score.cross_entropy_difference(docs.withColumnRenamed("target", "good"), F.col("good"))
+    assert len({round(r.ce_diff, 9) for r in scores.collect()}) == 2
+    assert "ReusedExchange" in scores._jdf.queryExecution().executedPlan().toString()
+
+
 def test_labelled_junk_scores_higher(spark):
     """The rule that chooses the target reads neither labels nor languages; scores rank what is labelled as of low quality."""
     big = SF.replace("sf0.001", "sf0.01")
