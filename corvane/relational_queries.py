@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from corvane.functions import text as T
 from corvane.operators import chunking, context, layers, quality, structure
 from corvane.registry import long, query, read
-from corvane.retrieval_queries import BLOCKS_SQL, LINES_SQL, STRUCTURED_SQL, sql_strip, statute_documents, structured, texts
+from corvane.retrieval_queries import BLOCKS_SQL, LINES_SQL, STRUCTURED_SQL, sql_strip, sql_truncated, statute_documents, structured, texts
 from corvane.sources import files
 
 STATUS_SQL = "CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'success' WHEN o_orderstatus = 'O' THEN 'failed' ELSE 'pending' END"
@@ -383,15 +383,19 @@ def i12(spark, sf_dir):
 # ---- context ----
 
 
-@query("w9_history_window", f"""WITH q AS (SELECT conv_id, max(turn) AS asked FROM conversations WHERE role = 'user' AND {sql_strip('text')} <> '' GROUP BY conv_id),
+HISTORY_SQL = f"""q AS (SELECT conv_id, max(turn) AS asked FROM conversations WHERE role = 'user' AND {sql_strip('text')} <> '' GROUP BY conv_id),
 l AS (SELECT c.conv_id, turn, CASE role WHEN 'user' THEN '用户：' ELSE '助手：' END || {sql_strip('text')} AS line FROM conversations c JOIN q USING (conv_id) WHERE turn < asked AND role IN ('user', 'assistant') AND {sql_strip('text')} <> ''),
-t AS (SELECT *, ceil(octet_length(encode(line)) / 2)::BIGINT AS tokens FROM l)
-SELECT conv_id, turn, line FROM (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM t) WHERE used <= 768""")
+t AS (SELECT *, ceil(octet_length(encode(line)) / 2)::BIGINT AS tokens FROM l),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM t)"""
+
+
+@query("w9_history_window", f"WITH {HISTORY_SQL} SELECT conv_id, turn, line FROM u WHERE used <= {context.HISTORY}")
 def w9(spark, sf_dir):
     return context.history_window(read(spark, sf_dir, "conversations"), whole_only=True).select("conv_id", "turn", "line")
 
 
-@query("w9_history_cut")
+@query("w9_history_cut", f"""WITH {HISTORY_SQL}, first AS (SELECT conv_id, turn, line, {context.HISTORY} - (used - tokens) AS room FROM u WHERE used > {context.HISTORY} AND used - tokens < {context.HISTORY})
+SELECT conv_id, turn, line, false AS cut FROM u WHERE used <= {context.HISTORY} UNION ALL SELECT conv_id, turn, shortened, true FROM {sql_truncated('first', 'line', 'room')} WHERE shortened <> ''""")
 def w9_cut(spark, sf_dir):
     return context.history_window(read(spark, sf_dir, "conversations"))
 

@@ -58,6 +58,25 @@ def sql_strip(x: str) -> str:
     return f"regexp_replace({x}, '^{T.WS}+|{T.WS}+$', '', 'g')"
 
 
+def sql_rstrip(x: str) -> str:
+    return f"regexp_replace({x}, '{T.WS}+$', '', 'g')"
+
+
+def sql_within(x: str, n: str) -> str:
+    """The longest prefix of at most n bytes."""
+    return f"substring({x}, 1, list_max(list_filter(range(0, greatest(0, {n}) + 1), lambda k: octet_length(encode(substring({x}, 1, k))) <= greatest(0, {n}))))"
+
+
+def sql_truncated(rows: str, text: str, tokens: str) -> str:
+    """rows, a table, with shortened: text within tokens, as T.truncated() has it."""
+    mark = -(-len(T.TRUNCATED.encode()) // 2)
+    ends = "(?s)^.*[\n" + "".join(e for e in T.NATURAL_ENDS if e.strip()) + "]"
+    return f"""(SELECT * EXCLUDE (p, e), CASE WHEN {text} IS NULL THEN NULL WHEN {text} = '' OR {tokens} <= 0 THEN '' WHEN octet_length(encode({text})) <= 2 * {tokens} THEN {text}
+      WHEN {tokens} < {mark} THEN {sql_within("'" + T.TRUNCATED + "'", f"2 * {tokens}")}
+      ELSE {sql_rstrip("CASE WHEN length(p) >= 10 AND length(e) > floor(length(p) * 0.8::DOUBLE) THEN e ELSE p END")} || '{T.TRUNCATED}' END AS shortened
+    FROM (SELECT *, regexp_extract(p, '{ends}') AS e FROM (SELECT *, {sql_within(text, f"2 * ({tokens} - {mark})")} AS p FROM {rows})))"""
+
+
 def sql_level(x: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{n}'" for n, p in T.LEVELS) + " END"
 
@@ -326,7 +345,23 @@ def c5(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.tidy("text"), 256).alias("digest"))
 
 
-@query("c2_clean_text")
+def sql_merged() -> str:
+    """merged: doc_id, i, line of whole (doc_id, text), whose broken lines are joined: each step takes a line to the one that is open."""
+    words, before = sql_strip("l[i + 1]"), sql_rstrip("cur")
+    one_of = lambda x, chars: f"contains('{chars}', {x})"
+    chinese = lambda x: f"regexp_matches({x}, '[一-鿿]')"
+    follows = f"{chinese('cur')} AND {chinese('w')} AND NOT {one_of('left(w, 1)', T.SENTENCE_ENDS + '第（(　')}"
+    return f"""steps AS (SELECT doc_id, 1::BIGINT AS i, string_split({C1_SQL}, chr(10)) AS l, string_split({C1_SQL}, chr(10))[1] AS cur, NULL::VARCHAR AS line FROM whole
+  UNION ALL SELECT doc_id, i + 1, l, CASE WHEN goes_on THEN b || w ELSE l[i + 1] END, CASE WHEN NOT goes_on THEN cur END
+  FROM (SELECT *, coalesce(w <> '' AND b <> '' AND NOT {one_of('right(b, 1)', T.SENTENCE_ENDS)} AND NOT regexp_matches(w, '{T.ENTRY_START}') AND ({one_of('right(b, 1)', T.OPEN_ENDS)} OR ({follows})), false) AS goes_on
+    FROM (SELECT *, {words} AS w, {before} AS b FROM steps WHERE i <= len(l)))),
+merged AS (SELECT doc_id, i, line FROM steps WHERE line IS NOT NULL)"""
+
+
+@query("c2_clean_text", f"""WITH RECURSIVE {BLOCKS_SQL}, whole AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY block_index) AS text FROM blocks GROUP BY doc_id),
+{sql_merged()}, s AS (SELECT doc_id, i, {sql_strip('line')} AS s FROM merged),
+t AS (SELECT doc_id, coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (WHERE s = '' OR NOT ({NOISE_SQL})), '') AS t FROM s GROUP BY doc_id)
+SELECT doc_id, sha256({sql_strip("regexp_replace(t, chr(10) || '{3,}', chr(10) || chr(10), 'g')")}) AS digest FROM t""")
 def c2(spark, sf_dir):
     return statute_documents(spark, sf_dir).select("doc_id", F.sha2(T.clean_text(F.array_join("blocks", "\n")), 256).alias("digest"))
 
@@ -427,12 +462,26 @@ def x1(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.tokens_by_chars("text").alias("by_chars"), T.tokens_by_bytes("text").alias("by_bytes"))
 
 
-@query("x3_split_long")
+#: Characters of a piece at most.
+WIDTH = int(1200 * T.CHARS_PER_TOKEN)
+
+
+def sql_cut() -> str:
+    """Where w, the next window of a long text, is cut."""
+    last = lambda mark: f"length(regexp_extract(w, '(?s)^.*{mark}'))"
+    return "CASE " + " ".join(f"WHEN {last(mark)} - 1 > {WIDTH} * 0.5 THEN {last(mark)}" for mark in T.CUT_AFTER) + f" ELSE {WIDTH} END"
+
+
+@query("x3_split_long", f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, -1::BIGINT AS piece, NULL::VARCHAR AS part, t AS rest FROM d WHERE length(t) > {WIDTH}
+  UNION ALL SELECT doc_id, piece + 1, CASE WHEN c IS NULL THEN rest ELSE {sql_strip('substring(rest, 1, c)')} END, CASE WHEN c IS NULL THEN '' ELSE {sql_strip('substring(rest, c + 1)')} END
+  FROM (SELECT *, CASE WHEN length(rest) > {WIDTH} THEN {sql_cut()} END AS c FROM (SELECT *, substring(rest, 1, {WIDTH}) AS w FROM p WHERE rest <> '')))
+SELECT doc_id, piece, length(part) AS chars FROM p WHERE piece >= 0 UNION ALL SELECT doc_id, 0, length(t) FROM d WHERE length(t) <= {WIDTH}""")
 def x3(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_long(F.coalesce("text", F.lit("")), 1200)).alias("piece", "text")).select("doc_id", long("piece").alias("piece"), F.char_length("text").cast("long").alias("chars"))
 
 
-@query("x4_truncate")
+@query("x4_truncate", f"SELECT doc_id, ceil(octet_length(encode(coalesce(shortened, ''))) / 2)::BIGINT AS tokens, ends_with(shortened, '{T.TRUNCATED}') AS cut FROM {sql_truncated('documents', 'text', '200')}")
 def x4(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.truncate("text", 200).alias("text")).select("doc_id", T.tokens_by_bytes("text").alias("tokens"), F.endswith("text", F.lit(T.TRUNCATED)).alias("cut"))
 
@@ -457,7 +506,16 @@ def x8(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", title.alias("title"), place.alias("location"))
 
 
-@query("x9_display_text")
+def sql_shown(x: str) -> str:
+    """T.display_text(): one line without control characters and paths, its first 300 characters, escaped."""
+    line = sql_strip(f"regexp_replace(regexp_replace(nfc_normalize(coalesce({x}, '')), '\\pC', ' ', 'g'), '{T.WS}+', ' ', 'g')")
+    line = rf"regexp_replace({line}, '(?i)(?:[a-z]:[\\/]|\\\\)[^ ]*', '{T.HIDDEN_PATH}', 'g')"
+    line = rf"regexp_replace({line}, '(^| )/(?:projects|home|var|tmp|opt|usr|etc)(?:/[^ ]*)?', '\1{T.HIDDEN_PATH}', 'g')"
+    line = f"(SELECT CASE WHEN length(o) > 300 THEN left(o, 299) || '…' ELSE o END FROM (SELECT {line} AS o))"
+    return rf"regexp_replace(replace(replace(replace({line}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\\[\]()*_`#!|])', '\\\1', 'g')"
+
+
+@query("x9_display_text", f"SELECT doc_id, {sql_shown('text')} AS shown FROM documents")
 def x9(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.display_text("text").alias("shown"))
 
