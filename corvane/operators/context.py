@@ -77,7 +77,8 @@ PACKED = "query_id long, evidence_no long, chunk_id string, content string, toke
 def pack_evidence(hits: DataFrame, budget: int = CONTEXT, most: int = MOST_CHUNK, least: int = LEAST_CHUNK) -> DataFrame:
     """hits (query_id, rank, chunk_id, title, location, text) to numbered evidence within budget, query by query.
 
-    A query's hits stream through a task in rank order; no query is held whole. Hits without a query id are one query's.
+    A query's hits stream through a task in rank order; no query is held whole, and of a text only the characters go there that
+    most tokens could show, and one more, which tells that it is cut. Hits without a query id are one query's.
     """
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,7 +90,7 @@ def pack_evidence(hits: DataFrame, budget: int = CONTEXT, most: int = MOST_CHUNK
                 asks = None if pd.isna(r.query_id) else int(r.query_id)
                 if asks != query:
                     query, used, no, seen = asks, 0, 0, set()
-                source = (r.text or "").strip()
+                source = r.text or ""
                 if used >= budget or r.chunk_id in seen or not source:
                     continue
                 seen.add(r.chunk_id)
@@ -98,7 +99,8 @@ def pack_evidence(hits: DataFrame, budget: int = CONTEXT, most: int = MOST_CHUNK
                     out.append((query, no, r.chunk_id, *got))
             yield pd.DataFrame(out, columns=["query_id", "evidence_no", "chunk_id", "content", "tokens", "cut"]).astype({"query_id": "Int64"})
 
-    rows = hits.select("query_id", "rank", F.col("chunk_id").cast("string"), "title", "location", "text")
+    shown = F.substring(T.strip("text"), 1, 2 * most + 1)
+    rows = hits.select("query_id", "rank", F.col("chunk_id").cast("string"), "title", "location", shown.alias("text"))
     return rows.repartition("query_id").sortWithinPartitions("query_id", "rank").mapInPandas(pack, PACKED)
 
 

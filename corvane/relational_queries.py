@@ -407,6 +407,21 @@ def w10(spark, sf_dir):
     return context.pack_evidence(hits)
 
 
+@query("w10_h5_whole_evidence", f"""WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS r
+  FROM (SELECT doc_id, doc_id % 50 AS query_id, source, lang, {sql_strip("coalesce(text, '')")} AS s FROM documents) WHERE s <> ''),
+p AS (SELECT query_id, 0::BIGINT AS r, 0::BIGINT AS no, 0::BIGINT AS used, NULL::BIGINT AS doc_id, 0::BIGINT AS tokens FROM (SELECT DISTINCT query_id FROM h)
+  UNION ALL SELECT query_id, r, no + fits::INT, used + fits::INT * cost, CASE WHEN fits THEN doc_id END, cost
+  FROM (SELECT *, octet_length(encode(s)) <= 2 * {context.MOST_CHUNK} AND cost <= {context.CONTEXT} - used AS fits
+    FROM (SELECT h.query_id, h.r, no, used, h.doc_id, s, ceil(octet_length(encode(to_json({{evidence_no: no + 1, title: coalesce(source, ''), location: coalesce(lang, ''), content: s}})::VARCHAR)) / 2)::BIGINT AS cost
+      FROM p JOIN h ON h.query_id = p.query_id AND h.r = p.r + 1)))
+SELECT query_id, no AS evidence_no, doc_id::VARCHAR AS chunk_id, tokens FROM p WHERE doc_id IS NOT NULL""")
+def w10_whole(spark, sf_dir):
+    """Only hits that fit as they are: no text can have so many tokens as a cut one must keep here."""
+    d = read(spark, sf_dir, "documents")
+    hits = d.select((F.col("doc_id") % 50).alias("query_id"), F.col("doc_id").alias("rank"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("title"), F.col("lang").alias("location"), "text")
+    return context.pack_evidence(hits, least=context.CONTEXT + 1).select("query_id", "evidence_no", "chunk_id", "tokens")
+
+
 @query("h7_routing_decisions", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'ambiguous' WHEN event_id % 3 = 1 THEN 'legal_question' ELSE 'ambiguous' END AS reason, event_id % 2 = 0 AS need_rag FROM events")
 def h7(spark, sf_dir):
     code = F.when(F.col("event_id") % 3 == 0, "odd").when(F.col("event_id") % 3 == 1, "legal_question").otherwise("ambiguous")

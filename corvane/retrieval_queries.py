@@ -366,6 +366,28 @@ def c2(spark, sf_dir):
     return statute_documents(spark, sf_dir).select("doc_id", F.sha2(T.clean_text(F.array_join("blocks", "\n")), 256).alias("digest"))
 
 
+#: Texts broken as parsers break them: after commas, within phrases, and where sentences end.
+BROKEN = ((", ", "，\n"), ("s ", "法\n 令 "), (". ", "。\n"))
+
+
+def sql_broken(x: str) -> str:
+    for what, by in BROKEN:
+        x = f"replace({x}, '{what}', '{by}')"
+    return x
+
+
+@query("c3_w4_merged_lines", f"""WITH RECURSIVE whole AS (SELECT doc_id, {sql_broken("coalesce(text, '')")} AS text FROM documents), {sql_merged()},
+n AS (SELECT doc_id, len(string_split({C1_SQL}, chr(10))) AS n_broken FROM whole)
+SELECT doc_id, any_value(n_broken) AS n_broken, count(*) AS n_lines, sha256(string_agg(line, chr(10) ORDER BY i)) AS digest FROM merged JOIN n USING (doc_id) GROUP BY doc_id""")
+def c3(spark, sf_dir):
+    broken = F.coalesce("text", F.lit(""))
+    for what, by in BROKEN:
+        broken = F.replace(broken, F.lit(what), F.lit(by))
+    rows = texts(spark, sf_dir).select("doc_id", T.normalize_spaces(broken).alias("text")).withColumn("merged", T.merge_broken_lines("text"))
+    lines = lambda c: long(F.size(F.split(c, "\n")))
+    return rows.select("doc_id", lines("text").alias("n_broken"), lines("merged").alias("n_lines"), F.sha2("merged", 256).alias("digest"))
+
+
 @query("c4_clean_blocks", f"WITH {BLOCKS_SQL}, s AS (SELECT doc_id, block_index, text, {sql_strip(C1_SQL)} AS s FROM blocks) SELECT doc_id, block_index, sha256(CASE WHEN s = '' OR {NOISE_SQL} THEN text ELSE s END) AS digest FROM s")
 def c4(spark, sf_dir):
     return statute_blocks(spark, sf_dir).select("doc_id", "block_index", F.sha2(T.clean_block("text"), 256).alias("digest"))

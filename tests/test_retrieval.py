@@ -158,6 +158,24 @@ def test_evidence_fits_its_budget(spark):
         assert all(r.tokens == -(-len(context.evidence(r.evidence_no, "t", "l", r.content).encode()) // 2) for r in own)
 
 
+def test_evidence_of_texts_about_as_long_as_can_be_shown(spark):
+    """What leaves for the tasks is narrowed, the answer is that of whole texts: lengths around the bound, spaces there, wide letters."""
+    most, least, budget = 40, 5, 400
+    texts = [" " + mark * (n // len(mark.encode())) + end for mark in ("a", "句") for n in (78, 79, 80, 81, 82, 90) for end in ("", " ", "   x", ". and more")]
+    rows = [(i % 3, i, f"c{i}", None if i % 5 == 0 else "t", "l", None if i % 7 == 6 else t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "query_id long, rank long, chunk_id string, title string, location string, text string")
+    got = {(r.query_id, r.evidence_no): (r.chunk_id, r.content, r.tokens, r.cut) for r in context.pack_evidence(df, budget, most, least).collect()}
+    expected = {}
+    for q in range(3):
+        used = no = 0
+        for _, _, chunk, title, location, text in (r for r in rows if r[0] == q):
+            source = (text or "").strip()
+            if source and used < budget and (fits := context.fit(no + 1, title or "", location, source, budget - used, most, least)):
+                no, used = no + 1, used + fits[1]
+                expected[q, no] = chunk, *fits
+    assert got == expected and {x[3] for x in got.values()} == {True, False}
+
+
 def test_references(spark):
     rows = [(1, 1, "A\\x.DOCX", "d", "n", "p1"), (1, 2, "a/./X.docx", "d", "n", "p2"), (1, 3, "A/x.docx", "d", "n", "p1"), (1, 4, "", "D", "m", "")]
     df = spark.createDataFrame(rows, "query_id long, evidence_no long, path string, doc_id string, name string, location string")
