@@ -1,4 +1,5 @@
 import json
+import random
 import zipfile
 
 import pytest
@@ -39,6 +40,15 @@ def test_page_quality(spark):
     assert {r.doc_id: r.failed for r in quality.failed_documents(pages).collect()} == {1: True, 2: False}
 
 
+def test_page_quality_does_not_depend_on_the_order_of_lines(spark):
+    few = random.Random(6)
+    some = [[100 - x if i % 2 else x + 20 for x in few.choices(range(21, 60), k=9) for i in (0, 1)] for _ in range(300)]  # pairs that make 1.20 together
+    lines = spark.createDataFrame([(i, 1, "x" * 30, c / 100) for i, n in enumerate(some) for c in few.sample(n, len(n))], "doc_id long, page long, text string, confidence double")
+    assert {r.quality for r in quality.page_quality(lines).collect()} == {"warning"}  # all means are 0.60, which is not below it
+    odd = spark.createDataFrame([(1, 1, "x" * 30, float("nan")), (1, 1, "x" * 30, 0.5)], lines.schema)
+    assert [r["mean"] != r["mean"] for r in quality.page_quality(odd).collect()] == [True]
+
+
 def test_consistency(spark):
     chunks = spark.createDataFrame([("a", 0, "success"), ("b", None, "failed")], "chunk_id string, vector_id long, status string")
     good = spark.createDataFrame([("a", 0)], "chunk_id string, vector_id long")
