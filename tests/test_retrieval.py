@@ -242,3 +242,14 @@ def test_hits_without_a_query_are_one_query(spark):
     got = context.pack_evidence(spark.createDataFrame(rows, "query_id long, rank long, chunk_id string, title string, location string, text string")).collect()
     assert sorted((r.query_id is None, r.query_id, r.evidence_no, r.chunk_id) for r in got if r.query_id is None) == [(True, None, i + 1, f"c{i}") for i in range(4)]
     assert [(r.query_id, r.evidence_no, r.chunk_id) for r in got if r.query_id is not None] == [(0, 1, "z")]
+
+
+def test_texts_are_counted_within_their_rows(spark):
+    chunks = spark.createDataFrame([(0, 1, "b a b", "Á"), (0, 2, None, ""), (1, 1, "b", None), (0, 1, "b c", None), (0, None, "x", None), (0, None, "x y", None)], "layer long, id long, text string, more string")
+    plan = postings.counted_tokens(chunks, "id", ["text", "more"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan  # a task holds no more than a row
+    index = postings.write_index(chunks, "id", ["text", "more"])
+    assert {(r.layer, r.id, r.token): r.tf for r in index.table("postings").collect()} == {(0, 1, "b"): 3, (0, 1, "a"): 2, (0, 1, "c"): 1, (1, 1, "b"): 1, (0, None, "x"): 2, (0, None, "y"): 1}
+    assert {(r.layer, r.id): r.doc_len for r in index.table("chunks").collect()} == {(0, 1): 6, (0, 2): 0, (1, 1): 1, (0, None): 3}
+    assert {r.token for r in index.table("tokens").collect()} == {"a", "b", "c", "x", "y"}
+    index.drop()
