@@ -83,3 +83,10 @@ def test_evidence_holds_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["x12_evidence_json_whole"](spark, str(tmp_path)).collect()
     assert {r.doc_id: json.loads(r.evidence) for r in got} == {i: {"evidence_no": i, "title": "a", "location": "en", "content": t} for i, t, *_ in rows}
+
+
+def test_few_values_of_a_batch_are_pythons_at_once(spark, monkeypatch):
+    monkeypatch.setattr(T, "TOGETHER", 3)
+    rows = spark.range(0, 100, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("t"))
+    got = rows.select("id", T.mapped("t", lambda t: t + "!").alias("a"), T.mapped("t", lambda t: [t, t], "array<string>").alias("b")).collect()
+    assert {(r.id, r.a, tuple(r.b or [])) for r in got} == {(i, f"{i}!" if i % 7 else None, (str(i),) * 2 if i % 7 else ()) for i in range(100)}
