@@ -90,3 +90,10 @@ def test_few_values_of_a_batch_are_pythons_at_once(spark, monkeypatch):
     rows = spark.range(0, 100, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("t"))
     got = rows.select("id", T.mapped("t", lambda t: t + "!").alias("a"), T.mapped("t", lambda t: [t, t], "array<string>").alias("b")).collect()
     assert {(r.id, r.a, tuple(r.b or [])) for r in got} == {(i, f"{i}!" if i % 7 else None, (str(i),) * 2 if i % 7 else ()) for i in range(100)}
+
+
+def test_lines_are_stripped_once(spark):
+    from corvane.retrieval_queries import f6
+
+    plan = f6(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1  # not again for each rule of a filter above the split
