@@ -14,6 +14,8 @@ from corvane.operators.storage import kept
 #: Clusters at most, vectors for each of them that centres are drawn from, rounds that move centres, rows of a file. They decide
 #: on what can be skipped, not on what is found.
 MOST_CLUSTERS, DRAWN, ROUNDS, FILE_ROWS = 2_048, 20, 4, 100_000
+#: Products of queries and vectors that a task holds at once.
+SCORES = 1 << 20
 #: What rounding may add to a bound, as a share of the numbers that it is made of.
 SLACK = 1e-9
 
@@ -127,11 +129,15 @@ class VectorStore:
             for batch in batches:
                 own, values, cluster = batch.column(0).to_numpy(), matrix(batch.column(1)), batch.column(2).to_numpy()
                 for c in np.unique(cluster).tolist():
-                    rows, some = np.flatnonzero(cluster == c), wanted[c]
-                    scores = q[some] @ values[rows].T
-                    at, of = np.divmod(np.arange(scores.size), len(rows))
-                    top = tuple(map(np.concatenate, zip(top, (some[at], own[rows][of], scores.ravel()), strict=True)))
-                    top = k_best(*top, k)
+                    rows = np.flatnonzero(cluster == c)
+                    found, step = [top], max(1, SCORES // len(rows))
+                    for begin in range(0, len(wanted[c]), step):
+                        some = wanted[c][begin : begin + step]
+                        scores = q[some] @ values[rows].T
+                        least = np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(some), -np.inf)
+                        at, of = np.nonzero(scores >= least[:, None])
+                        found.append(k_best(some[at], own[rows][of], scores[at, of], k))
+                    top = k_best(*map(np.concatenate, zip(*found, strict=True)), k)
             yield pa.RecordBatch.from_arrays([pa.array(ids[top[0]]), pa.array(top[1]), pa.array(top[2])], names=["query_id", id_col, "score"])
 
         read = self.vectors().filter(F.col("cluster").isin(list(wanted)))

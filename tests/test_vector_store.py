@@ -45,3 +45,10 @@ def test_empty(spark, tmp_path):
     none = spark.createDataFrame([], SCHEMA)
     store = VectorStore(spark, str(tmp_path / "v")).write(none)
     assert store.search(none, 3)[0].collect() == [] and store.vectors().collect() == []
+
+
+def test_few_products_are_held_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "SCORES", 16)
+    rows = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(200)], SCHEMA)
+    got, _ = VectorStore(spark, str(tmp_path / "v")).write(rows, 4).search(rows, 7)
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got.collect()} == {(r.query_id, r.vec_id, r["rank"]) for r in knn(rows, rows, 7).collect()}
