@@ -61,10 +61,19 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(F.col("length") <= most)
     small = whole.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("error"))
     large = listing(spark, folder).filter(F.col("length") > most)
-    found = small.unionByName(large.repartition("path").mapInPandas(hashed, SCANNED))
+    found = small.unionByName(one_each(large).mapInPandas(hashed, SCANNED))
     return found.select("path", "length", "modificationTime", "sha256", suffix(F.col("path")).alias("suffix"), is_word_file(F.col("path")).alias("is_word"), "error")
 
 
+def one_each(files: DataFrame) -> DataFrame:
+    """files (path, ...), each in a task of its own up to MOST_TASKS. Dealt by path alone they would come together in one task, as
+    Spark joins partitions by the bytes of their rows, which are names here."""
+    return files.repartitionByRange(max(1, min(MOST_TASKS, files.count())), "path")
+
+
+#: Tasks that files are dealt to at most.
+MOST_TASKS = 10_000
+
 SCANNED = "path string, length long, modificationTime timestamp, sha256 string, error string"
 COPIED = "path string, target string, length long, sha256 string, error string"
 #: Bytes that are read at once.
@@ -144,7 +153,7 @@ def copied(files: DataFrame, root: str, target: str) -> DataFrame:
             raise
         return digest
 
-    return files.select("path", "length", F.col("modificationTime")).repartition("path").mapInPandas(copy, COPIED)
+    return one_each(files.select("path", "length", "modificationTime")).mapInPandas(copy, COPIED)
 
 
 class CopyError(RuntimeError):

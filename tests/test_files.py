@@ -100,3 +100,11 @@ def test_footers_tell_without_a_scan(spark, tmp_path):
     spark.range(10).filter("id < 0").write.mode("overwrite").parquet(other)
     empty = quality.quick_consistency(spark, other, "id", other, "id").first()
     assert empty.consistent and empty.vector_n == 0 and empty.vector_high is None
+
+
+def test_each_long_file_has_a_task(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"{i}.txt").write_bytes(b"x" * (i + 1))
+    dealt = files.one_each(files.listing(spark, str(tmp_path)))
+    of_task = dealt.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert [r["count"] for r in of_task] == [1] * 12
