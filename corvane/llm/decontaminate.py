@@ -10,7 +10,7 @@ overlapping occurrences are merged into removal spans. Documents are never shuff
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import chain
 
@@ -130,13 +130,15 @@ def merged(hit: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
 
 
-def search_shard(texts: list[list[bytes]], windows: Windows) -> list[tuple[np.ndarray, list[str]]]:
-    """For each document the merged spans of hit words and the items with a window in it."""
-    out = [(np.zeros(0, dtype=np.int64), [])] * len(texts)
+def search_shard(texts: Iterable[list[bytes]], windows: Windows) -> list[tuple[np.ndarray, list[str]]]:
+    """For each document the merged spans of hit words and the items with a window in it. texts are read once, and no more than
+    one document's words are held."""
     get = windows.vocabulary.get
     # one id more, 0, after each document, so that no window goes across
-    ids = np.array([i for words in texts for i in (*(get(w, 0) for w in words), 0)], dtype=np.int64)
-    start = np.concatenate([[0], np.cumsum([len(w) + 1 for w in texts])])
+    coded = [np.fromiter(chain((get(w, 0) for w in words), (0,)), dtype=np.int32, count=len(words) + 1) for words in texts]
+    out = [(np.zeros(0, dtype=np.int64), [])] * len(coded)
+    start = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+    ids = np.concatenate(coded).astype(np.int64) if coded else np.zeros(0, dtype=np.int64)
     if not windows.shortest:
         return out
     text, at = known_runs(ids, windows.shortest)
@@ -179,12 +181,18 @@ def with_hits(docs: DataFrame, windows: Windows) -> DataFrame:
     """docs with COLUMNS: word count, hit words, spans (begin and end of each, one after the other, in words), items found."""
     text = docs.columns.index("text")
 
+    def counted(column: pa.Array, sizes: list[int]) -> Iterator[list[bytes]]:
+        for t in column:
+            words = words_of(t.as_py())
+            sizes.append(len(words))
+            yield words
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "text", SHARD_BYTES):
-            texts = [words_of(t.as_py()) for t in batch.column(text)]
-            found = search_shard(texts, windows)
+            sizes: list[int] = []
+            found = search_shard(counted(batch.column(text), sizes), windows)
             spans = [s.tolist() for s, _ in found]
-            new = [pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(s[1::2]) - sum(s[::2]) for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([i for _, i in found], pa.list_(pa.string()))]
+            new = [pa.array(sizes, pa.int64()), pa.array([sum(s[1::2]) - sum(s[::2]) for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([i for _, i in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *COLUMNS])
 
     return docs.mapInArrow(scan, StructType([*docs.schema.fields, *StructType.fromDDL(TYPES).fields]))

@@ -121,3 +121,9 @@ def test_index_counts_and_places():
 def test_removal():
     assert D.strip_spans("a, b c. d", [1, 3]) == "a, . d"
     assert D.strip_spans(None, [0, 1]) is None and D.union_spans([[0, 2, 5, 6], [2, 4]]) == [0, 4, 5, 6]
+
+
+def test_a_shard_is_read_document_by_document():
+    windows = D.Windows([("a", "one two three")], 2)
+    texts = [b"x one two".split(), [], b"three one two three".split()]
+    assert [(s.tolist(), items) for s, items in D.search_shard(iter(texts), windows)] == [([1, 3], ["a"]), ([], []), ([1, 4], ["a"])]
