@@ -56,8 +56,8 @@ def k3_layers(spark, sf_dir):
     store = library(spark, sf_dir)
     manifest = store.current()
     found = postings.bm25(ingest.search_index(store, manifest), asked(spark, TERMS), "strict_groups")
-    keys = ingest.living(store, manifest, "chunks").select("chunk_id", "doc_id").join(ingest.living(store, manifest).select("doc_id", "key"), "doc_id")
-    return found.join(keys, "chunk_id").select("layer", F.col("key").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+    keys = ingest.all_rows(store, manifest, "documents").select("layer", "doc_id", "key")  # a living chunk's document is in its layer
+    return found.join(keys, ["layer", "doc_id"]).select("layer", F.col("key").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("i9_i10_enrichment", "SELECT vec_id, len(embedding)::INTEGER AS dim, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last FROM embeddings")

@@ -63,6 +63,19 @@ def assign_ids(rows: DataFrame, first: int, order: list[str], bucket_rows: int =
     return rows.join(F.broadcast(sizes), "_part").withColumn("vector_id", F.col("_before") + F.col("_at") + first).drop("_part", "_at", "_before")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """rows with _part and _at, their places in the files that they are about to be written to."""
+    return rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33))
+
+
+def ids_by_place(stored: DataFrame, first: int) -> DataFrame:
+    """stored, as placed() gave it and as it was written, with vector_id from first on, without gaps, in order of places. Only the
+    sizes of parts are added up and sent, so rows of any width stay where they are."""
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each part
+    sizes = kept(stored.groupBy("_part").count()).withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    return stored.join(F.broadcast(sizes), "_part").withColumn("vector_id", F.col("_before") + F.col("_at") + first).drop("_part", "_at", "_before")
+
+
 def tombstones_for(updated: DataFrame, versions: DataFrame, chunks: DataFrame) -> DataFrame:
     """entity_type, entity_id for the old version, chunks and vectors of updated documents (doc_id)."""
     docs = updated.select("doc_id").distinct()

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corvane.functions import ids, text as T
 from corvane.operators import chunking, postings, structure
 from corvane.operators.address import address
-from corvane.operators.layers import assign_ids, classify, newest
+from corvane.operators.layers import classify, ids_by_place, newest, placed
 from corvane.operators.storage import kept
 from corvane.plans.manifest import Layer, Manifest, ManifestStore
 from corvane.sources import files
@@ -72,30 +72,35 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
 
 
 def write_layer(store: ManifestStore, path: str, docs: DataFrame, dead: DataFrame, first_vector: int, chunker: Chunker, embed: Embedder | None) -> tuple[str, int]:
-    """The layer's content address and the next vector id. docs as versioned(); those that give no chunk are failures."""
+    """The layer's content address and the next vector id. docs as versioned(), a row for each doc_id; those that give no chunk are
+    failures. Texts are written as chunks and as documents and are neither sorted nor dealt here; docs is read several times."""
     spark, folder = store.spark, f"{store.root}/{path}"
-    write = lambda df, name: df.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.mode("overwrite").parquet(f"{folder}/{name}")
+    write = lambda df, name: df.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
     read = lambda name: spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}")
     found = chunker(docs.select("doc_id", "text"))
-    found.withColumn("chunk_id", ids.chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("text"))).write.mode("overwrite").parquet(f"{folder}/cut")
-    cut = spark.read.parquet(f"{folder}/cut")
-    numbered = assign_ids(cut.select("doc_id", "chunk_index"), first_vector, ["doc_id", "chunk_index"])  # ids alone are ranged and kept
-    write(cut.join(numbered, ["doc_id", "chunk_index"]), "chunks")
+    placed(found.withColumn("chunk_id", ids.chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("text")))).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/cut")
+    write(ids_by_place(spark.read.parquet(f"{folder}/cut"), first_vector), "chunks")
     postings.remove(spark, f"{folder}/cut")
     chunks = read("chunks")
-    good = docs.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi")
-    write(good, "documents")
     blank = T.strip(F.coalesce("text", F.lit(""))) == ""
-    write(docs.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("error", F.when(blank, "EMPTY_TEXT").otherwise("NO_CHUNKS")), "failures")
+    told = docs.select("key", "doc_id", F.when(blank, "EMPTY_TEXT").otherwise("NO_CHUNKS").alias("error"))
+    write(told.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti"), "failures")
+    failed = read("failures").select("doc_id")
+    write(docs.join(few(failed), "doc_id", "left_anti"), "documents")
     vectors = empty(spark, "vectors") if embed is None else embed(chunks.select("chunk_id", "text")).join(chunks.select("chunk_id", "vector_id"), "chunk_id")
     write(vectors, "vectors")
     postings.remove(spark, f"{folder}/index")  # of an attempt that did not come to its end
-    postings.write_index(chunks.select(F.lit(0).cast("long").alias("layer"), "chunk_id", "text"), "chunk_id", ["text"], f"{folder}/index")
-    write(dead.join(good.select("doc_id"), "doc_id", "left_semi") if "doc_id" in dead.columns else dead, "tombstones")
+    postings.write_index(chunks.select(F.lit(0).cast("long").alias("layer"), "vector_id", "text"), "vector_id", ["text"], f"{folder}/index")
+    write(dead.join(few(failed), "doc_id", "left_anti") if "doc_id" in dead.columns else dead, "tombstones")
     following = chunks.agg(F.max("vector_id")).first()[0]
     return layer_address(store, path), first_vector if following is None else following + 1
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """rows, stored ones of few columns, to be sent whole where they are few."""
+    return F.broadcast(rows) if rows.count() <= postings.MOST_BROADCAST else rows
+
+
 def layer_address(store: ManifestStore, path: str) -> str:
     """Merkle roots of all tables of a layer as one digest."""
     roots = [f"{name}:{address(store.spark.read.schema(schema).parquet(f'{store.root}/{path}/{name}'))}" for name, schema in sorted(TABLES.items())]
@@ -115,16 +120,30 @@ def ingest_batch(store: ManifestStore, batch: DataFrame, name: str, chunker: Chu
     manifest = store.current()
     if any(x.layer_id == name for x in manifest.deltas):
         return manifest
-    every = newest(versioned(batch), "key", [F.asc("version_id")])
-    incoming = kept(every.drop("text"))
+    every = versioned(batch)
+    incoming = kept(every.groupBy("key").agg(F.min(F.struct("version_id", "digest", "doc_id")).alias("v"), F.count("*").alias("rows")).select("key", "v.*", "rows"))
     # only what the batch may replace is met: rows of its keys, without their texts
     known = kept(living(store, manifest).select("key", "digest", "doc_id", "version_id").join(incoming.select("key"), "key", "left_semi"))
     taken = kept(classify(incoming.select("key", "digest"), known.select("key", "digest")).filter("action <> 'DUPLICATE_UNCHANGED'").select("key", "action"))
     updated = known.join(taken.filter("action = 'UPDATE'"), "key", "left_semi").select("doc_id")
-    digest, following = write_layer(store, name, every.join(taken.select("key"), "key", "left_semi"), dead_of(store, manifest, updated), manifest.next_vector_id, chunker, embed)
+    docs = texts_of(every, incoming, taken, f"{store.root}/{name}/taken")
+    digest, following = write_layer(store, name, docs, dead_of(store, manifest, updated), manifest.next_vector_id, chunker, embed)
+    postings.remove(store.spark, f"{store.root}/{name}/taken")
     return store.publish(Manifest(manifest.revision + 1, manifest.base, (*manifest.deltas, Layer(name, name, digest)), following), manifest.revision)
 
 
+def texts_of(every: DataFrame, incoming: DataFrame, taken: DataFrame, folder: str) -> DataFrame:
+    """One row of every for each key of taken, of the version that counts. Keys that are left out and those of several rows are
+    mostly few: then the other texts stay where they are. Else texts meet the keys once, and the result is stored in folder."""
+    left = kept(incoming.select("key").join(taken.select("key"), "key", "left_anti"))
+    several = kept(incoming.filter("rows > 1").select("key").join(taken.select("key"), "key", "left_semi"))
+    if left.count() + several.count() <= postings.MOST_BROADCAST:
+        plain = every.filter("key is not null").join(F.broadcast(left.unionByName(several)), "key", "left_anti")
+        return plain.unionByName(newest(every.join(F.broadcast(several), "key", "left_semi"), "key", [F.asc("version_id")]))
+    newest(every.join(taken.select("key"), "key", "left_semi"), "key", [F.asc("version_id")]).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return every.sparkSession.read.schema(TABLES["documents"]).parquet(folder)
+
+
 def delete(store: ManifestStore, keys: DataFrame, name: str) -> Manifest:
     """A delta that takes the documents of keys (key) away and brings none."""
     manifest = store.current()
@@ -168,9 +187,12 @@ def living(store: ManifestStore, manifest: Manifest, table: str = "documents") -
 
 
 def search_index(store: ManifestStore, manifest: Manifest) -> postings.LayeredIndex:
-    """The segments of all layers as one index of living chunks."""
-    dead = tombstones(store, manifest).filter("entity_type = 'chunk'").select(F.col("entity_id").alias("chunk_id"), "layer")
-    return postings.LayeredIndex([postings.Index(store.spark, f"{store.root}/{x.path}/index", "chunk_id") for x in manifest.layers], dead)
+    """The segments of all layers as one index of living chunks. Its postings know chunks by their vector ids; what is found has
+    chunk_id and doc_id."""
+    chunks = all_rows(store, manifest, "chunks").select("layer", "vector_id", "chunk_id", "doc_id")
+    dead = tombstones(store, manifest).filter("entity_type = 'chunk'").select(F.col("entity_id").alias("chunk_id"), F.col("layer").alias("by"))
+    dead = chunks.join(dead, "chunk_id").filter("by > layer").groupBy("vector_id").agg(F.max("by").alias("layer"))
+    return postings.LayeredIndex([postings.Index(store.spark, f"{store.root}/{x.path}/index", "vector_id") for x in manifest.layers], dead, chunks)
 
 
 def compact(store: ManifestStore, name: str) -> Manifest:

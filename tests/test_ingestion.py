@@ -201,3 +201,24 @@ def test_delays_and_wrong_answers():
     for wrong in ([(0, [1.0]), (0, [1.0])], [(1, [1.0]), (0, [1.0, 2.0])], []):
         with pytest.raises(enrichment.ServiceAnswerError):
             enrichment.answered(lambda _, w=wrong: w, ["a", "b"], 1, 1, 0)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_texts_of_a_batch_stay_where_they_are(spark, tmp_path, monkeypatch, most):
+    """Unchanged keys, keys of several rows, failures: the same layer whether texts meet keys by a shuffle or not. Postings know chunks by number."""
+    monkeypatch.setattr(postings, "MOST_BROADCAST", most)
+    plans = []
+    real = ingest.write_layer
+    monkeypatch.setattr(ingest, "write_layer", lambda store, path, docs, *more: plans.append(docs._jdf.queryExecution().executedPlan().toString()) or real(store, path, docs, *more))
+    own = ingest.initialise(spark, str(tmp_path / "kb"), spark.createDataFrame([(k, f"text of {k}") for k in "abcd"], ROWS), ingest.whole_texts, vectors_of)
+    put(own, spark, "one", [("a", "text of a"), ("b", "more of b"), ("e", "text of e"), ("e", "text of e"), ("f", " "), (None, "x")])
+    assert told(own) == {"a": "text of a", "b": "more of b", "c": "text of c", "d": "text of d", "e": "text of e"}
+    assert ("SortMergeJoin" in plans[1] or "ShuffledHashJoin" in plans[1]) is False
+    assert sorted(r.vector_id for r in ingest.all_rows(own, own.current(), "chunks").collect()) == list(range(6)) and own.current().next_vector_id == 6
+    assert [r.key for r in ingest.all_rows(own, own.current(), "failures").collect()] == ["f"]
+    for terms in (["text"], ["of", "more"]):
+        want = brute(own, terms, False)
+        got = searched(own, spark, terms, False)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert set(spark.read.parquet(f"{own.root}/one/index/postings").columns) == {"layer", "vector_id", "token", "tf"}
+    assert not os.path.exists(f"{own.root}/one/taken") and not os.path.exists(f"{own.root}/one/cut")
