@@ -253,3 +253,38 @@ def test_texts_are_counted_within_their_rows(spark):
     assert {(r.layer, r.id): r.doc_len for r in index.table("chunks").collect()} == {(0, 1): 6, (0, 2): 0, (1, 1): 1, (0, None): 3}
     assert {r.token for r in index.table("tokens").collect()} == {"a", "b", "c", "x", "y"}
     index.drop()
+
+
+@pytest.mark.parametrize("together", [400, 1_000_000])
+def test_many_terms_are_searched_without_a_shuffle(spark, monkeypatch, together):
+    """The forward table gives what all scores give, over layers and blocks, with ties, and no row is made of a match."""
+    monkeypatch.setattr(postings, "POSTINGS_TOGETHER", together)
+    monkeypatch.setattr(postings, "FEW_TERMS", 0)
+    pick = random.Random(together)
+    words = ["the", "then", "sky", "blue", "blues", "rare", "Ölwerk", "x1", "更新"]
+    chunks = [(i, i % 3, " ".join(pick.choices(words, [20, 5, 5, 4, 2, 0.1, 1, 1, 1], k=pick.randint(1, 9)))) for i in range(600)] + [(900, 3, None), (7, 1, "then blue")]
+    index = postings.write_index(spark.createDataFrame(chunks, "id long, layer long, text string"), "id", ["text"])
+    asks = [(q, [pick.choices(words + ["bl", "th", "none"], k=pick.randint(1, 3)) for _ in range(pick.randint(1, 3))], pick.choice([None, [pick.choices(words, k=2)]])) for q in range(20)]
+    questions = spark.createDataFrame([*asks, (99, None, None)], GROUPS)
+    strict = {(r.query_id, r.layer, r.id): r.score for r in postings.bm25(index, questions, "strict_groups", True).collect()}
+    loose = {(r.query_id, r.layer, r.id): r.score for r in postings.bm25(index, questions.filter("relaxed_groups is not null"), "relaxed_groups", False).collect()}
+    answered, want = {key[:2] for key in strict}, {}
+    for (q, layer, i), score in [*strict.items(), *(x for x in loose.items() if x[0][:2] not in answered)]:
+        want.setdefault((q, layer), []).append((score, i))
+    made = []
+    real = postings.best_of_forward
+    monkeypatch.setattr(postings, "best_of_forward", lambda *a: made.append(real(*a)) or made[-1])
+    got = {}
+    for r in postings.keyword_search(index, questions, 5).collect():
+        got.setdefault((r.query_id, r.layer), []).append((r.rank, r.score, r.id))
+    assert {k: [x[1:] for x in sorted(v)] for k, v in got.items()} == {k: sorted(v)[:5] for k, v in want.items()}
+    assert "Exchange" not in made[0]._jdf.queryExecution().executedPlan().toString()
+    index.drop()
+
+
+def test_tasks_of_the_index_grow_with_its_postings(spark, monkeypatch):
+    monkeypatch.setattr(postings, "POSTINGS_TOGETHER", 1_000)
+    index = postings.write_index(spark.range(3_000).selectExpr("id", "concat('w', id, ' a b c') text", "0L layer"), "id", ["text"])
+    files = {r[0] for r in index.table("postings").select("_metadata.file_path").distinct().collect()}
+    assert len(files) >= 10 and index.size() == 12_000 and index.table("forward").count() == 3_000
+    index.drop()
