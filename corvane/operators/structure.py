@@ -21,7 +21,7 @@ def section_paths(blocks: DataFrame, doc: str = "doc_id", index: str = "block_in
     A heading opens a group; the path is the group's part, chapter and section. A chapter takes off what says 章 or 节, a
     section what says 节, titles included. An article holds until the next heading.
     """
-    b = blocks.withColumn("law_level", T.level(text)).withColumn("_t", T.strip(text))
+    b = blocks.withColumn("_t", T.strip(text)).withColumn("law_level", T.level("_t"))
     level, by = F.col("law_level"), in_order(doc, index)
     part, chapter, section, article = (level == name for name in ("编", "章", "节", "条"))
 

@@ -97,3 +97,12 @@ def test_lines_are_stripped_once(spark):
 
     plan = f6(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 1  # not again for each rule of a filter above the split
+
+
+def test_strip_takes_all_white_space_and_looks_at_the_ends_alone(spark):
+    white = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [None, "", "​ a​", "\x1ba\x1b", "  a \n b  ", *white, *(f"{w}{w}a{w}b　{w}" for w in white)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.strip("t").alias("s"), F.regexp_replace("t", f"^{T.WS}+|{T.WS}+$", "").alias("r"))
+    got = df.collect()
+    assert [(r.s, r.r) for r in got] == [(t if t is None else t.strip(),) * 2 for t in texts]
+    assert "regexp_replace" not in df.select("s")._jdf.queryExecution().executedPlan().toString()
