@@ -68,13 +68,14 @@ pages_q AS (SELECT *, CASE WHEN mean < 0.60 OR chars = 0 THEN 'severe' WHEN mean
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("l_quantity")
-    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_partkey") % 40).alias("page"), F.when(q < 6, "").otherwise(F.repeat(F.lit("x"), q.cast("int"))).alias("text"), ((q + 40) / 100).alias("confidence"))
+    """Lines and their place in the table, whose rows no key puts in order."""
+    q, place = F.col("l_quantity"), F.struct("_metadata.file_path", "_metadata.row_index")
+    return read(spark, sf_dir, "lineitem").select(place.alias("place"), F.col("l_suppkey").alias("doc_id"), (F.col("l_partkey") % 40).alias("page"), F.when(q < 6, "").otherwise(F.repeat(F.lit("x"), q.cast("int"))).alias("text"), ((q + 40) / 100).alias("confidence"))
 
 
 @query("s10_page_quality", f"WITH {PAGES_SQL} SELECT doc_id, page, chars::BIGINT AS chars, round(mean, 6) AS mean, quality FROM pages_q")
 def s10(spark, sf_dir):
-    return quality.page_quality(page_lines(spark, sf_dir)).select("doc_id", "page", "chars", F.round("mean", 6).alias("mean"), "quality")
+    return quality.page_quality(page_lines(spark, sf_dir), "place").select("doc_id", "page", "chars", F.round("mean", 6).alias("mean"), "quality")
 
 
 @query("s11_failed_documents", f"""WITH {PAGES_SQL}, r AS (SELECT *, row_number() OVER w - sum((quality = 'severe')::INT) OVER w AS run FROM pages_q WINDOW w AS (PARTITION BY doc_id ORDER BY page)),

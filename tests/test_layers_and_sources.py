@@ -2,11 +2,13 @@ import json
 import random
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import layers, quality
 from corvane.plans.manifest import Layer, Manifest, ManifestConflict
+from corvane.queries import QUERIES, SQL
 from corvane.sources import files, records
 from corvane.streaming import ingest
 
@@ -49,6 +51,40 @@ def test_page_quality_does_not_depend_on_the_order_of_lines(spark):
     assert [r["mean"] != r["mean"] for r in quality.page_quality(odd).collect()] == [True]
 
 
+def test_page_means_are_added_in_the_order_of_lines(spark):
+    some = [0.46, 0.74, 0.74, 0.46, 0.55, 0.65, 0.6, 0.59, 0.61] * 5
+    lines = [(0, i, c) for i, c in enumerate(some)] + [(1, i, c) for i, c in enumerate(reversed(some))]
+    lines += [(d, i, c) for d in range(2, 200) for i, c in enumerate(random.Random(d).sample(some, len(some)))]
+    lines = spark.createDataFrame(random.Random(0).sample(lines, len(lines)), "doc_id long, line long, confidence double").selectExpr("*", "1L page", "repeat('x', 30) text").repartition(7)
+    got = {r.doc_id: (r["mean"], r.quality) for r in quality.page_quality(lines, "line").collect()}
+    for d, (mean, found) in got.items():
+        added = 0.0
+        for c in some if d == 0 else reversed(some) if d == 1 else random.Random(d).sample(some, len(some)):
+            added += c
+        assert (mean, found) == (added / len(some), "severe" if added / len(some) < 0.60 else "warning")
+    assert {found for _, found in got.values()} == {"severe", "warning"}  # means of 0.60, some of which doubles put below it
+
+
+def test_lines_without_confidence_count_for_no_share(spark):
+    lines = spark.createDataFrame([(1, 1, "x" * 30, c) for c in (0.75, 0.95, 0.95, None, None)] + [(2, 1, "x" * 30, None)], "doc_id long, page long, text string, confidence double")
+    for pages in (quality.page_quality(lines), quality.page_quality(lines.selectExpr("*", "coalesce(confidence, 0) o"), "o")):
+        assert [(r["mean"], r.low, r.quality) for r in pages.orderBy("doc_id").collect()] == [((0.75 + 0.95 + 0.95) / 3, 1 / 3, "warning"), (None, None, "ok")]
+
+
+@pytest.mark.parametrize("name", ["s10_page_quality"])
+@pytest.mark.parametrize("n_files", [1, 7])
+def test_pages_are_those_of_the_sql(spark, tmp_path, name, n_files):
+    """Where means lie at a bound; rows follow one another by file and within it. By more threads DuckDB would add in another order."""
+    duck = duckdb.connect(config={"threads": 1})
+    duck.execute("create table t as select * from '/root/testdata/sf0.01/lineitem.parquet'")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k in range(n_files):
+        duck.execute(f"copy (select * from t where rowid % {n_files} = {k}) to '{tmp_path}/lineitem.parquet/{k}.parquet'")
+    duck.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(duck.execute(f"select {', '.join(found.columns)} from ({SQL[name]})").fetchall())
+
+
 def test_consistency(spark):
     chunks = spark.createDataFrame([("a", 0, "success"), ("b", None, "failed")], "chunk_id string, vector_id long, status string")
     good = spark.createDataFrame([("a", 0)], "chunk_id string, vector_id long")
