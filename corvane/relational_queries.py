@@ -82,7 +82,7 @@ def s10(spark, sf_dir):
 g AS (SELECT doc_id, run, count(*) AS n, count(*) FILTER (WHERE quality = 'severe') AS severe FROM r GROUP BY doc_id, run)
 SELECT doc_id, sum(n)::BIGINT AS n_pages, sum(severe)::BIGINT AS n_severe, max(severe)::BIGINT AS longest_run, sum(severe) / sum(n) >= 0.20 OR max(severe) >= 5 OR sum(severe) >= 10 AS failed FROM g GROUP BY doc_id""")
 def s11(spark, sf_dir):
-    return quality.failed_documents(quality.page_quality(page_lines(spark, sf_dir)))
+    return quality.failed_documents(quality.page_quality(page_lines(spark, sf_dir), "place"))
 
 
 @query("s15_incoming_snapshot", "WITH f AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN '~$' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN upper(c_mktsegment) ELSE 'f' || (c_custkey // 2) END || CASE WHEN c_custkey % 7 = 0 THEN '.xls' WHEN c_custkey % 2 = 0 THEN '.DOCX' ELSE '.docx' END AS name, c_custkey % 11 = 0 AS is_folder FROM customer) SELECT name, is_folder, CASE WHEN is_folder THEN 'IGNORED_FOLDER' WHEN lower(name) LIKE '%.xls' THEN 'UNSUPPORTED' WHEN count(*) OVER (PARTITION BY lower(name)) > 1 THEN 'NAME_COLLISION' ELSE 'FROZEN' END AS state FROM f WHERE NOT starts_with(name, '~$')")

@@ -71,7 +71,7 @@ def test_lines_without_confidence_count_for_no_share(spark):
         assert [(r["mean"], r.low, r.quality) for r in pages.orderBy("doc_id").collect()] == [((0.75 + 0.95 + 0.95) / 3, 1 / 3, "warning"), (None, None, "ok")]
 
 
-@pytest.mark.parametrize("name", ["s10_page_quality"])
+@pytest.mark.parametrize("name", ["s10_page_quality", "s11_failed_documents"])
 @pytest.mark.parametrize("n_files", [1, 7])
 def test_pages_are_those_of_the_sql(spark, tmp_path, name, n_files):
     """Where means lie at a bound; rows follow one another by file and within it. By more threads DuckDB would add in another order."""
