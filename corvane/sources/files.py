@@ -54,10 +54,15 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """path, length, modificationTime, sha256, suffix, is_word, error of every file below folder that has any bytes.
 
-    Files up to the limit of Spark's reader of whole files (spark.sql.sources.binaryFile.maxLength) are hashed in the JVM; longer
-    ones are streamed by their tasks in blocks, so that a file has no limit. One that can't be opened has an error and no hash.
+    Files up to WHOLE_BYTES are read whole and hashed in the JVM; longer ones are streamed by their tasks in blocks, so that a
+    task's memory does not grow with a file. One that can't be opened has an error and no hash. In a store that Spark opens and
+    pyarrow doesn't, nothing can be streamed: there files are read whole up to the limit of Spark's reader
+    (spark.sql.sources.binaryFile.maxLength), and longer ones have an error.
     """
-    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    most = limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    if limit > WHOLE_BYTES:
+        some = listing(spark, folder).filter(F.col("length") > WHOLE_BYTES).first()
+        most = WHOLE_BYTES if some is None or can_stream(some.path) else limit
     whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(F.col("length") <= most)
     small = whole.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("error"))
     large = listing(spark, folder).filter(F.col("length") > most)
@@ -78,6 +83,8 @@ SCANNED = "path string, length long, modificationTime timestamp, sha256 string,
 COPIED = "path string, target string, length long, sha256 string, error string"
 #: Bytes that are read at once.
 READ_BYTES = 8 << 20
+#: Bytes of a file that is read whole at most; the JVM holds some copies of it.
+WHOLE_BYTES = 16 << 20
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -89,6 +96,15 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe='/:@')}")
 
 
+def can_stream(path: str) -> bool:
+    """Whether there is a file system for the path; that the file can be read is not said."""
+    try:
+        opened(path)
+    except Exception:
+        return False
+    return True
+
+
 def streamed(source: fs.FileSystem, path: str, out=None) -> str:
     """The SHA-256 of a file, read in blocks, which are written to out as well if it is given."""
     digest = hashlib.sha256()

@@ -108,3 +108,21 @@ def test_each_long_file_has_a_task(spark, tmp_path):
     dealt = files.one_each(files.listing(spark, str(tmp_path)))
     of_task = dealt.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
     assert [r["count"] for r in of_task] == [1] * 12
+
+
+@pytest.mark.parametrize("there", [True, False])
+def test_no_long_file_is_read_whole_where_it_can_be_streamed(spark, tmp_path, monkeypatch, there):
+    make(tmp_path, small=10)
+    with open(tmp_path / "long", "wb") as f:
+        f.truncate(files.WHOLE_BYTES + 1)
+    if not there:
+        monkeypatch.setattr(files, "can_stream", lambda path: False)
+    found = files.scan(spark, str(tmp_path))
+    whole = files.WHOLE_BYTES if there else int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    assert f"LessThanOrEqual(length,{whole})" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.length, r.sha256, r.error) for r in found.collect()} == {(p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest(), None) for p in tmp_path.iterdir()}
+
+
+def test_stores_that_pyarrow_opens():
+    assert files.can_stream("file:///a/b") and files.can_stream("/a/b")
+    assert not files.can_stream("s3a://bucket/b") and not files.can_stream("other://b")
